@@ -79,13 +79,6 @@ def extension_point(df: DataFrame, function: Callable[..., DataFrame], *args) ->
     return df.transform(function, *args)
 
 
-FOLD_SCHEMA = T.StructType([
-    T.StructField("tenant_id", T.StringType()), T.StructField("conversation_id", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("seq", T.LongType()),
-    T.StructField("summary", SUMMARY),
-])
-
-
 def summary_fold(messages: DataFrame, fold: Fold, initial: DataFrame | None = None) -> DataFrame:
     """Summary after every message: ``fold(previous summary, sender, message)``.
 

@@ -36,41 +36,35 @@ KINDS = ("sentiment", "pii", "insights", "summary")
 KIND_FIELDS = (("sentiment", "sentiment", "emotion"), ("pii", "has_pii", "entities"),
                ("insights", "intent", "urgency"), ("summary", "tldr", "customer_issue"))
 
-STRINGS = T.ArrayType(T.StringType())
+TEXT, FLAG, INT, LONG = T.StringType(), T.BooleanType(), T.IntegerType(), T.LongType()
+TIME = T.TimestampNTZType()
+TEXTS = T.ArrayType(T.StringType())
 METADATA = T.MapType(T.StringType(), T.StringType())
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-REQUEST = _struct("conversation_id string, sender string, message string, channel string, "
-                  "tenant_id string, metadata map<string,string>")
-MESSAGE = _struct("message_id string, conversation_id string, tenant_id string, sender string, "
-                  "message string, channel string, timestamp timestamp_ntz, "
-                  "metadata map<string,string>")
+REQUEST = record(conversation_id=TEXT, sender=TEXT, message=TEXT, channel=TEXT, tenant_id=TEXT,
+                 metadata=METADATA)
+MESSAGE = record(message_id=TEXT, conversation_id=TEXT, tenant_id=TEXT, sender=TEXT,
+                 message=TEXT, channel=TEXT, timestamp=TIME, metadata=METADATA)
 # An element of the rolling window; the two keys stand on the row itself.
-WINDOW_MESSAGE = _struct("message_id string, sender string, message string, channel string, "
-                         "timestamp timestamp_ntz, metadata map<string,string>")
-ENTITY = _struct("type string, value string, start_index int, end_index int")
-SENTIMENT = _struct("sentiment string, confidence double, emotion string, reasoning string, "
-                    "timestamp timestamp_ntz")
-PII = T.StructType([
-    T.StructField("has_pii", T.BooleanType()),
-    T.StructField("entities", T.ArrayType(ENTITY)),
-    T.StructField("redacted_text", T.StringType()),
-    T.StructField("timestamp", T.TimestampNTZType()),
-])
-INSIGHTS = _struct("intent string, urgency string, categories array<string>, "
-                   "suggested_actions array<string>, requires_escalation boolean, "
-                   "estimated_resolution_time string, key_concerns array<string>, "
-                   "timestamp timestamp_ntz")
-SUMMARY = _struct("tldr string, customer_issue string, agent_response string, "
-                  "key_points array<string>, next_steps array<string>, timestamp timestamp_ntz")
-SUMMARY_STREAM = _struct("conversation_id string, tenant_id string, tldr string, "
-                         "customer_issue string, agent_response string, "
-                         "key_points array<string>, next_steps array<string>")
+WINDOW_MESSAGE = record(message_id=TEXT, sender=TEXT, message=TEXT, channel=TEXT,
+                        timestamp=TIME, metadata=METADATA)
+ENTITY = record(type=TEXT, value=TEXT, start_index=INT, end_index=INT)
+SENTIMENT = record(sentiment=TEXT, confidence=T.DoubleType(), emotion=TEXT, reasoning=TEXT,
+                   timestamp=TIME)
+PII = record(has_pii=FLAG, entities=T.ArrayType(ENTITY), redacted_text=TEXT, timestamp=TIME)
+INSIGHTS = record(intent=TEXT, urgency=TEXT, categories=TEXTS, suggested_actions=TEXTS,
+                  requires_escalation=FLAG, estimated_resolution_time=TEXT, key_concerns=TEXTS,
+                  timestamp=TIME)
+SUMMARY = record(tldr=TEXT, customer_issue=TEXT, agent_response=TEXT, key_points=TEXTS,
+                 next_steps=TEXTS, timestamp=TIME)
+SUMMARY_STREAM = record(conversation_id=TEXT, tenant_id=TEXT, tldr=TEXT, customer_issue=TEXT,
+                        agent_response=TEXT, key_points=TEXTS, next_steps=TEXTS)
 PAYLOADS = {"sentiment": SENTIMENT, "pii": PII, "insights": INSIGHTS, "summary": SUMMARY}
 # A row of a topic as the broker connector delivers it, value and key as text.
-ENVELOPE = _struct("topic string, partition int, offset bigint, key string, value string, "
-                   "headers array<struct<key:string,value:binary>>, timestamp timestamp_ntz")
+ENVELOPE = record(topic=TEXT, partition=INT, offset=LONG, key=TEXT, value=TEXT,
+                  headers=T.ArrayType(record(key=TEXT, value=T.BinaryType())), timestamp=TIME)

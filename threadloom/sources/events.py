@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions import variants as v
+from threadloom.functions.text import strip
 from threadloom.schema import ENVELOPE
 
 
@@ -95,19 +96,31 @@ def read_requests(rows: DataFrame) -> DataFrame:
         F.try_variant_get(doc, "$.metadata", "map<string,string>").alias("metadata"))
 
 
-def read_view_response(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Rows of a query answer, from an array or from one object per line.
+def read_view_response(responses: DataFrame, value: str = "value") -> DataFrame:
+    """Rows of query answers, one answer text per input row.
 
-    Every input row is a piece of the answer: one object, or one array. Rows
-    that carry ``header`` or ``queryId`` are envelope; a piece that is an error
-    object (``error_code`` or ``message``) has no rows.
+    An answer is a JSON array, one object, or one value per line. Rows that carry
+    ``header`` or ``queryId`` are envelope. An answer that is a single error object
+    (``error_code`` or ``message``) has no rows, nor has one that is not JSON.
     """
-    doc = v.whole_json(F.col(value))
-    pieces = lines.select(doc.alias("_doc"))
-    d = F.col("_doc")
-    one = F.when(v.is_object(d) & ~v.present(d, "error_code") & ~v.present(d, "message"),
-                 F.array(d))
-    many = F.try_variant_get(d, "$", "array<variant>")
-    rows = pieces.select(F.explode(F.coalesce(many, one)).alias("document"))
+    text = strip(F.col(value))
+    pieces = F.filter(F.split(text, "\n", -1), lambda line: strip(line) != "")
+    by_line = F.transform(pieces, v.whole_json)
+    parsed = responses.withColumn("_doc", v.whole_json(text))
+    doc = F.col("_doc")
+    error = v.present(doc, "error_code") | v.present(doc, "message")
+    rows = (F.when(doc.isNull() & F.forall(by_line, lambda x: x.isNotNull()), by_line)
+            .when(v.is_object(doc) & ~error, F.array(doc))
+            .when(~v.is_object(doc), F.try_variant_get(doc, "$", "array<variant>")))
+    return view_rows(parsed.withColumn("document", F.explode(rows)).drop("_doc"))
+
+
+def view_rows(rows: DataFrame) -> DataFrame:
+    """Data rows of an answer: objects that are no envelope."""
     r = F.col("document")
     return rows.filter(v.is_object(r) & ~v.present(r, "header") & ~v.present(r, "queryId"))
+
+
+def read_view_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Rows of one long answer kept as a file of lines, read in parallel."""
+    return view_rows(lines.withColumn("document", v.whole_json(F.col(value))))
