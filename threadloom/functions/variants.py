@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that count as booleans.
@@ -28,6 +28,15 @@ def whole_json(text: Column) -> Column:
     return F.when(second.isNull(), first)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    Later filters on columns made from it would otherwise be pushed below and
+    repeat it in every place it is used. A one-element explode stops that.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def field(doc: Column, name: str) -> Column:
     """A field as Variant: SQL null if absent, a Variant null if it is null."""
     return F.try_variant_get(doc, f"$.{name}", "variant")

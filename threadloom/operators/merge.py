@@ -1,10 +1,9 @@
 """The merged record per conversation: newest result of each kind, PII that stays.
 
-The entity list of a key follows from two small aggregates: the list of its first
-PII result, kept as it is, and for every other (type, value) its first occurrence.
-At any point in time the list is the part of those that was seen by then, so no
-running list has to be built row by row, and both aggregates combine before the
-shuffle.
+The entity list of a key has two parts: the list of its first PII result, kept as
+it is, and for every other (type, value) its first occurrence. At any point in
+time the list is the part of those that was seen by then, so no running list has
+to be built row by row, and first occurrences are a partial aggregate.
 """
 
 from __future__ import annotations
@@ -23,43 +22,61 @@ def _order() -> Column:
     return F.struct(*ORDER)
 
 
-def pii_entity_merge(results: DataFrame) -> DataFrame:
-    """Entities of every conversation as rows, in the order they joined the list.
-
-    One row per kept entity: ``since`` is the position (ts, seq) of the result
-    that brought it, ``place`` its place in that result's list. Stays a table of
-    rows however many distinct entities a conversation has.
-    """
-    pii = results.filter(F.col("pii").isNotNull()).select(*KEYS, *ORDER, "pii.entities")
-    first = pii.groupBy(*KEYS).agg(F.min(_order()).alias("_first"))
-    items = pii.select(*KEYS, _order().alias("since"),
-                       F.posexplode("entities").alias("place", "entity"))
-    # First occurrence per (type, value), and per result position for the list
-    # of the first result, where repeated entities stay.
-    seen = (items.groupBy(*KEYS, F.col("entity.type").alias("_type"),
+def _first_seen(results: DataFrame) -> DataFrame:
+    """Per key and (type, value): the entity that came first, and its position."""
+    items = (results.filter(F.col("pii").isNotNull())
+             .select(*KEYS, _order().alias("since"),
+                     F.posexplode("pii.entities").alias("place", "entity")))
+    return (items.groupBy(*KEYS, F.col("entity.type").alias("_type"),
                           F.col("entity.value").alias("_value"))
             .agg(F.min_by(F.struct("since", "place", "entity"),
                           F.struct("since", "place")).alias("e"))
             .select(*KEYS, "e.since", "e.place", "e.entity"))
-    later = (seen.join(first, list(KEYS)).filter(F.col("since") > F.col("_first"))
-             .drop("_first"))
-    opening = (pii.groupBy(*KEYS)
-               .agg(F.min_by(F.struct(_order().alias("since"), "entities"), _order()).alias("e"))
-               .select(*KEYS, "e.since", F.posexplode("e.entities").alias("place", "entity")))
-    return opening.unionByName(later)
 
 
-def _entity_lists(results: DataFrame) -> DataFrame:
-    """Per key: the entities with the position that brought them, in list order."""
-    return (pii_entity_merge(results).groupBy(*KEYS)
+def _first_seen_lists(results: DataFrame) -> DataFrame:
+    """The same as one list per key, in order of position."""
+    return (_first_seen(results).groupBy(*KEYS)
             .agg(F.array_sort(F.collect_list(
-                F.struct("since", "place", "entity"))).alias("_entities")))
+                F.struct("since", "place", "entity"))).alias("_seen")))
 
 
-def _merged_pii(newest: Column, sticky: Column, entities: Column) -> Column:
+def _opening() -> Column:
+    """Position and entities of a PII result; the first of a key opens its list."""
+    return F.when(F.col("pii").isNotNull(), F.struct(
+        _order().alias("at"), F.col("pii.entities").alias("entities")))
+
+
+def pii_entity_merge(results: DataFrame) -> DataFrame:
+    """Entities of every conversation as rows.
+
+    One row per kept entity: ``since`` is the position (ts, seq) of the result
+    that brought it, ``place`` its place in that result's list; sorted by both,
+    the rows are the list. Stays a table of rows however many distinct entities a
+    conversation has.
+    """
+    opening = (results.filter(F.col("pii").isNotNull()).groupBy(*KEYS)
+               .agg(F.min_by(_opening(), _order()).alias("_open")))
+    later = (_first_seen(results).join(opening, list(KEYS))
+             .filter(F.col("since") > F.col("_open.at")).drop("_open"))
+    first = opening.select(*KEYS, F.col("_open.at").alias("since"),
+                           F.posexplode("_open.entities").alias("place", "entity"))
+    return first.unionByName(later)
+
+
+def _merged_pii(newest: Column, sticky: Column, opening: Column, seen: Column,
+                until: Column | None = None) -> Column:
+    """The PII part: newest text, flag that stays, opening list and what came after."""
+    def later(e: Column) -> Column:
+        after = e["since"] > opening["at"]
+        return after if until is None else after & (e["since"] <= until)
+
     empty = F.array().cast(PII["entities"].dataType)
+    more = F.transform(F.filter(seen, later), lambda e: e["entity"])
     return F.when(newest.isNotNull(), F.struct(
-        sticky.alias("has_pii"), F.coalesce(entities, empty).alias("entities"),
+        sticky.alias("has_pii"),
+        F.concat(F.coalesce(opening["entities"], empty), F.coalesce(more, empty))
+        .alias("entities"),
         newest["redacted_text"].alias("redacted_text"),
         newest["timestamp"].alias("timestamp")).cast(PII))
 
@@ -70,58 +87,52 @@ def merge_intelligence(results: DataFrame, timeline: Timeline | None = None) ->
     A result of unknown kind gives a row too, unchanged but for ``last_updated``.
     """
     t = timeline or Timeline().measured(results)
-    slim = results.withColumn("pii_head", F.when(F.col("pii").isNotNull(), F.struct(
-        "pii.redacted_text", "pii.timestamp")))
-    out = t.running(slim, {
+    out = t.running(results, {
         **{f"_{k}": tl.last(F.col(k)) for k in KINDS if k != "pii"},
-        "_pii": tl.last(F.col("pii_head")),
+        "_pii": tl.last(_head()),
         "_sticky": tl.any_so_far(F.col("pii.has_pii")),
-    })
-    with_lists = _join_lists(out, _entity_lists(results), t)
-    known = F.transform(
-        F.filter("_entities", lambda e: e["since"] <= F.struct(*ORDER)),
-        lambda e: e["entity"])
-    return with_lists.select(
-        *KEYS, *ORDER, "kind",
-        *[(_merged_pii(F.col("_pii"), F.col("_sticky"), known) if k == "pii"
-           else F.col(f"_{k}")).alias(k) for k in KINDS],
+        "_open": tl.first(_opening()),
+    }).drop(*KINDS)
+    listed = _join_lists(out, _first_seen_lists(results), t)
+    pii = _merged_pii(F.col("_pii"), F.col("_sticky"), F.col("_open"), F.col("_seen"), _order())
+    return listed.select(
+        *KEYS, *ORDER, "kind", *[(pii if k == "pii" else F.col(f"_{k}")).alias(k) for k in KINDS],
         F.col("ts").alias("last_updated"))
 
 
+def _head() -> Column:
+    return F.when(F.col("pii").isNotNull(), F.struct("pii.redacted_text", "pii.timestamp"))
+
+
 def _join_lists(rows: DataFrame, lists: DataFrame, t: Timeline) -> DataFrame:
     """Join the per-key lists to the rows without gathering a large key.
 
-    Rows of uncut keys are already partitioned by key. Those of a cut key keep
-    their (key, segment) partitioning: its list is repeated per segment instead.
+    Rows of uncut keys are already partitioned by key. Those of a cut key are
+    joined per segment, and its list is repeated for each of its segments.
     """
     if t.whole:
         return rows.join(lists, list(KEYS), "left")
-    tagged = t.tagged(rows)
-    cut = tagged.filter(F.col(tl.SEGMENT).isNotNull()).select(*KEYS, tl.SEGMENT).distinct()
-    per_segment = cut.join(lists, list(KEYS))
-    uncut = lists.select(*KEYS, F.lit(None).cast("bigint").alias(tl.SEGMENT), "_entities")
-    both = per_segment.unionByName(uncut).withColumn(
-        "_part", F.coalesce(tl.SEGMENT, F.lit(-1))).drop(tl.SEGMENT)
-    return (tagged.withColumn("_part", F.coalesce(tl.SEGMENT, F.lit(-1)))
-            .join(both, [*KEYS, "_part"], "left").drop("_part", tl.SEGMENT))
+    tagged = t.tagged(rows).withColumn("_part", F.coalesce(tl.SEGMENT, F.lit(-1)))
+    cut = (tagged.filter(F.col(tl.SEGMENT).isNotNull()).select(*KEYS, "_part").distinct()
+           .join(lists, list(KEYS)))
+    uncut = lists.withColumn("_part", F.lit(-1).cast("bigint"))
+    return (tagged.join(cut.unionByName(uncut), [*KEYS, "_part"], "left")
+            .drop("_part", tl.SEGMENT))
 
 
 def merge_intelligence_final(results: DataFrame) -> DataFrame:
     """The merged record of every conversation, as partial aggregates."""
     order = _order()
-    newest = [F.max_by(k, F.when(F.col(k).isNotNull(), order)).alias(f"_{k}")
-              for k in KINDS if k != "pii"]
-    head = F.struct("pii.redacted_text", "pii.timestamp")
     totals = results.groupBy(*KEYS).agg(
-        *newest,
-        F.max_by(head, F.when(F.col("pii").isNotNull(), order)).alias("_pii"),
+        *[F.max_by(k, F.when(F.col(k).isNotNull(), order)).alias(f"_{k}")
+          for k in KINDS if k != "pii"],
+        F.max_by(_head(), F.when(F.col("pii").isNotNull(), order)).alias("_pii"),
+        F.min_by(_opening(), F.when(F.col("pii").isNotNull(), order)).alias("_open"),
         F.max("pii.has_pii").alias("_sticky"), F.max("ts").alias("last_updated"))
-    joined = totals.join(_entity_lists(results), list(KEYS), "left")
-    entities = F.transform("_entities", lambda e: e["entity"])
+    joined = totals.join(_first_seen_lists(results), list(KEYS), "left")
+    pii = _merged_pii(F.col("_pii"), F.col("_sticky"), F.col("_open"), F.col("_seen"))
     return joined.select(
-        *KEYS,
-        *[(_merged_pii(F.col("_pii"), F.col("_sticky"), entities) if k == "pii"
-           else F.col(f"_{k}")).alias(k) for k in KINDS],
+        *KEYS, *[(pii if k == "pii" else F.col(f"_{k}")).alias(k) for k in KINDS],
         "last_updated")
 
 

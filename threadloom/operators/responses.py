@@ -166,7 +166,7 @@ def parse_model_response(responses: DataFrame, response: str = "response",
     a required field, one whose value does not convert and one that breaks the
     record contract are told apart by ``error_type``.
     """
-    df = responses.withColumn("_doc", response_document(F.col(response)))
+    df = v.with_once(responses, "_doc", response_document(F.col(response)))
     doc, asked = F.col("_doc"), F.col(kind)
     values, contract = _value_errors(doc), _contract_errors(doc)
     missing = F.lit(None).cast("string")

@@ -14,7 +14,7 @@ DOC = "_doc"
 
 def with_document(results: DataFrame, value: str = "value") -> DataFrame:
     """Parse the JSON text once; all checks below read the parsed form."""
-    return results.withColumn(DOC, v.whole_json(F.col(value)))
+    return v.with_once(results, DOC, v.whole_json(F.col(value)))
 
 
 def kind_of(doc: Column) -> Column:

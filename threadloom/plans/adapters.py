@@ -173,7 +173,11 @@ FROM customer"""
 
 
 def _select(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
-    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return select_from(spark, spark.read.parquet(f"{sf_dir}/{table}.parquet"), sql, table)
+
+
+def select_from(spark: SparkSession, source: DataFrame, sql: str, table: str) -> DataFrame:
+    """An adapter over any frame with the columns of ``table``, streams included."""
     # Formatting takes single braces as its own; the JSON texts have many.
     text = sql.replace("NTZ", "timestamp_ntz")
     head, _, tail = text.rpartition(f"FROM {table}")

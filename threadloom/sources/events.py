@@ -55,7 +55,7 @@ def decode(rows: DataFrame) -> DataFrame:
         F.coalesce(pairs, F.array()), F.create_map().cast("map<string,string>"),
         lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, _: k != p["k"]),
                                     F.create_map(p["k"], p["v"])))
-    return rows.withColumn("document", v.whole_json(F.col("value"))).withColumn("header", header)
+    return v.with_once(rows, "document", v.whole_json(F.col("value"))).withColumn("header", header)
 
 
 def read_multi(topics: dict[str, DataFrame]) -> DataFrame:
@@ -85,7 +85,7 @@ def declare_stream(rows: DataFrame, schema: T.StructType, key: str | None = None
 def read_requests(rows: DataFrame) -> DataFrame:
     """Request columns from topic rows; nested metadata values become JSON text."""
     doc = F.col("_doc")
-    parsed = rows.withColumn("_doc", v.whole_json(F.col("value")))
+    parsed = v.with_once(rows, "_doc", v.whole_json(F.col("value")))
 
     def text(name: str):
         return F.when(v.is_string(doc, name), v.string(doc, name)).alias(name)
@@ -106,7 +106,7 @@ def read_view_response(responses: DataFrame, value: str = "value") -> DataFrame:
     text = strip(F.col(value))
     pieces = F.filter(F.split(text, "\n", -1), lambda line: strip(line) != "")
     by_line = F.transform(pieces, v.whole_json)
-    parsed = responses.withColumn("_doc", v.whole_json(text))
+    parsed = v.with_once(responses, "_doc", v.whole_json(text))
     doc = F.col("_doc")
     error = v.present(doc, "error_code") | v.present(doc, "message")
     rows = (F.when(doc.isNull() & F.forall(by_line, lambda x: x.isNotNull()), by_line)
@@ -123,4 +123,4 @@ def view_rows(rows: DataFrame) -> DataFrame:
 
 def read_view_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Rows of one long answer kept as a file of lines, read in parallel."""
-    return view_rows(lines.withColumn("document", v.whole_json(F.col(value))))
+    return view_rows(v.with_once(lines, "document", v.whole_json(F.col(value))))

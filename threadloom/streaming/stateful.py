@@ -120,7 +120,7 @@ def stream_merge_intelligence(results: DataFrame) -> DataFrame:
                    _json(F.col("summary")),
                    F.when(F.col("kind") == "pii", _json(head))).alias("payload"),
         F.col("pii.has_pii").alias("has_pii"),
-        F.coalesce(F.transform("pii.entities", F.to_json), F.array().cast("array<string>"))
+        F.coalesce(F.transform("pii.entities", lambda e: F.to_json(e)), F.array().cast("array<string>"))
         .alias("entities"))
     out = rows.groupBy(*KEYS).applyInPandasWithState(
         _advance_merge, MERGED_OUT, MERGED, "append", NO_TIMEOUT)
