@@ -2,11 +2,13 @@
 
 A field that is absent, a field that is null and a field of another type are
 three different things in the contract; Variant keeps them apart without Python.
+Apart from ``whole_json`` the functions give SQL text: the checks of a record are
+hundreds of small expressions, and as text they are handed over in one call.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,69 +39,72 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
-def field(doc: Column, name: str) -> Column:
+def quoted(values: Sequence[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def get(doc: str, name: str, kind: str) -> str:
+    return f"try_variant_get({doc}, '$.{name}', '{kind}')"
+
+
+def field(doc: str, name: str) -> str:
     """A field as Variant: SQL null if absent, a Variant null if it is null."""
-    return F.try_variant_get(doc, f"$.{name}", "variant")
+    return get(doc, name, "variant")
 
 
-def present(doc: Column, name: str) -> Column:
-    return field(doc, name).isNotNull()
+def string(doc: str, name: str) -> str:
+    return get(doc, name, "string")
 
 
-def is_null(doc: Column, name: str) -> Column:
-    """Present and null."""
-    return F.is_variant_null(field(doc, name))
+def type_of(value: str) -> str:
+    return f"coalesce(schema_of_variant({value}), 'ABSENT')"
 
 
-def given(doc: Column, name: str) -> Column:
-    """Present and not null."""
-    return present(doc, name) & ~is_null(doc, name)
+def present(doc: str, name: str) -> str:
+    return f"({field(doc, name)} IS NOT NULL)"
 
 
-def type_of(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("ABSENT"))
+def absent(doc: str, name: str) -> str:
+    return f"({field(doc, name)} IS NULL)"
 
 
-def is_object(doc: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+def missing_or_null(doc: str, name: str) -> str:
+    """Absent, or present and null."""
+    return f"({type_of(field(doc, name))} IN ('ABSENT', 'VOID'))"
 
 
-def string(doc: Column, name: str) -> Column:
-    return F.try_variant_get(doc, f"$.{name}", "string")
+def is_object(doc: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({doc}), 'OBJECT'), false)"
 
 
-def is_string(doc: Column, name: str) -> Column:
-    return type_of(field(doc, name)) == "STRING"
+def is_string(doc: str, name: str) -> str:
+    return f"({type_of(field(doc, name))} = 'STRING')"
 
 
-def number(doc: Column, name: str) -> Column:
+def number(doc: str, name: str) -> str:
     """Number, or text that holds one."""
-    kind = type_of(field(doc, name))
-    return F.when(kind != "BOOLEAN", F.try_variant_get(doc, f"$.{name}", "double"))
+    return (f"CASE WHEN {type_of(field(doc, name))} <> 'BOOLEAN' "
+            f"THEN {get(doc, name, 'double')} END")
 
 
-def boolean(doc: Column, name: str) -> Column:
+def boolean(doc: str, name: str) -> str:
     """True/false, 0/1, or one of the accepted texts; null otherwise."""
-    text = F.lower(string(doc, name))
-    return F.when(text.isin(*TRUE_TEXTS), True).when(text.isin(*FALSE_TEXTS), False)
+    text = f"lower({string(doc, name)})"
+    return (f"CASE WHEN {text} IN ({quoted(TRUE_TEXTS)}) THEN true "
+            f"WHEN {text} IN ({quoted(FALSE_TEXTS)}) THEN false END")
 
 
-def strings(doc: Column, name: str) -> Column:
+def strings(doc: str, name: str) -> str:
     """List of texts; null if the field is not exactly that."""
-    items = F.try_variant_get(doc, f"$.{name}", "array<string>")
-    kind = type_of(field(doc, name))
-    ok = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(items, lambda x: x.isNotNull())
-    return F.when(ok, items)
+    items = get(doc, name, "array<string>")
+    return (f"CASE WHEN {type_of(field(doc, name))} IN ('ARRAY<STRING>', 'ARRAY<VOID>') "
+            f"AND forall({items}, x -> x IS NOT NULL) THEN {items} END")
 
 
-def first_error(*checks: tuple[Column, str]) -> Column:
+def first_error(*checks: tuple[str, str]) -> str:
     """Message of the first failed check, null if all hold.
 
     A check that is null (a comparison with a missing value) counts as failed.
     """
-    return F.coalesce(*[
-        F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for ok, message in checks])
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    cases = " ".join(f"WHEN NOT coalesce({ok}, false) THEN '{message}'" for ok, message in checks)
+    return f"CASE {cases} END"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import blank_to
-from threadloom.functions.variants import first_error
+from threadloom.functions.variants import first_error, quoted
 from threadloom.schema import (CHANNELS, DEFAULT_CHANNEL, DEFAULT_TENANT, MAX_MESSAGE_CHARS,
                                SENDERS)
 
@@ -21,15 +21,15 @@ def validate_message(requests: DataFrame) -> DataFrame:
 
     ``channel`` may be left out; length counts characters.
     """
-    channel = (F.coalesce(F.col("channel"), F.lit(DEFAULT_CHANNEL))
-               if "channel" in requests.columns else F.lit(DEFAULT_CHANNEL))
-    error = first_error(
-        (F.col("conversation_id").isNotNull(), "conversation_id: field required"),
-        (F.col("sender").isin(*SENDERS), "sender: not an allowed value"),
-        (F.col("message").isNotNull(), "message: field required"),
-        (F.length("message") >= 1, "message: shorter than 1 character"),
-        (F.length("message") <= MAX_MESSAGE_CHARS, "message: longer than 10000 characters"),
-        (channel.isin(*CHANNELS), "channel: not an allowed value"))
+    channel = (f"coalesce(channel, '{DEFAULT_CHANNEL}')" if "channel" in requests.columns
+               else f"'{DEFAULT_CHANNEL}'")
+    error = F.expr(first_error(
+        ("conversation_id IS NOT NULL", "conversation_id: field required"),
+        (f"sender IN ({quoted(SENDERS)})", "sender: not an allowed value"),
+        ("message IS NOT NULL", "message: field required"),
+        ("length(message) >= 1", "message: shorter than 1 character"),
+        (f"length(message) <= {MAX_MESSAGE_CHARS}", "message: longer than 10000 characters"),
+        (f"{channel} IN ({quoted(CHANNELS)})", "channel: not an allowed value")))
     return requests.withColumn("error", error).withColumn(
         "error_type", F.when(F.col("error").isNotNull(), F.lit("ValidationError")))
 

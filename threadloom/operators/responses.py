@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import variants as v
 from threadloom.functions.text import strip
-from threadloom.schema import (EMOTIONS, ENTITY, INTENTS, PAYLOADS, PII_TYPES, REDACTED,
-                               SENTIMENTS, URGENCIES)
+from threadloom.schema import (EMOTIONS, INTENTS, PAYLOADS, PII_TYPES, REDACTED, SENTIMENTS,
+                               URGENCIES)
+
+DOC = "_doc"
 
 
 def unfenced(text: Column) -> Column:
@@ -33,129 +35,108 @@ def response_document(text: Column) -> Column:
     return F.coalesce(first, doc)
 
 
-def _required(doc: Column, names: list[str]) -> Column:
-    """Name of the first absent required field."""
-    return F.coalesce(*[F.when(~v.present(doc, n), F.lit(n)) for n in names])
-
-
-def _strings_or_absent(doc: Column, name: str) -> Column:
-    return ~v.present(doc, name) | v.strings(doc, name).isNotNull()
+# Name in the answer, name in the record, whether it is required.
+FIELDS = {
+    "sentiment": [("sentiment", "sentiment", True), ("confidence", "confidence", True),
+                  ("emotion", "emotion", True), ("reasoning", "reasoning", True)],
+    "pii": [("hasPII", "has_pii", True), ("entities", "entities", False),
+            ("redactedText", "redacted_text", False)],
+    "insights": [("intent", "intent", True), ("urgency", "urgency", True),
+                 ("categories", "categories", False),
+                 ("suggestedActions", "suggested_actions", False),
+                 ("requiresEscalation", "requires_escalation", True),
+                 ("estimatedResolutionTime", "estimated_resolution_time", True),
+                 ("keyConcerns", "key_concerns", False)],
+    "summary": [("tldr", "tldr", True), ("customerIssue", "customer_issue", True),
+                ("agentResponse", "agent_response", False), ("keyPoints", "key_points", False),
+                ("nextSteps", "next_steps", False)],
+}
+ENTITIES = v.get(DOC, "entities", "array<variant>")
 
 
-def _items(doc: Column, name: str, alias: str) -> Column:
-    return F.coalesce(v.strings(doc, name), F.array().cast("array<string>")).alias(alias)
+def _member(name: str, allowed: tuple[str, ...]) -> tuple[str, str]:
+    return f"{v.string(DOC, name)} IN ({v.quoted(allowed)})", f"{name}: not an allowed value"
 
 
-def _entities(doc: Column) -> Column:
-    return F.try_variant_get(doc, "$.entities", "array<variant>")
+def _at(name: str) -> str:
+    return v.get("e", name, "int")
 
 
-def _position(e: Column, name: str) -> Column:
-    return F.try_variant_get(e, f"$.{name}", "int")
+def _each(condition: str) -> str:
+    """``condition`` on every entity ``e``; holds if the answer has no entities."""
+    return f"({v.absent(DOC, 'entities')} OR forall({ENTITIES}, e -> {condition}))"
 
 
-def _entity_complete(e: Column) -> Column:
-    return v.all_of(v.present(e, "type"), v.present(e, "startIndex"), v.present(e, "endIndex"))
+KNOWN_TYPE = f"coalesce({v.string('e', 'type')} IN ({v.quoted(PII_TYPES)}), false)"
+COMPLETE = " AND ".join(v.present("e", n) for n in ("type", "startIndex", "endIndex"))
+# Values that must convert before a record can be made.
+CONVERSIONS = {
+    "sentiment": [_member("sentiment", SENTIMENTS),
+                  (f"({v.number(DOC, 'confidence')}) IS NOT NULL", "confidence: number required"),
+                  _member("emotion", EMOTIONS)],
+    "pii": [(_each(KNOWN_TYPE), "entities: not an allowed type")],
+    "insights": [_member("intent", INTENTS), _member("urgency", URGENCIES)],
+    "summary": [],
+}
+RANGE = f"({v.number(DOC, 'confidence')}) BETWEEN 0 AND 1", "confidence: outside 0 to 1"
+ENTITY_OK = (f"({v.absent('e', 'value')} OR {v.is_string('e', 'value')}) "
+             f"AND {_at('startIndex')} IS NOT NULL AND {_at('endIndex')} IS NOT NULL")
+
+
+def _contract(kind: str) -> list[tuple[str, str]]:
+    """The checks of the result record, by the type of each field."""
+    checks = [RANGE] if kind == "sentiment" else []
+    converted = {"sentiment", "emotion", "confidence", "intent", "urgency"}
+    for name, target, required in FIELDS[kind]:
+        record_type = PAYLOADS[kind][target].dataType.simpleString()
+        if target in converted:
+            continue
+        if target == "entities":
+            checks.append((_each(ENTITY_OK), "entities: not an allowed entity"))
+        elif record_type == "boolean":
+            checks.append((f"({v.boolean(DOC, name)}) IS NOT NULL",
+                           f"{target}: true or false required"))
+        elif record_type == "array<string>":
+            checks.append((f"({v.absent(DOC, name)} OR ({v.strings(DOC, name)}) IS NOT NULL)",
+                           f"{target}: not a list of texts"))
+        elif required:
+            checks.append((v.is_string(DOC, name), f"{target}: text required"))
+        else:
+            checks.append((f"({v.missing_or_null(DOC, name)} OR {v.is_string(DOC, name)})",
+                           f"{target}: not a text"))
+    return checks
+
+
+def _missing(kind: str) -> str:
+    """Name of the first absent required field."""
+    cases = [f"WHEN {v.absent(DOC, name)} THEN '{name}'"
+             for name, _, required in FIELDS[kind] if required]
+    if kind == "pii":
+        cases.append(f"WHEN NOT coalesce({_each(COMPLETE)}, true) THEN 'entities'")
+    return f"CASE {' '.join(cases)} END"
 
 
-def _entity_ok(e: Column) -> Column:
-    return v.all_of(F.coalesce(v.string(e, "type").isin(*PII_TYPES), F.lit(False)),
-                    ~v.present(e, "value") | v.is_string(e, "value"),
-                    _position(e, "startIndex").isNotNull(),
-                    _position(e, "endIndex").isNotNull())
+def _value(name: str, target: str, record_type: str) -> str:
+    if target == "entities":
+        return (f"coalesce(transform({ENTITIES}, e -> named_struct("
+                f"'type', {v.string('e', 'type')}, "
+                f"'value', coalesce({v.string('e', 'value')}, '{REDACTED}'), "
+                f"'start_index', {_at('startIndex')}, 'end_index', {_at('endIndex')})), array())")
+    return {"boolean": v.boolean(DOC, name), "double": v.number(DOC, name),
+            "array<string>": f"coalesce({v.strings(DOC, name)}, array())",
+            "string": v.string(DOC, name)}[record_type]
 
 
-REQUIRED = {
-    "sentiment": ["sentiment", "confidence", "emotion", "reasoning"],
-    "pii": ["hasPII"],
-    "insights": ["intent", "urgency", "requiresEscalation", "estimatedResolutionTime"],
-    "summary": ["tldr", "customerIssue"],
-}
+def _payload(kind: str, ts: str) -> str:
+    record = PAYLOADS[kind]
+    pairs = [f"'{target}', {_value(name, target, record[target].dataType.simpleString())}"
+             for name, target, _ in FIELDS[kind]]
+    return f"named_struct({', '.join(pairs)}, 'timestamp', {ts})"
 
 
-def _value_errors(doc: Column) -> dict[str, Column]:
-    """Per kind: enum members and number texts that do not convert."""
-    entities = _entities(doc)
-    return {
-        "sentiment": v.first_error(
-            (v.string(doc, "sentiment").isin(*SENTIMENTS), "sentiment: not an allowed value"),
-            (v.number(doc, "confidence").isNotNull(), "confidence: number required"),
-            (v.string(doc, "emotion").isin(*EMOTIONS), "emotion: not an allowed value")),
-        "pii": v.first_error(
-            (~v.present(doc, "entities") | F.forall(
-                entities, lambda e: F.coalesce(v.string(e, "type").isin(*PII_TYPES),
-                                               F.lit(False))),
-             "entities: not an allowed type")),
-        "insights": v.first_error(
-            (v.string(doc, "intent").isin(*INTENTS), "intent: not an allowed value"),
-            (v.string(doc, "urgency").isin(*URGENCIES), "urgency: not an allowed value")),
-        "summary": F.lit(None).cast("string"),
-    }
-
-
-def _contract_errors(doc: Column) -> dict[str, Column]:
-    """Per kind: the checks of the result record."""
-    return {
-        "sentiment": v.first_error(
-            (v.number(doc, "confidence").between(0.0, 1.0), "confidence: outside 0 to 1"),
-            (v.is_string(doc, "reasoning"), "reasoning: text required")),
-        "pii": v.first_error(
-            (v.boolean(doc, "hasPII").isNotNull(), "has_pii: true or false required"),
-            (~v.present(doc, "entities") | F.forall(_entities(doc), _entity_ok),
-             "entities: not an allowed entity"),
-            (~v.given(doc, "redactedText") | v.is_string(doc, "redactedText"),
-             "redacted_text: not a text")),
-        "insights": v.first_error(
-            (_strings_or_absent(doc, "categories"), "categories: not a list of texts"),
-            (_strings_or_absent(doc, "suggestedActions"),
-             "suggested_actions: not a list of texts"),
-            (v.boolean(doc, "requiresEscalation").isNotNull(),
-             "requires_escalation: true or false required"),
-            (v.is_string(doc, "estimatedResolutionTime"),
-             "estimated_resolution_time: text required"),
-            (_strings_or_absent(doc, "keyConcerns"), "key_concerns: not a list of texts")),
-        "summary": v.first_error(
-            (v.is_string(doc, "tldr"), "tldr: text required"),
-            (v.is_string(doc, "customerIssue"), "customer_issue: text required"),
-            (~v.given(doc, "agentResponse") | v.is_string(doc, "agentResponse"),
-             "agent_response: not a text"),
-            (_strings_or_absent(doc, "keyPoints"), "key_points: not a list of texts"),
-            (_strings_or_absent(doc, "nextSteps"), "next_steps: not a list of texts")),
-    }
-
-
-def _payload(doc: Column, kind: str, ts: Column) -> Column:
-    stamp = ts.alias("timestamp")
-
-    def text(name: str, alias: str) -> Column:
-        return v.string(doc, name).alias(alias)
-
-    if kind == "sentiment":
-        return F.struct(text("sentiment", "sentiment"),
-                        v.number(doc, "confidence").alias("confidence"),
-                        text("emotion", "emotion"), text("reasoning", "reasoning"), stamp)
-    if kind == "pii":
-        entities = F.transform(_entities(doc), lambda e: F.struct(
-            v.string(e, "type").alias("type"),
-            F.coalesce(v.string(e, "value"), F.lit(REDACTED)).alias("value"),
-            _position(e, "startIndex").alias("start_index"),
-            _position(e, "endIndex").alias("end_index")).cast(ENTITY))
-        empty = F.array().cast(PAYLOADS["pii"]["entities"].dataType)
-        return F.struct(v.boolean(doc, "hasPII").alias("has_pii"),
-                        F.coalesce(entities, empty).alias("entities"),
-                        text("redactedText", "redacted_text"), stamp)
-    if kind == "insights":
-        return F.struct(
-            text("intent", "intent"), text("urgency", "urgency"),
-            _items(doc, "categories", "categories"),
-            _items(doc, "suggestedActions", "suggested_actions"),
-            v.boolean(doc, "requiresEscalation").alias("requires_escalation"),
-            text("estimatedResolutionTime", "estimated_resolution_time"),
-            _items(doc, "keyConcerns", "key_concerns"), stamp)
-    return F.struct(text("tldr", "tldr"), text("customerIssue", "customer_issue"),
-                    text("agentResponse", "agent_response"),
-                    _items(doc, "keyPoints", "key_points"),
-                    _items(doc, "nextSteps", "next_steps"), stamp)
+def _by_kind(kind: str, values: dict[str, str]) -> Column:
+    cases = " ".join(f"WHEN {kind} = '{k}' THEN {value}" for k, value in values.items())
+    return F.expr(f"CASE {cases} END")
 
 
 def parse_model_response(responses: DataFrame, response: str = "response",
@@ -166,35 +147,24 @@ def parse_model_response(responses: DataFrame, response: str = "response",
     a required field, one whose value does not convert and one that breaks the
     record contract are told apart by ``error_type``.
     """
-    df = v.with_once(responses, "_doc", response_document(F.col(response)))
-    doc, asked = F.col("_doc"), F.col(kind)
-    values, contract = _value_errors(doc), _contract_errors(doc)
-    missing = F.lit(None).cast("string")
-    value_error = contract_error = F.lit(None).cast("string")
-    for k, names in REQUIRED.items():
-        lacks = _required(doc, names)
-        if k == "pii":
-            broken = v.present(doc, "entities") & ~F.coalesce(
-                F.forall(_entities(doc), _entity_complete), F.lit(True))
-            lacks = F.coalesce(lacks, F.when(broken, F.lit("entities")))
-        missing = F.when(asked == k, lacks).otherwise(missing)
-        value_error = F.when(asked == k, values[k]).otherwise(value_error)
-        contract_error = F.when(asked == k, contract[k]).otherwise(contract_error)
-    df = (df.withColumn("_missing", missing).withColumn("_value", value_error)
-          .withColumn("_contract", contract_error))
-    no_object = ~v.is_object(doc)
-    df = (df
-          .withColumn("error", F.when(doc.isNull(), "response: not JSON")
-                      .when(no_object, "response: not an object")
-                      .when(F.col("_missing").isNotNull(),
-                            F.concat(F.col("_missing"), F.lit(": field required")))
-                      .otherwise(F.coalesce("_value", "_contract")))
-          .withColumn("error_type", F.when(doc.isNull(), "JSONDecodeError")
-                      .when(no_object, "TypeError")
-                      .when(F.col("_missing").isNotNull(), "KeyError")
-                      .when(F.col("_value").isNotNull(), "ValueError")
-                      .when(F.col("_contract").isNotNull(), "ValidationError")))
-    for k in REQUIRED:
-        ok = (asked == k) & F.col("error").isNull()
-        df = df.withColumn(k, F.when(ok, _payload(doc, k, F.col(ts))).cast(PAYLOADS[k]))
-    return df.drop("_doc", "_missing", "_value", "_contract")
+    df = v.with_once(responses, DOC, response_document(F.col(response)))
+    conversions = {k: v.first_error(*checks) for k, checks in CONVERSIONS.items() if checks}
+    df = df.withColumns({
+        "_missing": _by_kind(kind, {k: _missing(k) for k in FIELDS}),
+        "_unfit": _by_kind(kind, conversions),
+        "_broken": _by_kind(kind, {k: v.first_error(*_contract(k)) for k in FIELDS})})
+    no_object = f"NOT {v.is_object(DOC)}"
+    df = df.withColumns({
+        "error": F.expr(
+            f"CASE WHEN {DOC} IS NULL THEN 'response: not JSON' "
+            f"WHEN {no_object} THEN 'response: not an object' "
+            "WHEN _missing IS NOT NULL THEN concat(_missing, ': field required') "
+            "ELSE coalesce(_unfit, _broken) END"),
+        "error_type": F.expr(
+            f"CASE WHEN {DOC} IS NULL THEN 'JSONDecodeError' WHEN {no_object} THEN 'TypeError' "
+            "WHEN _missing IS NOT NULL THEN 'KeyError' WHEN _unfit IS NOT NULL THEN 'ValueError' "
+            "WHEN _broken IS NOT NULL THEN 'ValidationError' END")})
+    return df.withColumns({
+        k: F.expr(f"cast(CASE WHEN {kind} = '{k}' AND error IS NULL THEN {_payload(k, ts)} END "
+                  f"AS {record.simpleString()})") for k, record in PAYLOADS.items()
+    }).drop(DOC, "_missing", "_unfit", "_broken")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import variants as v
-from threadloom.schema import (EMOTIONS, ENTITY, INTENTS, KIND_FIELDS, PAYLOADS, PII_TYPES,
-                               REDACTED, SENTIMENTS, URGENCIES)
+from threadloom.schema import (EMOTIONS, INTENTS, KIND_FIELDS, PAYLOADS, PII_TYPES, REDACTED,
+                               SENTIMENTS, URGENCIES)
 
 DOC = "_doc"
+KEYED = "(coalesce(conversation_id, '') <> '' AND coalesce(tenant_id, '') <> '')"
 
 
 def with_document(results: DataFrame, value: str = "value") -> DataFrame:
@@ -17,125 +18,94 @@ def with_document(results: DataFrame, value: str = "value") -> DataFrame:
     return v.with_once(results, DOC, v.whole_json(F.col(value)))
 
 
-def kind_of(doc: Column) -> Column:
-    """Kind by presence of two fields, in a fixed order. Null fields are present."""
-    kind = F.lit("unknown")
-    for name, one, two in reversed(KIND_FIELDS):
-        kind = F.when(v.present(doc, one) & v.present(doc, two), name).otherwise(kind)
-    return F.when(v.is_object(doc), kind)
-
-
 def classify_result(results: DataFrame) -> DataFrame:
-    """Add ``kind``; null where the value is no JSON object."""
+    """Add ``kind``: by presence of two fields, in a fixed order.
+
+    Null fields are present. ``kind`` is null where the value is no JSON object.
+    """
     parsed = results if DOC in results.columns else with_document(results)
-    return parsed.withColumn("kind", kind_of(F.col(DOC)))
+    cases = " ".join(f"WHEN {v.present(DOC, one)} AND {v.present(DOC, two)} THEN '{name}'"
+                     for name, one, two in KIND_FIELDS)
+    return parsed.withColumn("kind", F.expr(
+        f"CASE WHEN NOT {v.is_object(DOC)} THEN NULL {cases} ELSE 'unknown' END"))
 
 
 def result_keys(results: DataFrame) -> DataFrame:
     """Classified results with the two keys read from the value."""
-    out = classify_result(results)
-    return (out.withColumn("conversation_id", v.string(F.col(DOC), "conversation_id"))
-            .withColumn("tenant_id", v.string(F.col(DOC), "tenant_id")))
+    return classify_result(results).withColumns({
+        key: F.expr(v.string(DOC, key)) for key in ("conversation_id", "tenant_id")})
 
 
 # -- checks --------------------------------------------------------------------
 
-def _text(doc: Column, name: str) -> tuple[Column, str]:
-    return v.is_string(doc, name), f"{name}: text required"
+def _text(name: str) -> tuple[str, str]:
+    return v.is_string(DOC, name), f"{name}: text required"
 
 
-def _optional_text(doc: Column, name: str) -> tuple[Column, str]:
-    return (~v.given(doc, name)) | v.is_string(doc, name), f"{name}: not a text"
+def _optional_text(name: str) -> tuple[str, str]:
+    return (f"({v.missing_or_null(DOC, name)} OR {v.is_string(DOC, name)})",
+            f"{name}: not a text")
 
 
-def _member(doc: Column, name: str, allowed: tuple[str, ...]) -> tuple[Column, str]:
-    return (v.is_string(doc, name) & v.string(doc, name).isin(*allowed),
+def _member(name: str, allowed: tuple[str, ...]) -> tuple[str, str]:
+    return (f"({v.is_string(DOC, name)} AND {v.string(DOC, name)} IN ({v.quoted(allowed)}))",
             f"{name}: not an allowed value")
 
 
-def _list(doc: Column, name: str) -> tuple[Column, str]:
-    return ~v.present(doc, name) | v.strings(doc, name).isNotNull(), f"{name}: not a list of texts"
-
-
-def _flag(doc: Column, name: str) -> tuple[Column, str]:
-    return v.boolean(doc, name).isNotNull(), f"{name}: true or false required"
-
-
-def _time(doc: Column) -> tuple[Column, str]:
-    return ~v.present(doc, "timestamp") | _stamp(doc).isNotNull(), "timestamp: not a time"
-
-
-def _stamp(doc: Column) -> Column:
-    return v.string(doc, "timestamp").try_cast("timestamp_ntz")
-
-
-def _whole(e: Column, name: str) -> Column:
-    return F.try_variant_get(e, f"$.{name}", "int")
+def _list(name: str) -> tuple[str, str]:
+    return (f"({v.absent(DOC, name)} OR ({v.strings(DOC, name)}) IS NOT NULL)",
+            f"{name}: not a list of texts")
 
 
-def _entities(doc: Column) -> Column:
-    return F.try_variant_get(doc, "$.entities", "array<variant>")
+def _flag(name: str) -> tuple[str, str]:
+    return f"({v.boolean(DOC, name)}) IS NOT NULL", f"{name}: true or false required"
 
 
-def _entity_ok(e: Column) -> Column:
-    value = v.field(e, "value")
-    return v.all_of(
-        F.coalesce(v.string(e, "type").isin(*PII_TYPES), F.lit(False)),
-        value.isNull() | (v.type_of(value) == "STRING"),
-        _whole(e, "start_index").isNotNull(), _whole(e, "end_index").isNotNull())
+STAMP = f"try_cast({v.string(DOC, 'timestamp')} AS timestamp_ntz)"
+TIME = f"({v.absent(DOC, 'timestamp')} OR {STAMP} IS NOT NULL)", "timestamp: not a time"
+ENTITIES = v.get(DOC, "entities", "array<variant>")
+CONFIDENCE = f"({v.number(DOC, 'confidence')})"
 
 
-def _checks(doc: Column) -> dict[str, list[tuple[Column, str]]]:
-    confidence = v.number(doc, "confidence")
-    return {
-        "sentiment": [
-            _member(doc, "sentiment", SENTIMENTS),
-            (confidence.isNotNull(), "confidence: number required"),
-            (confidence.between(0.0, 1.0), "confidence: outside 0 to 1"),
-            _member(doc, "emotion", EMOTIONS), _text(doc, "reasoning"), _time(doc)],
-        "pii": [
-            _flag(doc, "has_pii"),
-            (_entities(doc).isNotNull(), "entities: list required"),
-            (F.forall(_entities(doc), _entity_ok), "entities: not an allowed entity"),
-            _optional_text(doc, "redacted_text"), _time(doc)],
-        "insights": [
-            _member(doc, "intent", INTENTS), _member(doc, "urgency", URGENCIES),
-            _list(doc, "categories"), _list(doc, "suggested_actions"),
-            _flag(doc, "requires_escalation"), _text(doc, "estimated_resolution_time"),
-            _list(doc, "key_concerns"), _time(doc)],
-        "summary": [
-            _text(doc, "tldr"), _text(doc, "customer_issue"),
-            _optional_text(doc, "agent_response"), _list(doc, "key_points"),
-            _list(doc, "next_steps"), _time(doc)],
-    }
+def _whole(name: str) -> str:
+    return v.get("e", name, "int")
 
 
-def _payloads(doc: Column, ts: Column) -> dict[str, Column]:
-    stamp = F.coalesce(_stamp(doc), ts).alias("timestamp")
+ENTITY_OK = (f"coalesce({v.string('e', 'type')} IN ({v.quoted(PII_TYPES)}), false) "
+             f"AND ({v.absent('e', 'value')} OR {v.is_string('e', 'value')}) "
+             f"AND {_whole('start_index')} IS NOT NULL AND {_whole('end_index')} IS NOT NULL")
 
-    def text(name: str) -> Column:
-        return v.string(doc, name).alias(name)
+CHECKS = {
+    "sentiment": [
+        _member("sentiment", SENTIMENTS),
+        (f"{CONFIDENCE} IS NOT NULL", "confidence: number required"),
+        (f"{CONFIDENCE} BETWEEN 0 AND 1", "confidence: outside 0 to 1"),
+        _member("emotion", EMOTIONS), _text("reasoning"), TIME],
+    "pii": [
+        _flag("has_pii"), (f"{ENTITIES} IS NOT NULL", "entities: list required"),
+        (f"forall({ENTITIES}, e -> {ENTITY_OK})", "entities: not an allowed entity"),
+        _optional_text("redacted_text"), TIME],
+    "insights": [
+        _member("intent", INTENTS), _member("urgency", URGENCIES), _list("categories"),
+        _list("suggested_actions"), _flag("requires_escalation"),
+        _text("estimated_resolution_time"), _list("key_concerns"), TIME],
+    "summary": [
+        _text("tldr"), _text("customer_issue"), _optional_text("agent_response"),
+        _list("key_points"), _list("next_steps"), TIME],
+}
 
-    def items(name: str) -> Column:
-        return F.coalesce(v.strings(doc, name), F.array().cast("array<string>")).alias(name)
 
-    entities = F.transform(_entities(doc), lambda e: F.struct(
-        v.string(e, "type").alias("type"),
-        F.coalesce(v.string(e, "value"), F.lit(REDACTED)).alias("value"),
-        _whole(e, "start_index").alias("start_index"),
-        _whole(e, "end_index").alias("end_index")).cast(ENTITY))
-    return {
-        "sentiment": F.struct(text("sentiment"), v.number(doc, "confidence").alias("confidence"),
-                              text("emotion"), text("reasoning"), stamp),
-        "pii": F.struct(v.boolean(doc, "has_pii").alias("has_pii"), entities.alias("entities"),
-                        text("redacted_text"), stamp),
-        "insights": F.struct(text("intent"), text("urgency"), items("categories"),
-                             items("suggested_actions"),
-                             v.boolean(doc, "requires_escalation").alias("requires_escalation"),
-                             text("estimated_resolution_time"), items("key_concerns"), stamp),
-        "summary": F.struct(text("tldr"), text("customer_issue"), text("agent_response"),
-                            items("key_points"), items("next_steps"), stamp),
-    }
+def _value(name: str, kind: str) -> str:
+    """SQL of one payload field, by its name and type."""
+    if name == "timestamp":
+        return f"coalesce({STAMP}, ts)"
+    if name == "entities":
+        return (f"transform({ENTITIES}, e -> named_struct('type', {v.string('e', 'type')}, "
+                f"'value', coalesce({v.string('e', 'value')}, '{REDACTED}'), "
+                f"'start_index', {_whole('start_index')}, 'end_index', {_whole('end_index')}))")
+    return {"boolean": v.boolean(DOC, name), "double": v.number(DOC, name),
+            "array<string>": f"coalesce({v.strings(DOC, name)}, array())",
+            "string": v.string(DOC, name)}[kind]
 
 
 def validate_agent_result(results: DataFrame) -> DataFrame:
@@ -144,33 +114,27 @@ def validate_agent_result(results: DataFrame) -> DataFrame:
     Rows without a key never fail a check: they are skipped later, as the
     contract wants. An unknown kind is valid.
     """
-    out = result_keys(results)
-    doc = F.col(DOC)
-    keyed = (F.coalesce(F.col("conversation_id"), F.lit("")) != "") & (
-        F.coalesce(F.col("tenant_id"), F.lit("")) != "")
-    ids = [(v.is_string(doc, "conversation_id"), "conversation_id: text required"),
-           (v.is_string(doc, "tenant_id"), "tenant_id: text required")]
-    error = F.when(doc.isNull(), "value: not JSON").when(
-        ~v.is_object(doc), "value: not an object")
-    for kind, checks in _checks(doc).items():
-        error = error.when(keyed & (F.col("kind") == kind), v.first_error(*ids, *checks))
-    error_type = (F.when(F.col("error").isNull(), F.lit(None).cast("string"))
-                  .when(doc.isNull(), "JSONDecodeError")
-                  .when(F.col("kind").isNull(), "AttributeError")
-                  .otherwise("ValidationError"))
-    return out.withColumn("error", error).withColumn("error_type", error_type)
+    ids = [_text("conversation_id"), _text("tenant_id")]
+    cases = " ".join(f"WHEN {KEYED} AND kind = '{kind}' THEN {v.first_error(*ids, *checks)}"
+                     for kind, checks in CHECKS.items())
+    error = (f"CASE WHEN {DOC} IS NULL THEN 'value: not JSON' "
+             f"WHEN NOT {v.is_object(DOC)} THEN 'value: not an object' {cases} END")
+    error_type = (f"CASE WHEN error IS NULL THEN NULL WHEN {DOC} IS NULL THEN 'JSONDecodeError' "
+                  "WHEN kind IS NULL THEN 'AttributeError' ELSE 'ValidationError' END")
+    return (result_keys(results).withColumn("error", F.expr(error))
+            .withColumn("error_type", F.expr(error_type)))
 
 
 def typed_results(checked: DataFrame) -> DataFrame:
     """Valid rows with keys, as typed payloads: one struct column per kind."""
-    keyed = (checked.filter(F.col("error").isNull())
-             .filter((F.coalesce(F.col("conversation_id"), F.lit("")) != "")
-                     & (F.coalesce(F.col("tenant_id"), F.lit("")) != "")))
-    payloads = _payloads(F.col(DOC), F.col("ts"))
-    return keyed.select(
-        "tenant_id", "conversation_id", "kind", "ts", "seq",
-        *[F.when(F.col("kind") == k, p).cast(PAYLOADS[k]).alias(k)
-          for k, p in payloads.items()])
+    payloads = []
+    for kind, record in PAYLOADS.items():
+        pairs = ", ".join(f"'{f.name}', {_value(f.name, f.dataType.simpleString())}"
+                          for f in record.fields)
+        payloads.append(f"cast(CASE WHEN kind = '{kind}' THEN named_struct({pairs}) END "
+                        f"AS {record.simpleString()}) AS {kind}")
+    return (checked.filter(F.expr(f"error IS NULL AND {KEYED}"))
+            .selectExpr("tenant_id", "conversation_id", "kind", "ts", "seq", *payloads))
 
 
 def results_from_json(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -132,7 +132,7 @@ def read_events(spark, d):
                         for k, val in (("tenant_id", F.lit("old")), ("tenant_id", tenant))])
     rows = events.decode(raw.withColumn("headers", headers))
     return rows.select("topic", "offset", "key", F.col("document").isNotNull().alias("is_json"),
-                       v.string(F.col("document"), "conversation_id").alias("conversation_id"),
+                       F.expr(v.string("document", "conversation_id")).alias("conversation_id"),
                        F.col("header")["tenant_id"].alias("header_tenant"))
 
 

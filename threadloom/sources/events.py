@@ -84,16 +84,12 @@ def declare_stream(rows: DataFrame, schema: T.StructType, key: str | None = None
 
 def read_requests(rows: DataFrame) -> DataFrame:
     """Request columns from topic rows; nested metadata values become JSON text."""
-    doc = F.col("_doc")
     parsed = v.with_once(rows, "_doc", v.whole_json(F.col("value")))
-
-    def text(name: str):
-        return F.when(v.is_string(doc, name), v.string(doc, name)).alias(name)
-
-    return parsed.select(
-        *rows.columns, *[text(n) for n in ("conversation_id", "sender", "message", "channel",
-                                           "tenant_id")],
-        F.try_variant_get(doc, "$.metadata", "map<string,string>").alias("metadata"))
+    names = ("conversation_id", "sender", "message", "channel", "tenant_id")
+    texts = [f"CASE WHEN {v.is_string('_doc', n)} THEN {v.string('_doc', n)} END AS {n}"
+             for n in names]
+    metadata = v.get("_doc", "metadata", "map<string,string>")
+    return parsed.selectExpr(*rows.columns, *texts, f"{metadata} AS metadata")
 
 
 def read_view_response(responses: DataFrame, value: str = "value") -> DataFrame:
@@ -107,18 +103,19 @@ def read_view_response(responses: DataFrame, value: str = "value") -> DataFrame:
     pieces = F.filter(F.split(text, "\n", -1), lambda line: strip(line) != "")
     by_line = F.transform(pieces, v.whole_json)
     parsed = v.with_once(responses, "_doc", v.whole_json(text))
+    is_object = F.expr(v.is_object("_doc"))
+    error = F.expr(f"{v.present('_doc', 'error_code')} OR {v.present('_doc', 'message')}")
     doc = F.col("_doc")
-    error = v.present(doc, "error_code") | v.present(doc, "message")
     rows = (F.when(doc.isNull() & F.forall(by_line, lambda x: x.isNotNull()), by_line)
-            .when(v.is_object(doc) & ~error, F.array(doc))
-            .when(~v.is_object(doc), F.try_variant_get(doc, "$", "array<variant>")))
+            .when(is_object & ~error, F.array(doc))
+            .when(~is_object, F.try_variant_get(doc, "$", "array<variant>")))
     return view_rows(parsed.withColumn("document", F.explode(rows)).drop("_doc"))
 
 
 def view_rows(rows: DataFrame) -> DataFrame:
     """Data rows of an answer: objects that are no envelope."""
-    r = F.col("document")
-    return rows.filter(v.is_object(r) & ~v.present(r, "header") & ~v.present(r, "queryId"))
+    return rows.filter(f"{v.is_object('document')} AND {v.absent('document', 'header')} "
+                       f"AND {v.absent('document', 'queryId')}")
 
 
 def read_view_lines(lines: DataFrame, value: str = "value") -> DataFrame:
