@@ -2,8 +2,9 @@
 
 A field that is absent, a field that is null and a field of another type are
 three different things in the contract; Variant keeps them apart without Python.
-Apart from ``whole_json`` the functions give SQL text: the checks of a record are
-hundreds of small expressions, and as text they are handed over in one call.
+``with_fields`` splits a document into a struct of Variants. The small functions
+below it give SQL text for a field of such a struct: the checks of a record are
+hundreds of expressions, and as text they are handed over in one call.
 """
 
 from __future__ import annotations
@@ -39,17 +40,38 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def with_fields(df: DataFrame, name: str, text: Column, fields: Sequence[str],
+                first_of_list: bool = False) -> DataFrame:
+    """Add the fields of a JSON object as a struct of Variants, parsed once per row.
+
+    The struct is null if the text is not one JSON object. With ``first_of_list``
+    the first element stands for a list that has one. Looking into the struct is
+    much cheaper than looking into the document for every check.
+    """
+    kind = f"struct<{', '.join(f'{f}: variant' for f in fields)}>"
+
+    def pick(wrapped: Column) -> Column:
+        one = F.try_variant_get(wrapped, "$[0]", kind)
+        if first_of_list:
+            one = F.coalesce(F.try_variant_get(wrapped, "$[0][0]", kind), F.when(
+                F.try_variant_get(wrapped, "$[0][0]", "variant").isNull(), one))
+        return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), one)
+
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return df.select("*", F.explode_outer(F.transform(F.array(wrapped), pick)).alias(name))
+
+
 def quoted(values: Sequence[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
 def get(doc: str, name: str, kind: str) -> str:
-    return f"try_variant_get({doc}, '$.{name}', '{kind}')"
+    return f"try_variant_get({doc}.{name}, '$', '{kind}')"
 
 
 def field(doc: str, name: str) -> str:
     """A field as Variant: SQL null if absent, a Variant null if it is null."""
-    return get(doc, name, "variant")
+    return f"{doc}.{name}"
 
 
 def string(doc: str, name: str) -> str:
@@ -73,10 +95,6 @@ def missing_or_null(doc: str, name: str) -> str:
     return f"({type_of(field(doc, name))} IN ('ABSENT', 'VOID'))"
 
 
-def is_object(doc: str) -> str:
-    return f"coalesce(startswith(schema_of_variant({doc}), 'OBJECT'), false)"
-
-
 def is_string(doc: str, name: str) -> str:
     return f"({type_of(field(doc, name))} = 'STRING')"
 

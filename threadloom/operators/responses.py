@@ -28,13 +28,6 @@ def unfenced(text: Column) -> Column:
     return F.when(t.startswith("```"), strip(F.array_join(inner, "\n"))).otherwise(t)
 
 
-def response_document(text: Column) -> Column:
-    """The answer as Variant; the first element of a list that has one."""
-    doc = v.whole_json(unfenced(text))
-    first = F.try_variant_get(doc, "$[0]", "variant")
-    return F.coalesce(first, doc)
-
-
 # Name in the answer, name in the record, whether it is required.
 FIELDS = {
     "sentiment": [("sentiment", "sentiment", True), ("confidence", "confidence", True),
@@ -51,7 +44,8 @@ FIELDS = {
                 ("agentResponse", "agent_response", False), ("keyPoints", "key_points", False),
                 ("nextSteps", "next_steps", False)],
 }
-ENTITIES = v.get(DOC, "entities", "array<variant>")
+ENTITIES = v.get(DOC, "entities", "array<struct<type: variant, value: variant, "
+                                  "startIndex: variant, endIndex: variant>>")
 
 
 def _member(name: str, allowed: tuple[str, ...]) -> tuple[str, str]:
@@ -147,23 +141,24 @@ def parse_model_response(responses: DataFrame, response: str = "response",
     a required field, one whose value does not convert and one that breaks the
     record contract are told apart by ``error_type``.
     """
-    df = v.with_once(responses, DOC, response_document(F.col(response)))
+    names = tuple(dict.fromkeys(name for fields in FIELDS.values() for name, _, _ in fields))
+    body = unfenced(F.col(response))
+    df = v.with_fields(responses, DOC, body, names, first_of_list=True)
     conversions = {k: v.first_error(*checks) for k, checks in CONVERSIONS.items() if checks}
     df = df.withColumns({
         "_missing": _by_kind(kind, {k: _missing(k) for k in FIELDS}),
         "_unfit": _by_kind(kind, conversions),
         "_broken": _by_kind(kind, {k: v.first_error(*_contract(k)) for k in FIELDS})})
-    no_object = f"NOT {v.is_object(DOC)}"
-    df = df.withColumns({
-        "error": F.expr(
-            f"CASE WHEN {DOC} IS NULL THEN 'response: not JSON' "
-            f"WHEN {no_object} THEN 'response: not an object' "
-            "WHEN _missing IS NOT NULL THEN concat(_missing, ': field required') "
-            "ELSE coalesce(_unfit, _broken) END"),
-        "error_type": F.expr(
-            f"CASE WHEN {DOC} IS NULL THEN 'JSONDecodeError' WHEN {no_object} THEN 'TypeError' "
-            "WHEN _missing IS NOT NULL THEN 'KeyError' WHEN _unfit IS NOT NULL THEN 'ValueError' "
-            "WHEN _broken IS NOT NULL THEN 'ValidationError' END")})
+    # Only the answers that gave no fields are parsed again, to say why.
+    unread = F.when(v.whole_json(body).isNull(), "response: not JSON").otherwise(
+        "response: not an object")
+    df = df.withColumn("error", F.when(F.col(DOC).isNull(), unread).otherwise(F.expr(
+        "coalesce(concat(_missing, ': field required'), _unfit, _broken)")))
+    df = df.withColumn("error_type", F.expr(
+        "CASE WHEN error IS NULL THEN NULL WHEN error = 'response: not JSON' "
+        "THEN 'JSONDecodeError' WHEN error = 'response: not an object' THEN 'TypeError' "
+        "WHEN _missing IS NOT NULL THEN 'KeyError' WHEN _unfit IS NOT NULL THEN 'ValueError' "
+        "ELSE 'ValidationError' END"))
     return df.withColumns({
         k: F.expr(f"cast(CASE WHEN {kind} = '{k}' AND error IS NULL THEN {_payload(k, ts)} END "
                   f"AS {record.simpleString()})") for k, record in PAYLOADS.items()

@@ -13,9 +13,13 @@ DOC = "_doc"
 KEYED = "(coalesce(conversation_id, '') <> '' AND coalesce(tenant_id, '') <> '')"
 
 
+FIELDS = tuple(dict.fromkeys(
+    ["conversation_id", "tenant_id", *[f.name for r in PAYLOADS.values() for f in r.fields]]))
+
+
 def with_document(results: DataFrame, value: str = "value") -> DataFrame:
-    """Parse the JSON text once; all checks below read the parsed form."""
-    return v.with_once(results, DOC, v.whole_json(F.col(value)))
+    """Parse the JSON text once; all checks below read the parsed fields."""
+    return v.with_fields(results, DOC, F.col(value), FIELDS)
 
 
 def classify_result(results: DataFrame) -> DataFrame:
@@ -27,7 +31,7 @@ def classify_result(results: DataFrame) -> DataFrame:
     cases = " ".join(f"WHEN {v.present(DOC, one)} AND {v.present(DOC, two)} THEN '{name}'"
                      for name, one, two in KIND_FIELDS)
     return parsed.withColumn("kind", F.expr(
-        f"CASE WHEN NOT {v.is_object(DOC)} THEN NULL {cases} ELSE 'unknown' END"))
+        f"CASE WHEN {DOC} IS NULL THEN NULL {cases} ELSE 'unknown' END"))
 
 
 def result_keys(results: DataFrame) -> DataFrame:
@@ -63,7 +67,8 @@ def _flag(name: str) -> tuple[str, str]:
 
 STAMP = f"try_cast({v.string(DOC, 'timestamp')} AS timestamp_ntz)"
 TIME = f"({v.absent(DOC, 'timestamp')} OR {STAMP} IS NOT NULL)", "timestamp: not a time"
-ENTITIES = v.get(DOC, "entities", "array<variant>")
+ENTITIES = v.get(DOC, "entities", "array<struct<type: variant, value: variant, "
+                                  "start_index: variant, end_index: variant>>")
 CONFIDENCE = f"({v.number(DOC, 'confidence')})"
 
 
@@ -117,12 +122,15 @@ def validate_agent_result(results: DataFrame) -> DataFrame:
     ids = [_text("conversation_id"), _text("tenant_id")]
     cases = " ".join(f"WHEN {KEYED} AND kind = '{kind}' THEN {v.first_error(*ids, *checks)}"
                      for kind, checks in CHECKS.items())
-    error = (f"CASE WHEN {DOC} IS NULL THEN 'value: not JSON' "
-             f"WHEN NOT {v.is_object(DOC)} THEN 'value: not an object' {cases} END")
-    error_type = (f"CASE WHEN error IS NULL THEN NULL WHEN {DOC} IS NULL THEN 'JSONDecodeError' "
-                  "WHEN kind IS NULL THEN 'AttributeError' ELSE 'ValidationError' END")
-    return (result_keys(results).withColumn("error", F.expr(error))
-            .withColumn("error_type", F.expr(error_type)))
+    # Only the texts that gave no fields are parsed again, to say why.
+    unread = F.when(v.whole_json(F.col("value")).isNull(), "value: not JSON").otherwise(
+        "value: not an object")
+    error = F.when(F.col(DOC).isNull(), unread).otherwise(F.expr(f"CASE {cases} END"))
+    return (result_keys(results).withColumn("error", error)
+            .withColumn("error_type", F.expr(
+                "CASE error WHEN 'value: not JSON' THEN 'JSONDecodeError' "
+                "WHEN 'value: not an object' THEN 'AttributeError' "
+                "ELSE nvl2(error, 'ValidationError', NULL) END")))
 
 
 def typed_results(checked: DataFrame) -> DataFrame:
@@ -133,7 +141,7 @@ def typed_results(checked: DataFrame) -> DataFrame:
                           for f in record.fields)
         payloads.append(f"cast(CASE WHEN kind = '{kind}' THEN named_struct({pairs}) END "
                         f"AS {record.simpleString()}) AS {kind}")
-    return (checked.filter(F.expr(f"error IS NULL AND {KEYED}"))
+    return (checked.filter(f"{DOC} IS NOT NULL AND {KEYED} AND error IS NULL")
             .selectExpr("tenant_id", "conversation_id", "kind", "ts", "seq", *payloads))
 
 

@@ -43,10 +43,12 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name))
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate, if this session can tell."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of what a frame reads, as Catalyst estimates it; None if it cannot tell."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString())
+                   for i in range(leaves.size()))
     except Exception:  # Spark Connect has no such handle
         return None
 
@@ -149,13 +151,15 @@ class Timeline:
         """Find the keys to cut and how finely.
 
         One narrow counting job over the key columns, more only if a key is
-        large. Inputs that fit in a task as a whole are not counted. The list
+        large. Inputs that fit in a task as a whole are not counted. If ``df`` is
+        costly to compute, measure the table it comes from instead and pass the
+        result on. The list
         that comes to the driver, and is broadcast later, has at most
         ``max_large`` entries; beyond that every key is cut by the hour and no
         list is needed.
         """
         if rows_per_task >= ROWS_PER_TASK:
-            size = _estimated_bytes(df)
+            size = input_bytes(df)
             if size is not None and size <= SMALL_INPUT_BYTES:
                 return self
         keys = list(self.keys)

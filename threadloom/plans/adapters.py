@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom import schema as S
 from threadloom.operators.results import typed_results, validate_agent_result
+from threadloom.sources.events import spread
 
 
 def pick(number: str, values: tuple[str, ...]) -> str:
@@ -172,8 +173,10 @@ SELECT concat('c', cast(c_custkey % 100 AS string)) AS conversation_id,
 FROM customer"""
 
 
-def _select(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
-    return select_from(spark, spark.read.parquet(f"{sf_dir}/{table}.parquet"), sql, table)
+def _select(spark: SparkSession, sf_dir: str, sql: str, table: str,
+            costly: bool = False) -> DataFrame:
+    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return select_from(spark, spread(source) if costly else source, sql, table)
 
 
 def select_from(spark: SparkSession, source: DataFrame, sql: str, table: str) -> DataFrame:
@@ -203,7 +206,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, RESULTS, "events")
+    return _select(spark, sf_dir, RESULTS, "events", costly=True)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +215,11 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, ANSWERS, "events")
+    return _select(spark, sf_dir, ANSWERS, "events", costly=True)
 
 
 def view_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, VIEW_ANSWERS, "events")
+    return _select(spark, sf_dir, VIEW_ANSWERS, "events", costly=True)
 
 
 def requested(spark: SparkSession, sf_dir: str) -> DataFrame:

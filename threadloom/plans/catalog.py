@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom import schema as S
-from threadloom.functions import variants as v
 from threadloom.operators import (context, merge, messages as msg, pii, rates, responses, scoring,
                                   state, transcript, views)
 from threadloom.operators.results import (classify_result, result_keys, validate_agent_result)
@@ -132,7 +131,7 @@ def read_events(spark, d):
                         for k, val in (("tenant_id", F.lit("old")), ("tenant_id", tenant))])
     rows = events.decode(raw.withColumn("headers", headers))
     return rows.select("topic", "offset", "key", F.col("document").isNotNull().alias("is_json"),
-                       F.expr(v.string("document", "conversation_id")).alias("conversation_id"),
+                       F.try_variant_get(F.col("document"), "$.conversation_id", "string").alias("conversation_id"),
                        F.col("header")["tenant_id"].alias("header_tenant"))
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions import variants as v
 from threadloom.functions.text import strip
+from threadloom.operators.timeline import SMALL_INPUT_BYTES, input_bytes
 from threadloom.schema import ENVELOPE
 
 
@@ -44,6 +45,18 @@ def from_files(spark: SparkSession, path: str, fmt: str = "parquet", streaming:
     return reader.load(path)
 
 
+def spread(df: DataFrame, most_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Hand the rows of a small input to all cores before costly work per row.
+
+    A small file is one task otherwise. Larger inputs have enough splits and stay
+    as they are: no shuffle.
+    """
+    size = input_bytes(df)
+    if df.isStreaming or size is None or size > most_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def decode(rows: DataFrame) -> DataFrame:
     """Add ``document`` (the parsed value) and ``header`` (headers as a text map).
 
@@ -84,8 +97,8 @@ def declare_stream(rows: DataFrame, schema: T.StructType, key: str | None = None
 
 def read_requests(rows: DataFrame) -> DataFrame:
     """Request columns from topic rows; nested metadata values become JSON text."""
-    parsed = v.with_once(rows, "_doc", v.whole_json(F.col("value")))
     names = ("conversation_id", "sender", "message", "channel", "tenant_id")
+    parsed = v.with_fields(rows, "_doc", F.col("value"), (*names, "metadata"))
     texts = [f"CASE WHEN {v.is_string('_doc', n)} THEN {v.string('_doc', n)} END AS {n}"
              for n in names]
     metadata = v.get("_doc", "metadata", "map<string,string>")
@@ -103,19 +116,26 @@ def read_view_response(responses: DataFrame, value: str = "value") -> DataFrame:
     pieces = F.filter(F.split(text, "\n", -1), lambda line: strip(line) != "")
     by_line = F.transform(pieces, v.whole_json)
     parsed = v.with_once(responses, "_doc", v.whole_json(text))
-    is_object = F.expr(v.is_object("_doc"))
-    error = F.expr(f"{v.present('_doc', 'error_code')} OR {v.present('_doc', 'message')}")
     doc = F.col("_doc")
+    error = _has(doc, "error_code") | _has(doc, "message")
     rows = (F.when(doc.isNull() & F.forall(by_line, lambda x: x.isNotNull()), by_line)
-            .when(is_object & ~error, F.array(doc))
-            .when(~is_object, F.try_variant_get(doc, "$", "array<variant>")))
+            .when(_is_object(doc) & ~error, F.array(doc))
+            .when(~_is_object(doc), F.try_variant_get(doc, "$", "array<variant>")))
     return view_rows(parsed.withColumn("document", F.explode(rows)).drop("_doc"))
 
 
+def _has(doc: Column, name: str) -> Column:
+    return F.try_variant_get(doc, f"$.{name}", "variant").isNotNull()
+
+
+def _is_object(doc: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+
+
 def view_rows(rows: DataFrame) -> DataFrame:
     """Data rows of an answer: objects that are no envelope."""
-    return rows.filter(f"{v.is_object('document')} AND {v.absent('document', 'header')} "
-                       f"AND {v.absent('document', 'queryId')}")
+    d = F.col("document")
+    return rows.filter(_is_object(d) & ~_has(d, "header") & ~_has(d, "queryId"))
 
 
 def read_view_lines(lines: DataFrame, value: str = "value") -> DataFrame:
