@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators Python also strips.
+# The white space characters of Unicode and the four ASCII separators.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# The same as a pattern, for use with (?U).
 SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def last_n(items: Column, n: int) -> Column:

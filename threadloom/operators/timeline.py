@@ -47,7 +47,7 @@ def input_bytes(df: DataFrame) -> int | None:
     """Size of what a frame reads, as Catalyst estimates it; None if it cannot tell."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString())
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
                    for i in range(leaves.size()))
     except Exception:  # Spark Connect has no such handle
         return None

@@ -198,7 +198,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, MESSAGES, "events")
+    return _select(spark, sf_dir, MESSAGES, "events", costly=True)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -548,7 +548,7 @@ def detect_pii(spark, d):
 
 @query
 def detect_pii_documents(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
+    docs = events.spread(spark.read.parquet(f"{d}/documents.parquet"))
     found = pii.detect_pii(docs, "text")
     return found.select("doc_id", "source", "has_pii",
                         F.size("entities").cast("bigint").alias("entities"),
