@@ -92,10 +92,9 @@ def merge_intelligence(results: DataFrame, timeline: Timeline | None = None) ->
         "_pii": tl.last(_head()),
         "_sticky": tl.any_so_far(F.col("pii.has_pii")),
         "_open": tl.first(_opening()),
-    }).drop(*KINDS)
-    listed = _join_lists(out, _first_seen_lists(results), t)
+    }, per_key=_first_seen_lists(results)).drop(*KINDS)
     pii = _merged_pii(F.col("_pii"), F.col("_sticky"), F.col("_open"), F.col("_seen"), _order())
-    return listed.select(
+    return out.select(
         *KEYS, *ORDER, "kind", *[(pii if k == "pii" else F.col(f"_{k}")).alias(k) for k in KINDS],
         F.col("ts").alias("last_updated"))
 
@@ -104,22 +103,6 @@ def _head() -> Column:
     return F.when(F.col("pii").isNotNull(), F.struct("pii.redacted_text", "pii.timestamp"))
 
 
-def _join_lists(rows: DataFrame, lists: DataFrame, t: Timeline) -> DataFrame:
-    """Join the per-key lists to the rows without gathering a large key.
-
-    Rows of uncut keys are already partitioned by key. Those of a cut key are
-    joined per segment, and its list is repeated for each of its segments.
-    """
-    if t.whole:
-        return rows.join(lists, list(KEYS), "left")
-    tagged = t.tagged(rows).withColumn("_part", F.coalesce(tl.SEGMENT, F.lit(-1)))
-    cut = (tagged.filter(F.col(tl.SEGMENT).isNotNull()).select(*KEYS, "_part").distinct()
-           .join(lists, list(KEYS)))
-    uncut = lists.withColumn("_part", F.lit(-1).cast("bigint"))
-    return (tagged.join(cut.unionByName(uncut), [*KEYS, "_part"], "left")
-            .drop("_part", tl.SEGMENT))
-
-
 def merge_intelligence_final(results: DataFrame) -> DataFrame:
     """The merged record of every conversation, as partial aggregates."""
     order = _order()

@@ -30,7 +30,7 @@ def trailing_rate(requests: DataFrame, keys: tuple[str, ...] = ("tenant_id",),
     width = seconds * 1_000_000
     span = SLICE_WINDOWS * width
     at = requests.withColumn("_at", micros(requests, ts))
-    own = F.floor(F.col("_at") / span)
+    own = F.floor((F.col("_at") - F.pmod(F.col("_at"), F.lit(span))) / span)
     ends = (own + 1) * span
     # Its own slice, and the next one if it is still recent there.
     guests = at.withColumn("_own", own).withColumn("_slice", F.explode(

@@ -30,6 +30,8 @@ ROWS_PER_TASK = 1_000_000
 MAX_LARGE_KEYS = 100_000
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 SEGMENT = "_segment"
+# Segment of all rows of a key that is not cut, and of a cut key's rows without a time.
+UNCUT, TIMELESS = -2 ** 63, -2 ** 63 + 1
 # Cut width for all keys when the large ones are too many to list: an hour.
 FALLBACK_WIDTH_US = 3_600_000_000
 UNBOUNDED, HERE = Window.unboundedPreceding, Window.currentRow
@@ -201,35 +203,46 @@ class Timeline:
         return Timeline(self.keys, self.ts, self.seq, cuts)
 
     def tagged(self, df: DataFrame) -> DataFrame:
-        """Add the segment number; null for the rows of keys that are not cut."""
+        """Add the segment number; ``UNCUT`` for the rows of keys that are not cut."""
         us = micros(df, self.ts)
         if self.width_us is not None:
-            return df.withColumn(SEGMENT, F.floor(us / self.width_us))
+            return df.withColumn(SEGMENT, _segment(us, F.lit(self.width_us)))
         if self.cuts is None:
-            return df.withColumn(SEGMENT, F.lit(None).cast("bigint"))
+            return df.withColumn(SEGMENT, F.lit(UNCUT))
         # At most MAX_LARGE_KEYS rows by construction.
         return (df.join(F.broadcast(self.cuts), list(self.keys), "left")
-                .withColumn(SEGMENT, F.floor(us / F.col("_width"))).drop("_width"))
+                .withColumn(SEGMENT, _segment(us, F.col("_width"))).drop("_width"))
 
     def window(self, *extra: str) -> WindowSpec:
         return Window.partitionBy(*self.keys, *extra).orderBy(*self.order_by)
 
-    def running(self, df: DataFrame, scans: Mapping[str, Scan | LastN]) -> DataFrame:
-        """Add one running value per entry of ``scans``, in event order."""
+    def running(self, df: DataFrame, scans: Mapping[str, Scan | LastN],
+                per_key: DataFrame | None = None) -> DataFrame:
+        """Add one running value per entry of ``scans``, in event order.
+
+        ``per_key`` (the keys and further columns, one row per key) is joined on
+        the way, in the partitioning the rows have anyway.
+        """
         if self.whole:
             w = self.window()
-            return df.select("*", *[self._local(s, w).alias(name)
-                                    for name, s in scans.items()])
+            out = df.select("*", *[self._local(s, w).alias(name) for name, s in scans.items()])
+            return out if per_key is None else out.join(per_key, list(self.keys), "left")
         keys = [*self.keys, SEGMENT]
         tagged = self.tagged(df)
-        carry = self._carried(tagged.filter(F.col(SEGMENT).isNotNull()), scans)
+        carry = self._carried(tagged.filter(F.col(SEGMENT) != UNCUT), scans)
+        more = []
+        if per_key is not None:
+            # Repeated for the segments of cut keys; there are few of those.
+            more = [c for c in per_key.columns if c not in self.keys]
+            carry = carry.join(per_key, list(self.keys), "left").unionByName(
+                per_key.withColumn(SEGMENT, F.lit(UNCUT)), allowMissingColumns=True)
         w = self.window(SEGMENT)
         local = tagged.select("*", *[self._local(s, w).alias(name) for name, s in scans.items()])
         joined = local.join(carry, keys, "left")
         return joined.select(
             *[F.col(c) for c in df.columns],
             *[self._merged(s, F.col(f"_before_{name}"), F.col(name)).alias(name)
-              for name, s in scans.items()])
+              for name, s in scans.items()], *more)
 
     def _local(self, scan: Scan | LastN, w: WindowSpec) -> Column:
         if isinstance(scan, LastN):
@@ -270,6 +283,12 @@ class Timeline:
         return per_segment.select(*keys, *out)
 
 
+def _segment(us: Column, width: Column) -> Column:
+    """Number of the time slot; rows without a time come before all others."""
+    slot = F.floor((us - F.pmod(us, width)) / width)
+    return F.when(width.isNull(), F.lit(UNCUT)).otherwise(F.coalesce(slot, F.lit(TIMELESS)))
+
+
 def _by_order(a: Column, b: Column) -> Column:
     return F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
 

@@ -645,7 +645,7 @@ def _stream_of(spark, d, sql: str) -> DataFrame:
 
 def _drained(spark, stream: DataFrame, name: str, mode: str) -> str:
     """Run a stream over what is there; the folder of its output."""
-    base = stream_sinks.work_dir(spark, name)
+    base = sinks.work_dir(spark, name)
     run = stream_sinks.run(stream, stream_sinks.write_batches(f"{base}/out"), f"{base}/state",
                            mode, once=True)
     run.awaitTermination()

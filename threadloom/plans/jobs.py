@@ -17,6 +17,7 @@ from threadloom.operators.state import (attach_summary_asof, conversation_final,
                                         sentiment_trigger, state_rows)
 from threadloom.operators.timeline import Timeline
 from threadloom.schema import KEYS, KINDS, PAYLOADS
+from threadloom.sources.sinks import staged
 
 
 @dataclass(frozen=True)
@@ -58,10 +59,11 @@ def intelligence(messages: DataFrame, summaries: DataFrame, scorers: Scorers,
 
     ``summaries`` are those of an earlier run or of the summary stream: they are
     what a state can know. Keys are measured once and the cuts used throughout.
-    Write the states to a table first when scoring is expensive; each kind reads them.
+    States and results are written once, as several steps read them and a scorer
+    must not be asked twice.
     """
     t = timeline or Timeline().measured(messages)
-    states = state_rows(attach_summary_asof(messages, summaries, t), t, {})
+    states = staged(state_rows(attach_summary_asof(messages, summaries, t), t, {}), "states")
     parts = [as_results(df, kind) for kind, df in score_states(states, scorers).items()]
     parts.append(pii_results(messages))
     results = parts[0]
@@ -69,4 +71,4 @@ def intelligence(messages: DataFrame, summaries: DataFrame, scorers: Scorers,
         results = results.unionByName(part, allowMissingColumns=True)
     typed = results.select(*KEYS, "kind", "ts", "seq",
                            *[F.col(k).cast(PAYLOADS[k]).alias(k) for k in KINDS])
-    return merge_intelligence_final(typed)
+    return merge_intelligence_final(staged(typed, "results"))

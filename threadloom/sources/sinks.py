@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared checkpoint folder.
+
+    Only without that setting, as in tests, a local temporary folder is used.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared or tempfile.mkdtemp(prefix="threadloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    For frames that are used several times and costly to compute. What follows
+    starts from files that outlive any executor.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def keyed_json(records: DataFrame, key: str = "conversation_id", tenant: str | None = "tenant_id",
                columns: list[str] | None = None,
                position: tuple[str, ...] | None = None) -> DataFrame:

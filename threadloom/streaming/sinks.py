@@ -6,8 +6,6 @@ an earlier try left there. A reader takes the newest row per key.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +20,6 @@ from threadloom.operators.views import latest_summary, latest_summary_by_tenant
 BATCH = "batch_id"
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
-
-    Only without that setting, as in tests, a local temporary folder is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="threadloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_batches(path: str, fmt: str = "parquet",
                   change: Callable[[DataFrame], DataFrame] | None = None,
                   ) -> Callable[[DataFrame, int], None]:
