@@ -16,13 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from threadloom.operators.state import window_message
-from threadloom.schema import (INSIGHTS, KEYS, PII, SENTIMENT, SUMMARY, TEXTS, WINDOW_MESSAGE,
-                               WINDOW_MESSAGES, record)
-from threadloom.schema import ENTITY, FLAG, LONG, TEXT, TIME
+from threadloom.schema import (ENTITY, FLAG, INSIGHTS, KEYS, LONG, PII, SENTIMENT, SUMMARY, TEXT,
+                               TEXTS, TIME, WINDOW_MESSAGE, WINDOW_MESSAGES, record)
 
-NO_TIMEOUT = GroupStateTimeout.NoTimeout
+NO_TIMEOUT, BY_CLOCK = GroupStateTimeout.NoTimeout, GroupStateTimeout.ProcessingTimeTimeout
 # Times inside the JSON texts, to the microsecond.
 JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -31,6 +31,25 @@ def _json(value: Column) -> Column:
     return F.to_json(value, JSON_TIMES)
 
 
+def _keyed(rows: DataFrame, step, out: StructType, held: StructType,
+           idle_ms: int | None) -> DataFrame:
+    """Run ``step(key, batches, state)`` per key, with state that may expire.
+
+    With ``idle_ms`` the state of a key that saw no rows for that long is dropped.
+    """
+
+    def advance(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from step(key, batches, state)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+
+    return rows.groupBy(*KEYS).applyInPandasWithState(
+        advance, out, held, "append", NO_TIMEOUT if idle_ms is None else BY_CLOCK)
+
+
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     rows = pd.concat(list(batches), ignore_index=True)
     return rows.sort_values(["ts", "seq"], kind="stable")
@@ -61,8 +80,12 @@ def _advance_state(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=STATE_OUT.fieldNames())
 
 
-def stream_conversation_state(messages: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """State rows, one per message, with the newest summary received before it."""
+def stream_conversation_state(messages: DataFrame, summaries: DataFrame | None = None,
+                              idle_ms: int | None = None) -> DataFrame:
+    """State rows, one per message, with the newest summary received before it.
+
+    State is kept for good unless ``idle_ms`` says how long it outlives its last row.
+    """
     rows = messages.select(*KEYS, "ts", F.col("seq").cast("bigint").alias("seq"), "sender",
                            _json(window_message(messages)).alias("message"),
                            F.lit(None).cast("string").alias("summary"))
@@ -71,8 +94,7 @@ def stream_conversation_state(messages: DataFrame, summaries: DataFrame | None =
             *KEYS, "ts", F.col("seq").cast("bigint").alias("seq"),
             F.lit(None).cast("string").alias("sender"),
             F.lit(None).cast("string").alias("message"), _json(F.col("summary")).alias("summary")))
-    out = rows.groupBy(*KEYS).applyInPandasWithState(
-        _advance_state, STATE_OUT, STATE, "append", NO_TIMEOUT)
+    out = _keyed(rows, _advance_state, STATE_OUT, STATE, idle_ms)
     return (out
             .withColumn("recent_messages", F.transform(
                 "recent", lambda m: F.from_json(m, WINDOW_MESSAGE, JSON_TIMES)))
@@ -111,7 +133,7 @@ def _advance_merge(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=MERGED_OUT.fieldNames())
 
 
-def stream_merge_intelligence(results: DataFrame) -> DataFrame:
+def stream_merge_intelligence(results: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Change log of merged records, one per result, like the batch operator."""
     head = F.struct("pii.redacted_text", "pii.timestamp")
     rows = results.select(
@@ -122,8 +144,7 @@ def stream_merge_intelligence(results: DataFrame) -> DataFrame:
         F.col("pii.has_pii").alias("has_pii"),
         F.coalesce(F.transform("pii.entities", lambda e: F.to_json(e)), F.array().cast("array<string>"))
         .alias("entities"))
-    out = rows.groupBy(*KEYS).applyInPandasWithState(
-        _advance_merge, MERGED_OUT, MERGED, "append", NO_TIMEOUT)
+    out = _keyed(rows, _advance_merge, MERGED_OUT, MERGED, idle_ms)
     head_type = record(redacted_text=TEXT, timestamp=TIME)
     typed_head = F.from_json("pii", head_type, JSON_TIMES)
     entities = F.transform("entities", lambda e: F.from_json(e, ENTITY))
@@ -144,10 +165,10 @@ FOLD_OUT = record(tenant_id=TEXT, conversation_id=TEXT, ts=TIME, seq=LONG, answe
 FOLD_STATE = record(summary=TEXT)
 
 
-def stream_summary_fold(messages: DataFrame, fold) -> DataFrame:
+def stream_summary_fold(messages: DataFrame, fold, idle_ms: int | None = None) -> DataFrame:
     """Streaming twin of ``summary_fold``: the state is the current summary."""
 
-    def advance(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
         summary = json.loads(state.get[0]) if state.exists else None
         out = []
         for row in _ordered(batches).itertuples(index=False):
@@ -157,7 +178,6 @@ def stream_summary_fold(messages: DataFrame, fold) -> DataFrame:
         yield pd.DataFrame(out, columns=FOLD_OUT.fieldNames())
 
     rows = messages.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FOLD_IN.fields])
-    out = rows.groupBy(*KEYS).applyInPandasWithState(
-        advance, FOLD_OUT, FOLD_STATE, "append", NO_TIMEOUT)
+    out = _keyed(rows, step, FOLD_OUT, FOLD_STATE, idle_ms)
     return out.select(*KEYS, "ts", "seq", F.from_json("answer", SUMMARY)
                       .withField("timestamp", F.col("ts")).alias("summary"))
