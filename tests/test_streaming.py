@@ -98,15 +98,6 @@ def test_fold(spark, slices, tmp_path):
     assert rows_of(sinks.read_batches(spark, out), batch.columns) == rows_of(batch, batch.columns)
 
 
-def test_idle_state_expires(spark, slices, tmp_path):
-    """With a timeout the rows are the same as long as no key is idle."""
-    rows = msg.valid_rows(msg.validate_message(stream(spark, slices, A.MESSAGES)))
-    out = drain(stateful.stream_conversation_state(rows, idle_ms=3_600_000), str(tmp_path))
-    batch = state.conversation_state(msg.valid_rows(msg.validate_message(A.messages(spark, SF))))
-    columns = ["tenant_id", "conversation_id", "seq", "message_count"]
-    assert rows_of(sinks.read_batches(spark, out), columns) == rows_of(batch, columns)
-
-
 def test_dead_letters_and_a_repeated_batch(spark, slices, tmp_path):
     checked = msg.validate_message(
         stream(spark, slices, A.MESSAGES).withColumn("key", F.col("conversation_id"))
