@@ -152,14 +152,20 @@ def parse_model_response(responses: DataFrame, response: str = "response",
     # Only the answers that gave no fields are parsed again, to say why.
     unread = F.when(v.whole_json(body).isNull(), "response: not JSON").otherwise(
         "response: not an object")
-    df = df.withColumn("error", F.when(F.col(DOC).isNull(), unread).otherwise(F.expr(
-        "coalesce(concat(_missing, ': field required'), _unfit, _broken)")))
-    df = df.withColumn("error_type", F.expr(
-        "CASE WHEN error IS NULL THEN NULL WHEN error = 'response: not JSON' "
-        "THEN 'JSONDecodeError' WHEN error = 'response: not an object' THEN 'TypeError' "
-        "WHEN _missing IS NOT NULL THEN 'KeyError' WHEN _unfit IS NOT NULL THEN 'ValueError' "
-        "ELSE 'ValidationError' END"))
+    error = F.when(F.col(DOC).isNull(), F.struct(
+        unread.alias("error"), F.lit(None).cast("string").alias("type"))).otherwise(F.expr(
+            "CASE WHEN _missing IS NOT NULL THEN named_struct('error', "
+            "concat(_missing, ': field required'), 'type', 'KeyError') "
+            "WHEN _unfit IS NOT NULL THEN named_struct('error', _unfit, 'type', 'ValueError') "
+            "WHEN _broken IS NOT NULL THEN "
+            "named_struct('error', _broken, 'type', 'ValidationError') END"))
+    # Once per row: filters on the error read its value instead of repeating the checks.
+    df = v.with_once(df, "_failed", error).withColumns({
+        "error": F.col("_failed.error"),
+        "error_type": F.expr(
+            "CASE _failed.error WHEN 'response: not JSON' THEN 'JSONDecodeError' "
+            "WHEN 'response: not an object' THEN 'TypeError' ELSE _failed.type END")})
     return df.withColumns({
         k: F.expr(f"cast(CASE WHEN {kind} = '{k}' AND error IS NULL THEN {_payload(k, ts)} END "
                   f"AS {record.simpleString()})") for k, record in PAYLOADS.items()
-    }).drop(DOC, "_missing", "_unfit", "_broken")
+    }).drop(DOC, "_missing", "_unfit", "_broken", "_failed")

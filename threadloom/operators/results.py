@@ -126,7 +126,8 @@ def validate_agent_result(results: DataFrame) -> DataFrame:
     unread = F.when(v.whole_json(F.col("value")).isNull(), "value: not JSON").otherwise(
         "value: not an object")
     error = F.when(F.col(DOC).isNull(), unread).otherwise(F.expr(f"CASE {cases} END"))
-    return (result_keys(results).withColumn("error", error)
+    # Once per row: filters on the error read its value instead of repeating the checks.
+    return (v.with_once(result_keys(results), "error", error)
             .withColumn("error_type", F.expr(
                 "CASE error WHEN 'value: not JSON' THEN 'JSONDecodeError' "
                 "WHEN 'value: not an object' THEN 'AttributeError' "
