@@ -62,14 +62,20 @@ def test_keyed_json_round_trip(spark, tmp_path):
 
 def test_declared_stream_in_sql(spark):
     df = spark.createDataFrame(
-        [("c", '{"tenant_id":"t","tldr":"x","key_points":["p"]}', 4), ("d", "broken", 5)],
+        [("c", '{"tenant_id":"t","tldr":"x","key_points":["p"]}', 4), ("d", "broken", 5),
+         ("e", None, 6)],
         "key string, value string, offset bigint")
     events.declare_stream(df, SUMMARY_STREAM, key="conversation_id", name="summary_stream")
-    rows = spark.sql("SELECT * FROM summary_stream WHERE tldr IS NOT NULL").collect()
+    rows = spark.sql("SELECT * FROM summary_stream").collect()
     assert [(r.conversation_id, r.tldr, r.key_points, r.offset) for r in rows] == [
         ("c", "x", ["p"], 4)]
 
 
+def test_times_keep_microseconds(spark):
+    rows = messages(spark, [("t", "c", 0.000001, 1, "agent", "m")])
+    assert '"ts":"2025-01-01T00:00:00.000001"' in sinks.keyed_json(rows).collect()[0].value
+
+
 def test_serving_layout_prunes_tenants(spark, tmp_path):
     rows = messages(spark, [(f"t{i % 3}", f"c{i}", i, i, "agent", "m") for i in range(30)])
     sinks.write_serving(rows, str(tmp_path / "m"))

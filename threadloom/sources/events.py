@@ -17,6 +17,8 @@ from threadloom.functions.text import strip
 from threadloom.operators.timeline import SMALL_INPUT_BYTES, input_bytes
 from threadloom.schema import ENVELOPE
 
+BROKEN = "_broken"
+
 
 def from_broker(spark: SparkSession, topics: list[str], servers: str, streaming: bool = True,
                 **options: str) -> DataFrame:
@@ -81,15 +83,18 @@ def declare_stream(rows: DataFrame, schema: T.StructType, key: str | None = None
                    name: str | None = None) -> DataFrame:
     """Typed columns over a JSON topic; ``name`` also makes it a view for SQL.
 
-    The key column is read from the record key, the others from the value. Field
-    names match whatever their case, as column names do.
+    The key column is read from the record key, the others from the value. Rows
+    without a value and rows whose value is not such a record are left out.
     """
-    typed = rows.withColumn("_v", F.from_json("value", schema))
+    checked = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    typed = rows.withColumn("_v", F.from_json(
+        "value", checked, {"columnNameOfCorruptRecord": BROKEN}))
     columns = [(F.col("key") if f.name == key else F.col(f"_v.{f.name}")).alias(f.name)
                for f in schema.fields]
     position = [c for c in ("topic", "partition", "offset", "ts", "timestamp")
                 if c in rows.columns and c not in schema.fieldNames()]
-    out = typed.filter(F.col("_v").isNotNull()).select(*columns, *position)
+    kept = F.col("_v").isNotNull() & F.col(f"_v.{BROKEN}").isNull()
+    out = typed.filter(kept).select(*columns, *position)
     if name:
         out.createOrReplaceTempView(name)
     return out

@@ -30,6 +30,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# Nulls are written, times to the microsecond.
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+                "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def keyed_json(records: DataFrame, key: str = "conversation_id", tenant: str | None = "tenant_id",
                columns: list[str] | None = None,
                position: tuple[str, ...] | None = None) -> DataFrame:
@@ -39,7 +44,7 @@ def keyed_json(records: DataFrame, key: str = "conversation_id", tenant: str | N
     the source position (or of the record), so a retried task writes the same one.
     """
     fields = columns or [c for c in records.columns if c != "headers"]
-    value = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    value = F.to_json(F.struct(*fields), JSON_OPTIONS)
     source = ([F.col(p).cast("string") for p in position] if position else [value])
     headers = F.array(_header("correlation_id", F.sha2(F.concat_ws("|", *source), 256)))
     if tenant:
@@ -68,15 +73,13 @@ def write_files(rows: DataFrame, path: str, fmt: str = "json", mode: str = "appe
     rows.write.format(fmt).mode(mode).save(path)
 
 
-def write_serving(merged: DataFrame, path: str, mode: str = "overwrite",
-                  files_per_tenant: int = 8) -> None:
+def write_serving(merged: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Merged records laid out for lookups: a folder per tenant, sorted by conversation.
 
-    Rows of a tenant go to ``files_per_tenant`` tasks by conversation, so a large
-    tenant is not written by one. Lookups skip the other tenants' folders, and
-    most row groups of their own by the sort.
+    Ranges of (tenant, conversation) are of even size, so a large tenant is
+    written by many tasks and a small one by one. Lookups skip the other
+    tenants' folders, and most row groups of their own by the sort.
     """
-    slot = F.pmod(F.xxhash64("conversation_id"), F.lit(files_per_tenant))
-    (merged.repartition("tenant_id", slot)
+    (merged.repartitionByRange("tenant_id", "conversation_id")
      .sortWithinPartitions("tenant_id", "conversation_id")
      .write.mode(mode).partitionBy("tenant_id").parquet(path))
