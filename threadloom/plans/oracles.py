@@ -262,6 +262,27 @@ SUMMARY = """'Customer reported technical issues (Mock Summary).' AS tldr,
   'Issue reported|Investigation started' AS key_points,
   'Check logs|Reply to customer' AS next_steps"""
 
+# Stand-in models: constants, and a keyword in the newest message.
+JOB = f"""WITH {PII}, chat AS (SELECT * FROM m WHERE event_type <> 'purchase'),
+marks AS (SELECT chat.tenant_id, chat.conversation_id, seq, o, type, s, s + length(hit) AS z
+  FROM placed JOIN chat USING (seq)),
+heads AS (SELECT {K}, min(seq) AS opened, max(seq) AS newest,
+    bool_or(sender = 'customer') AS spoke FROM chat GROUP BY ALL),
+order_of AS (SELECT marks.*, opened, row_number() OVER (PARTITION BY marks.tenant_id,
+    marks.conversation_id, type ORDER BY seq, o) AS nth FROM marks JOIN heads USING ({K})),
+joined AS (SELECT {K}, string_agg(type || ':[REDACTED]:' || s || ':' || z, '|' ORDER BY seq, o)
+    AS entities FROM order_of WHERE seq = opened OR nth = 1 GROUP BY ALL)
+SELECT {K}, CASE WHEN spoke THEN 'neutral' END AS sentiment,
+  CASE WHEN spoke THEN cast(0.5 AS double) END AS confidence,
+  CASE WHEN spoke THEN 'neutral' END AS emotion, CASE WHEN spoke THEN 'steady' END AS reasoning,
+  entities IS NOT NULL AS has_pii, coalesce(entities, '') AS entities, redacted_text,
+  CASE WHEN message LIKE '%account%' THEN 'Account Issue' ELSE 'General Inquiry' END AS intent,
+  CASE WHEN message LIKE '%account%' THEN 'High' ELSE 'Low' END AS urgency, '' AS categories,
+  '' AS suggested_actions, message LIKE '%account%' AS requires_escalation,
+  '1-4 hours' AS estimated_resolution_time, '' AS key_concerns, 'talk' AS tldr,
+  'issue' AS customer_issue, NULL AS agent_response, '' AS key_points, '' AS next_steps
+FROM heads LEFT JOIN joined USING ({K})
+JOIN chat USING ({K}) JOIN clean ON clean.seq = chat.seq WHERE chat.seq = newest"""
 STATE = state_sql(B, "m")
 CHANGE_LOG = f"WITH {CHANGES} SELECT {K}, seq, kind, {MERGED_LIST}, last_updated FROM g"
 ASOF_SQL = f"""WITH {ASOF} SELECT {K}, seq, ts, tldr, customer_issue, agent_response, key_points,
@@ -454,6 +475,7 @@ GROUP BY ALL""",
   CASE WHEN message LIKE '%account%' THEN 'Account Issue' ELSE 'General Inquiry' END AS intent,
   CASE WHEN message LIKE '%account%' THEN 'High' ELSE 'Low' END AS urgency,
   message LIKE '%account%' AS requires_escalation FROM m""",
+    "intelligence_job": JOB,
     "extension_point": f"WITH {B} SELECT sender, count(*) AS messages FROM m GROUP BY sender",
     "summary_fold": f"""WITH {B}, {numbered('m')} SELECT {K}, seq,
   nr || ' messages, last from ' || sender AS tldr,

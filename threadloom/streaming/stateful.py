@@ -98,9 +98,7 @@ def _advance_merge(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
         elif row.kind == "pii":
             opening = now["pii"] is None
             now["pii"], now["has_pii"] = row.payload, bool(now["has_pii"]) or bool(row.has_pii)
-            for text in row.entities:
-                one = json.loads(text)
-                mark = json.dumps([one.get("type"), one.get("value")])
+            for mark, text in zip(row.marks, row.entities):
                 if opening or mark not in seen:
                     entities.append(text)
                 seen.add(mark)
@@ -113,15 +111,16 @@ def _advance_merge(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
 
 def stream_merge_intelligence(results: DataFrame) -> DataFrame:
     """Change log of merged records, one per result, like the batch operator."""
-    head = F.struct("pii.redacted_text", "pii.timestamp")
+    head, none = F.struct("pii.redacted_text", "pii.timestamp"), F.array().cast("array<string>")
     rows = results.select(
         *KEYS, "ts", F.col("seq").cast("bigint").alias("seq"), "kind",
         F.coalesce(_json(F.col("sentiment")), _json(F.col("insights")),
                    _json(F.col("summary")),
                    F.when(F.col("kind") == "pii", _json(head))).alias("payload"),
         F.col("pii.has_pii").alias("has_pii"),
-        F.coalesce(F.transform("pii.entities", lambda e: F.to_json(e)), F.array().cast("array<string>"))
-        .alias("entities"))
+        F.coalesce(F.transform("pii.entities", lambda e: F.to_json(e)), none).alias("entities"),
+        F.coalesce(F.transform("pii.entities", lambda e: F.to_json(F.struct(e["type"], e["value"]))),
+                   none).alias("marks"))
     out = rows.groupBy(*KEYS).applyInPandasWithState(
         _advance_merge, MERGED_OUT, MERGED, "append", NO_TIMEOUT)
     head_type = record(redacted_text=TEXT, timestamp=TIME)
