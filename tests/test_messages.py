@@ -98,3 +98,25 @@ def test_columns_survive(spark):
     good, _ = ingest(requests(spark, [{"conversation_id": "c", "sender": "agent",
                                        "message": "m", "tenant_id": "x"}]))
     assert good.select(F.col("tenant_id")).collect()[0][0] == "x"
+
+
+def test_from_topic_files_to_contexts(spark, tmp_path):
+    """The example of the README."""
+    from threadloom.operators import context, pii, state
+    from threadloom.schema import ENVELOPE
+    from threadloom.sources.events import from_files
+
+    rows = [("support.messages.raw", 0, i, "c",
+             json.dumps({"conversation_id": "c", "sender": who, "message": text}), None, at(i))
+            for i, (who, text) in enumerate([("customer", "hi"), ("agent", "call 12345678"),
+                                             ("agent", "")])]
+    spark.createDataFrame(rows, ENVELOPE).write.parquet(str(tmp_path / "topic"))
+    messages, dead = ingest(read_requests(from_files(spark, str(tmp_path / "topic"))))
+    messages = messages.withColumnsRenamed({"timestamp": "ts"}).withColumn(
+        "seq", messages["offset"])
+    states = context.context_last5(state.conversation_state(messages)).orderBy("seq").collect()
+    assert [r.context for r in states] == ["Customer: hi", "Customer: hi\nAgent: call 12345678"]
+    assert states[0].tenant_id == "demo-tenant" and dead.count() == 1
+    assert pii.detect_pii(messages).filter("has_pii").count() == 1
+    record = state.state_record(state.conversation_state(messages)).orderBy("message_count")
+    assert [m.conversation_id for m in record.collect()[1].recent_messages] == ["c", "c"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import timeline as tl
 from threadloom.operators.timeline import Timeline, latest
-from threadloom.schema import ENTITY, KEYS, KINDS, PII
+from threadloom.schema import KEYS, KINDS, PII
 
 ORDER = ("ts", "seq")
 

@@ -6,9 +6,8 @@ flat columns. ``oracles`` has the SQL the results are checked against.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +31,8 @@ SMALL_SEGMENT = 16
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register under the function's name; a final "_" only avoids a clash of names."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -240,17 +240,11 @@ def validate_agent_result_(spark, d):
         "seq", "kind", *KEYS, "error", "error_type")
 
 
-QUERIES["validate_agent_result"] = QUERIES.pop("validate_agent_result_")
-
-
 @query
 def classify_result_(spark, d):
     return classify_result(A.raw_results(spark, d)).select("seq", "kind")
 
 
-QUERIES["classify_result"] = QUERIES.pop("classify_result_")
-
-
 @query
 def drop_keyless(spark, d):
     return msg.drop_keyless(result_keys(A.raw_results(spark, d))).select("seq", *KEYS, "kind")
@@ -515,9 +509,6 @@ def transcript_(spark, d):
         *KEYS, count_of("part"), count_of("lines"), "text")
 
 
-QUERIES["transcript"] = QUERIES.pop("transcript_")
-
-
 @query
 def transcript_large_keys(spark, d):
     """Parts of eight lines, over keys that are cut: the plan of very long conversations."""
