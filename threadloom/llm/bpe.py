@@ -25,7 +25,7 @@ from threadloom.llm import pretokens
 from threadloom.llm.tables import shuffle_parts
 
 #: Characters to a chunk; a longer text is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 CHANGED = "the input changed between two readings of it: stage it before encoding"
 
@@ -187,22 +187,22 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids",
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array([*table.value, b""], pa.large_binary())
-        lengths = np.array([*map(len, table.value), 0])
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.where((flat < 0) | (flat >= len(tokens)), len(tokens) - 1, flat)
-            sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()]
-                             if lists.null_count else np.diff(lists.offsets.to_numpy()))
-            found = tokens.take(pa.array(flat))
-            at = np.concatenate(([0], np.cumsum(lengths[flat])))
-            ends = at[np.concatenate(([0], np.cumsum(sizes)))]
-            data = b"".join(found.to_pylist())
-            whole = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            if lists.null_count:
-                whole = [w if v else None for w, v in zip(whole, lists.is_valid().to_pylist())]
-            columns = dict(zip(batch.schema.names, batch.columns))
-            yield pa.RecordBatch.from_pydict(columns | {into: pa.array(whole, pa.binary())})
+        for whole_batch in batches:
+            for batch in (whole_batch.slice(i, 1000) for i in range(0, len(whole_batch), 1000)):
+                lists = batch.column(batch.schema.get_field_index(ids))
+                sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()]
+                                 if lists.null_count else np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                flat = np.where((flat < 0) | (flat >= len(tokens)), len(tokens) - 1, flat)
+                found = tokens.take(pa.array(flat))
+                at = np.frombuffer(found.buffers()[1], np.int64)
+                ends = at[np.concatenate(([0], np.cumsum(sizes)))]
+                data = memoryview(found.buffers()[2] or b"")
+                whole = [bytes(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                if lists.null_count:
+                    whole = [w if v else None for w, v in zip(whole, lists.is_valid().to_pylist())]
+                columns = dict(zip(batch.schema.names, batch.columns))
+                yield pa.RecordBatch.from_pydict(columns | {into: pa.array(whole, pa.binary())})
 
     schema = encoded.drop(into).schema.add(into, "binary")
     return encoded.drop(into).mapInArrow(looked_up, schema)

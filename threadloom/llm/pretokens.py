@@ -75,12 +75,12 @@ def pretokenize(texts: list[str | None], table: np.ndarray) -> tuple[pa.Array, n
     if not len(codes):
         return pa.array([], pa.large_binary()).dictionary_encode(), lengths
     found = cuts(codes, table[codes], begins[lengths > 0])
-    size = np.ones(len(codes), np.int64)
+    size = np.ones(len(codes), np.uint8)
     for least in (0x80, 0x800, 0x10000):
         size += codes >= least
-    at = np.concatenate(([0], np.cumsum(size)))
     data = "".join(t or "" for t in texts).encode("utf-8", "surrogatepass")
-    offsets = np.append(at[found], at[-1])
+    offsets = np.append(0, np.cumsum(np.add.reduceat(size, found, dtype=np.int64)))
+    del size
     tokens = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     per_text = (np.searchsorted(found, begins + lengths) - np.searchsorted(found, begins))
