@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, languages, packing, pretokens, quality
+from threadloom.llm import bpe, jaccard, languages, packing, pretokens, quality
 from threadloom.llm.tables import held_back, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, labels.where(~held_back("doc_id", 3, 1)))
     return quality.score(docs, model).select(
         "doc_id", held_back("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
