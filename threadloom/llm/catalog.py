@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, jaccard, languages, packing, pretokens, quality
+from threadloom.llm import bpe, jaccard, languages, packing, pretokens, quality, spots, urls
 from threadloom.llm.tables import held_back, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,45 @@ def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the query, as host, path and verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"),
+             ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op7_url_cascade"] = """
+WITH parts AS (
+  SELECT page_id,
+         CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest
+  FROM pages),
+split AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts),
+rules(rule_host, rule_path, verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fitting AS (
+  SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         max_by(verdict, length(rule_host || rule_path)) AS verdict
+  FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+   AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM split LEFT JOIN fitting USING (page_id)
+"""
