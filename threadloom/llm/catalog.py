@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, jaccard, languages, packing, pretokens, quality, spots, urls
+from threadloom.llm import (archives, bpe, differencing, jaccard, languages, packing, pretokens,
+                            quality, spots, urls)
 from threadloom.llm.tables import held_back, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,13 @@ fitting AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM split LEFT JOIN fitting USING (page_id)
 """
+
+
+@query
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.through_archives(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_nearest_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differencing.extract(table(spark, sf_dir, "pages"))
