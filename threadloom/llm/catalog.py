@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import (archives, bpe, differencing, jaccard, languages, packing, pretokens,
+from threadloom.llm import (archives, bpe, covertree, differencing, jaccard, languages, packing, pretokens,
                             quality, spots, urls)
 from threadloom.llm.tables import held_back, table
 
@@ -111,3 +111,8 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_nearest_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differencing.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
