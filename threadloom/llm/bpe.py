@@ -51,7 +51,7 @@ def _owners(words: list[bytes], buckets: int) -> np.ndarray:
 
 def _packed(*arrays: np.ndarray) -> bytes:
     """Whole numbers, byte plane by byte plane, squeezed."""
-    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
                       for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(planes)
 
