@@ -14,8 +14,7 @@ from threadloom.schema import REDACTED
 # The three patterns. Word characters are letters, numbers and "_" of
 # any script, so the word boundaries are spelled out.
 PHONE = r"(?U)(?<![\p{L}\p{N}_])\d{8,15}(?![\p{L}\p{N}_])"
-ACCOUNT = (rf"(?U)([aA][cC][cC][oO][uU][nN][tT]{SPACE}+(?:[nN][uU][mM][bB][eE][rR]{SPACE}+)?"
-           rf"(?:[eE][nN][dD][iIİı][nN][gG]{SPACE}+)?)(\d+)")
+ACCOUNT = rf"(?iU)(account{SPACE}+(?:number{SPACE}+)?(?:ending{SPACE}+)?)(\d+)"
 NAME = r"(My name is )([A-Z][a-z]+ [A-Z][a-z]+)"
 
 SPAN = "array<struct<type:string,value:string,start_index:int,end_index:int>>"

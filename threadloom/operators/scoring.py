@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.operators.responses import parse_model_response
-from threadloom.schema import INSIGHTS, KEYS, SUMMARY
+from threadloom.schema import KEYS, SUMMARY
 
 Scorer = Callable[[Sequence[str]], Sequence[str]]
 # (previous summary or None, sender, message) -> next summary
@@ -44,36 +44,6 @@ def raw_answers(contexts: DataFrame, scorer: Scorer, context: str = "context") -
     return slim.mapInPandas(run, schema)
 
 
-# The answers given while no model can be reached.
-FIXED_INSIGHTS = {
-    "intent": "Technical Issue", "urgency": "Medium",
-    "categories": ["connectivity", "network"],
-    "suggested_actions": ["Troubleshoot router", "Check service status"],
-    "requires_escalation": False, "estimated_resolution_time": "1-4 hours",
-    "key_concerns": ["Connection stability"],
-}
-FIXED_SUMMARY = {
-    "tldr": "Customer reported technical issues (Mock Summary).",
-    "customer_issue": "Technical connectivity problem",
-    "agent_response": "Agent is investigating.",
-    "key_points": ["Issue reported", "Investigation started"],
-    "next_steps": ["Check logs", "Reply to customer"],
-}
-
-
-def _literal(values: dict, ts: Column) -> list[Column]:
-    return [*[(F.array(*[F.lit(x) for x in val]) if isinstance(val, list) else F.lit(val))
-              .alias(name) for name, val in values.items()], ts.alias("timestamp")]
-
-
-def fixed_scorer(states: DataFrame, ts: str = "ts") -> DataFrame:
-    """Add the fixed insights and summary to every row."""
-    at = F.col(ts)
-    return (states
-            .withColumn("insights", F.struct(*_literal(FIXED_INSIGHTS, at)).cast(INSIGHTS))
-            .withColumn("summary", F.struct(*_literal(FIXED_SUMMARY, at)).cast(SUMMARY)))
-
-
 def extension_point(df: DataFrame, function: Callable[..., DataFrame], *args) -> DataFrame:
     """Apply a user's step. Column logic keeps its plan visible to Catalyst."""
     return df.transform(function, *args)

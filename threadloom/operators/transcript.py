@@ -14,9 +14,8 @@ from threadloom.operators.state import message_ordinal
 from threadloom.operators.timeline import Timeline, _by_order
 from threadloom.schema import KEYS
 
+# A format parameter: how many lines a part has. Longer texts have more parts.
 PART_LINES = 1000
-# For the running form every message repeats its part so far: keep those shorter.
-RUNNING_PART_LINES = 200
 
 
 def line() -> Column:
@@ -36,28 +35,18 @@ def transcript_lines(messages: DataFrame, part_lines: int = PART_LINES,
 def transcript(messages: DataFrame, part_lines: int = PART_LINES,
                timeline: Timeline | None = None) -> DataFrame:
     """One row per part: its lines in order, joined. Groups are bounded by size."""
+    return _parts(messages, part_lines, timeline).drop("newest")
+
+
+def _parts(messages: DataFrame, part_lines: int, timeline: Timeline | None) -> DataFrame:
     numbered = transcript_lines(messages, part_lines, timeline)
     rows = F.collect_list(F.struct(F.col("message_number").alias("o"), F.col("line")))
     grouped = numbered.groupBy(*KEYS, "part").agg(
-        rows.alias("rows"), F.count(F.lit(1)).alias("lines"))
+        rows.alias("rows"), F.count(F.lit(1)).alias("lines"),
+        F.max_by("message", "message_number").alias("newest"))
     text = F.array_join(
         F.transform(F.array_sort(F.col("rows"), _by_order), lambda r: r["line"]), "\n")
-    return grouped.select(*KEYS, "part", "lines", text.alias("text"))
-
-
-def running_transcript(messages: DataFrame, part_lines: int = RUNNING_PART_LINES,
-                       timeline: Timeline | None = None) -> DataFrame:
-    """The transcript as of every message: ``text`` is its part up to that line.
-
-    Earlier parts are complete and not repeated; ``transcript`` with the same
-    ``part_lines`` has them.
-    """
-    numbered = transcript_lines(messages, part_lines, timeline)
-    w = (Window.partitionBy(*KEYS, "part").orderBy("message_number")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    text = F.array_join(F.collect_list("line").over(w), "\n")
-    return numbered.select(*KEYS, "ts", "seq", "sender", "message", "message_number", "part",
-                           text.alias("text"))
+    return grouped.select(*KEYS, "part", "lines", text.alias("text"), "newest")
 
 
 # The text of the reply request.
@@ -66,10 +55,20 @@ REPLY_MIDDLE = '\n"""\n\nLatest Customer Message:\n"""\n'
 REPLY_TAIL = '\n"""'
 
 
-def reply_context(messages: DataFrame, part_lines: int = RUNNING_PART_LINES,
+def reply_context(messages: DataFrame, part_lines: int = PART_LINES,
                   timeline: Timeline | None = None) -> DataFrame:
-    """History and newest message as the context of a reply, per message."""
-    running = running_transcript(messages, part_lines, timeline)
-    return running.withColumn("context", F.concat(
-        F.lit(REPLY_HEAD), F.col("text"), F.lit(REPLY_MIDDLE), F.col("message"),
-        F.lit(REPLY_TAIL)))
+    """The whole history and the newest message of every conversation, as a reply's context.
+
+    One row per part of the history, so the context of a very long conversation is
+    several rows: ``context`` of its parts in order, joined by a newline, is the whole of
+    it. The first part opens the context, the last one (``is_last``) ends with the newest
+    message. The history up to an earlier message is a filter on ``transcript_lines``.
+    """
+    parts = _parts(messages, part_lines, timeline)
+    # one row per part_lines lines: a window over parts, not over messages
+    last = F.max("part").over(Window.partitionBy(*KEYS)) == F.col("part")
+    head = F.when(F.col("part") == 0, F.lit(REPLY_HEAD)).otherwise("")
+    tail = F.when(F.col("is_last"), F.concat(F.lit(REPLY_MIDDLE), F.col("newest"), F.lit(REPLY_TAIL)))
+    return parts.withColumn("is_last", last).select(
+        *KEYS, "part", "lines", "is_last",
+        F.concat(head, F.col("text"), F.coalesce(tail, F.lit(""))).alias("context"))

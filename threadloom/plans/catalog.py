@@ -520,13 +520,23 @@ def transcript_large_keys(spark, d):
 
 @query
 def running_transcript(spark, d):
-    return transcript.running_transcript(turns(spark, d)).select(
-        *KEYS, "seq", count_of("part"), "text")
+    """Numbered lines: the text as of any message is those up to its number."""
+    return transcript.transcript_lines(turns(spark, d)).select(
+        *KEYS, "seq", count_of("message_number"), count_of("part"), "line")
 
 
 @query
 def reply_context(spark, d):
-    return transcript.reply_context(turns(spark, d)).select(*KEYS, "seq", "context")
+    return transcript.reply_context(turns(spark, d)).select(
+        *KEYS, count_of("part"), count_of("lines"), "is_last", "context")
+
+
+@query
+def reply_context_long(spark, d):
+    """One conversation per tenant, far longer than a part of 100 lines."""
+    rows = valid_messages(spark, d).withColumn("conversation_id", F.col("tenant_id"))
+    return transcript.reply_context(rows, 100).select(
+        *KEYS, count_of("part"), count_of("lines"), "is_last", "context")
 
 
 # -- personal data -------------------------------------------------------------
@@ -579,12 +589,6 @@ def score(spark, d):
                       F.col("insights.requires_escalation").alias("requires_escalation"))
 
 
-@query
-def fixed_scorer(spark, d):
-    out = scoring.fixed_scorer(valid_messages(spark, d))
-    return out.select("seq", *flat_insights(), *flat_summary())
-
-
 @query
 def extension_point(spark, d):
     """A user's own step: messages per sender."""

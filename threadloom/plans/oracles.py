@@ -164,6 +164,20 @@ SELECT {K}, cast((nr - 1) // {lines} AS bigint) AS part, count(*) AS lines,
   string_agg(sender || ': ' || message, chr(10) ORDER BY nr) AS text FROM n GROUP BY ALL"""
 
 
+def reply_sql(source: str, rows: str, lines: int) -> str:
+    return f"""WITH {source}, {numbered(rows)},
+parts AS (SELECT {K}, cast((nr - 1) // {lines} AS bigint) AS part, count(*) AS lines,
+  string_agg(sender || ': ' || message, chr(10) ORDER BY nr) AS text FROM n GROUP BY ALL),
+newest AS (SELECT {K}, message, cast((nr - 1) // {lines} AS bigint) AS last_part FROM n
+  QUALIFY nr = max(nr) OVER (PARTITION BY {K}))
+SELECT {K}, part, lines, part = last_part AS is_last,
+  CASE WHEN part = 0 THEN 'Conversation History:' || chr(10) || '\"\"\"' || chr(10) ELSE '' END
+  || text || CASE WHEN part = last_part THEN chr(10) || '\"\"\"' || chr(10) || chr(10)
+    || 'Latest Customer Message:' || chr(10) || '\"\"\"' || chr(10) || message || chr(10)
+    || '\"\"\"' ELSE '' END AS context
+FROM parts JOIN newest USING ({K})"""
+
+
 def rate_sql(key: str, seconds: int, limit: int) -> str:
     return f"""WITH b AS ({duck(A.MESSAGES)}),
 q AS (SELECT x.{key}, x.seq, x.ts, count(y.seq) AS recent, min(y.ts) AS oldest
@@ -254,14 +268,6 @@ def latest_sql(keys: str, columns: list[str]) -> str:
 SENTIMENT_TAIL = ("chr(10) || chr(10) || 'IMPORTANT: Analyze the CUSTOMER''s CURRENT emotional "
                   "state based on their latest message above.' || chr(10)")
 CAPITAL = "upper(y.sender[1]) || y.sender[2:] || ': ' || y.message"
-INSIGHTS = """'Technical Issue' AS intent, 'Medium' AS urgency, 'connectivity|network' AS categories,
-  'Troubleshoot router|Check service status' AS suggested_actions, false AS requires_escalation,
-  '1-4 hours' AS estimated_resolution_time, 'Connection stability' AS key_concerns"""
-SUMMARY = """'Customer reported technical issues (Mock Summary).' AS tldr,
-  'Technical connectivity problem' AS customer_issue, 'Agent is investigating.' AS agent_response,
-  'Issue reported|Investigation started' AS key_points,
-  'Check logs|Reply to customer' AS next_steps"""
-
 # Stand-in models: constants, and a keyword in the newest message.
 JOB = f"""WITH {PII}, chat AS (SELECT * FROM m WHERE event_type <> 'purchase'),
 marks AS (SELECT chat.tenant_id, chat.conversation_id, seq, o, type, s, s + length(hit) AS z
@@ -441,13 +447,11 @@ QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY ts DESC, seq DESC) <= 5""",
     "transcript": transcript_sql(TURNS, "a", 1000),
     "transcript_large_keys": transcript_sql(B, "m", 8),
     "running_transcript": f"""WITH {TURNS}, {numbered('a')} SELECT {K}, seq,
-  cast(0 AS bigint) AS part,
-  {window_text(200, "y.sender || ': ' || y.message", 'chr(10)')} AS text FROM n x""",
-    "reply_context": f"""WITH {TURNS}, {numbered('a')} SELECT {K}, seq,
-  'Conversation History:' || chr(10) || '\"\"\"' || chr(10)
-  || {window_text(200, "y.sender || ': ' || y.message", 'chr(10)')} || chr(10) || '\"\"\"'
-  || chr(10) || chr(10) || 'Latest Customer Message:' || chr(10) || '\"\"\"' || chr(10) || message
-  || chr(10) || '\"\"\"' AS context FROM n x""",
+  nr AS message_number, cast((nr - 1) // 1000 AS bigint) AS part, sender || ': ' || message AS line
+FROM n""",
+    "reply_context": reply_sql(TURNS, "a", 1000),
+    "reply_context_long": reply_sql(
+        f"{B}, by_tenant AS (SELECT * REPLACE (tenant_id AS conversation_id) FROM m)", "by_tenant", 100),
     "detect_pii": f"""WITH {PII} SELECT w.seq, entities IS NOT NULL AS has_pii,
   coalesce(entities, '') AS entities, redacted_text
 FROM w LEFT JOIN listing USING (seq) JOIN clean USING (seq)""",
@@ -470,7 +474,6 @@ SELECT doc_id, source, len(phones) + len(accounts) + len(names) > 0 AS has_pii,
     "redact": f"WITH {PII} SELECT seq, redacted_text FROM clean",
     "pii_counts": f"""WITH {PII} SELECT tenant_id, type, count(*) AS entities FROM placed
 GROUP BY ALL""",
-    "fixed_scorer": f"WITH {B} SELECT seq, {INSIGHTS}, {SUMMARY} FROM m",
     "score": f"""WITH {B} SELECT {K}, seq, NULL AS error,
   CASE WHEN message LIKE '%account%' THEN 'Account Issue' ELSE 'General Inquiry' END AS intent,
   CASE WHEN message LIKE '%account%' THEN 'High' ELSE 'Low' END AS urgency,

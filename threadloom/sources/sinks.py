@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +11,11 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    Only without that setting, as in tests, a local temporary folder is used.
+    Without that setting it is under the warehouse, which a cluster shares as well.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="threadloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    shared = (spark.conf.get("spark.checkpoint.dir", None)
+              or f"{spark.conf.get('spark.sql.warehouse.dir')}/.work")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
