@@ -38,9 +38,9 @@ def rows_of(df):
     return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
 
 
-@pytest.mark.parametrize("rows_per_task, max_large", [(5, 1000), (40, 1000), (1, 1000), (5, 0)])
-def test_cut_equals_whole(spark, skewed, rows_per_task, max_large):
-    cut = Timeline().measured(skewed, rows_per_task, max_large)
+@pytest.mark.parametrize("rows_per_task", [1, 5, 40])
+def test_cut_equals_whole(spark, skewed, rows_per_task):
+    cut = Timeline().measured(skewed, rows_per_task)
     assert not cut.whole
     assert rows_of(cut.running(skewed, scans())) == rows_of(Timeline().running(skewed, scans()))
 
@@ -64,13 +64,36 @@ def test_small_keys_are_not_cut(spark, skewed):
     assert Timeline().measured(skewed, 10_000).whole
 
 
-def test_width_follows_the_busiest_moment(spark):
-    rows = [("t", "k", i * 0.001, i, "customer", "m") for i in range(200)]
-    cut = Timeline().measured(messages(spark, rows), 20)
-    width = cut.cuts.collect()[0]["_width"]
-    assert width == 10_000  # ten rows per ten milliseconds
-    per_segment = cut.tagged(messages(spark, rows)).groupBy(tl.SEGMENT).count()
-    assert per_segment.agg(F.max("count")).collect()[0][0] <= 20
+@pytest.mark.parametrize("second, seq", [
+    (lambda i: i * 0.001, lambda i: i),                     # evenly
+    (lambda i: 7 if i < 900 else 86_400 * i, lambda i: i),  # a burst, then years
+    (lambda i: 7, lambda i: i),                             # all at one time
+    (lambda i: 7, lambda i: i * 2 ** 50),                   # and far apart in sequence
+])
+def test_segments_are_small_and_in_order(spark, second, seq):
+    rows = [("t", "k", second(i), seq(i), "customer", "m") for i in range(1000)]
+    table = messages(spark, rows)
+    segments = (Timeline().measured(table, 20).tagged(table).groupBy(tl.SEGMENT)
+                .agg(F.count("*").alias("n"), F.min(F.struct("ts", "seq")).alias("first"),
+                     F.max(F.struct("ts", "seq")).alias("last"))
+                .orderBy(tl.SEGMENT).collect())
+    assert max(s.n for s in segments) <= 20 and sum(s.n for s in segments) == 1000
+    assert len(segments) < 500  # a burst doesn't refine the rest
+    for one, two in zip(segments, segments[1:]):
+        assert tuple(one.last) < tuple(two.first)
+
+
+def test_rows_without_a_time_are_cut_by_sequence(spark):
+    rows = [("t", "k", i, i, "customer", "m") for i in range(300)]
+    table = messages(spark, rows).withColumn("ts", F.when(F.col("seq") >= 200, F.col("ts")))
+    cut = Timeline().measured(table, 20)
+    assert cut.tagged(table).groupBy(tl.SEGMENT).count().agg(F.max("count")).first()[0] <= 20
+    assert rows_of(cut.running(table, scans())) == rows_of(Timeline().running(table, scans()))
+
+
+def test_equal_rows_stay_together(spark):
+    table = messages(spark, [("t", "k", 7, 1, "customer", "m")] * 50)
+    assert Timeline().measured(table, 20).whole
 
 
 def test_state_and_transcript_over_cut_keys(spark, skewed):

@@ -86,7 +86,7 @@ def conversation_state_with_summary(messages: DataFrame, summaries: DataFrame,
     The summaries ride along in the same shuffle; the window of the last ten
     messages then reuses its partitioning.
     """
-    t = timeline or Timeline().measured(messages)
+    t = timeline or Timeline().measured(_with_summaries(messages, summaries))
     attached = attach_summary_asof(messages, summaries, t)
     return state_rows(attached, t, {})
 

@@ -2,7 +2,7 @@
 
 A plain window puts every row of a key into one task. That is the right plan
 while keys are small, and it is what runs when no key is large. A key above
-``rows_per_task`` rows is cut along time into segments:
+``rows_per_task`` rows is cut along its order into segments:
 
 1. rows are shuffled and sorted by (key, segment) and scanned there, so the work
    of one key spreads over many tasks and rows are still shuffled once;
@@ -12,28 +12,25 @@ while keys are small, and it is what runs when no key is large. A key above
 3. the carried value is joined on (key, segment), which is how the rows are
    already partitioned and sorted, and combined with the value from step 1.
 
-The cut depends on time alone and never reverses it, so results are the same for
-any cut. The statistics only decide speed.
+The cut depends on the order alone and never reverses it, so results are the same
+for any cut. The statistics only decide speed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.sources.sinks import staged
+
 ROWS_PER_TASK = 1_000_000
-# More large keys than this are not collected; see ``Timeline.measured``.
-MAX_LARGE_KEYS = 100_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+# Into so many parts a large segment is cut in one turn, and the rank error of the cuts.
+FANOUT, ACCURACY = 64, 2_000
 SEGMENT = "_segment"
-# Segment of all rows of a key that is not cut, and of a cut key's rows without a time.
-UNCUT, TIMELESS = -2 ** 63, -2 ** 63 + 1
-# Cut width for all keys when the large ones are too many to list: an hour.
-FALLBACK_WIDTH_US = 3_600_000_000
 UNBOUNDED, HERE = Window.unboundedPreceding, Window.currentRow
 
 
@@ -45,16 +42,6 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name))
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Size of what a frame reads, as Catalyst estimates it; None if it cannot tell."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
-                   for i in range(leaves.size()))
-    except Exception:  # Spark Connect has no such handle
-        return None
-
-
 # -- scans ---------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -131,10 +118,8 @@ class Timeline:
     keys: tuple[str, ...] = ("tenant_id", "conversation_id")
     ts: str = "ts"
     seq: tuple[str, ...] = ("seq",)
-    # keys + width_us of the keys to cut; None: nothing is cut
-    cuts: DataFrame | None = field(default=None, compare=False)
-    # width for every key, used when the keys to cut are too many to list
-    width_us: int | None = None
+    # one frame per turn: which segments are cut by what, and where; empty: nothing is cut
+    cuts: tuple[DataFrame, ...] = field(default=(), compare=False)
 
     @property
     def order_by(self) -> list[str]:
@@ -146,72 +131,70 @@ class Timeline:
 
     @property
     def whole(self) -> bool:
-        return self.cuts is None and self.width_us is None
-
-    def measured(self, df: DataFrame, rows_per_task: int = ROWS_PER_TASK,
-                 max_large: int = MAX_LARGE_KEYS) -> "Timeline":
-        """Find the keys to cut and how finely.
-
-        One narrow counting job over the key columns, more only if a key is
-        large. Inputs that fit in a task as a whole are not counted. If ``df`` is
-        costly to compute, measure the table it comes from instead and pass the
-        result on. The list
-        that comes to the driver, and is broadcast later, has at most
-        ``max_large`` entries; beyond that every key is cut by the hour and no
-        list is needed.
-        """
-        if rows_per_task >= ROWS_PER_TASK:
-            size = input_bytes(df)
-            if size is not None and size <= SMALL_INPUT_BYTES:
-                return self
-        keys = list(self.keys)
-        large = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-                 .filter(F.col("n") > rows_per_task).select(*keys)
-                 .limit(max_large + 1).collect())
-        if not large:
-            return self
-        if len(large) > max_large:
-            return Timeline(self.keys, self.ts, self.seq, None, FALLBACK_WIDTH_US)
-        spark, types = df.sparkSession, df.select(*keys).schema
-        widths: dict[tuple, int] = {tuple(r): 1 for r in large}
-        open_keys = large
-        # Widths of one second and up from counts per second; keys that are
-        # still too dense then go on with milliseconds, and with microseconds.
-        for base in (1_000_000, 1_000, 1):
-            if not open_keys:
+        return not self.cuts
+
+    def _positions(self, df: DataFrame) -> list[Column]:
+        """The order as whole numbers: time, then the sequence columns that are integers."""
+        whole = [micros(df, self.ts)]
+        for name in self.seq:
+            if not isinstance(df.schema[name].dataType, T.IntegralType):
                 break
-            listed = spark.createDataFrame(open_keys, types)
-            ticks = (df.select(*keys, F.floor(micros(df, self.ts) / base).alias("tick"))
-                     .join(F.broadcast(listed), keys)
-                     .groupBy(*keys, "tick").agg(F.count(F.lit(1)).alias("n")))
-            steps = [10 ** k for k in range(6 if base == 1_000_000 else 3)]
-            peaks = (ticks.select(*keys, "tick", "n",
-                                  F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
-                     .groupBy(*keys, "step", F.floor(F.col("tick") / F.col("step")))
-                     .agg(F.sum("n").alias("n"))
-                     .groupBy(*keys, "step").agg(F.max("n").alias("peak"))
-                     .groupBy(*keys)
-                     .agg(F.max(F.when(F.col("peak") <= rows_per_task, F.col("step")))
-                          .alias("step"))
-                     .collect())
-            for row in peaks:
-                if row["step"]:
-                    widths[tuple(row[k] for k in keys)] = base * row["step"]
-            open_keys = [tuple(row[k] for k in keys) for row in peaks if not row["step"]]
-        schema = T.StructType([*types.fields, T.StructField("_width", T.LongType())])
-        cuts = spark.createDataFrame([(*k, w) for k, w in widths.items()], schema)
-        return Timeline(self.keys, self.ts, self.seq, cuts)
+            whole.append(F.col(name).cast("bigint"))
+        return whole
+
+    def measured(self, df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> "Timeline":
+        """Find the keys above ``rows_per_task`` rows and where to cut them.
+
+        One narrow counting job over the key columns; each further turn only if a
+        segment is still too large. It is cut at quantiles of the time, or of the
+        sequence once all its rows have one time, so a burst refines only itself.
+        Rows without a time or sequence come first, as in the order. Rows equal in
+        all of these can't be told apart and stay together. The cuts are tables; the
+        driver only learns whether there are any. If ``df`` is costly to compute,
+        measure the table it comes from instead and pass the result on.
+        """
+        places = self._positions(df)
+        names = [f"_at{i}" for i in range(len(places))]
+        rows = df.select(*self.keys, *[p.alias(n) for p, n in zip(places, names)])
+        for key in self.keys:
+            rows = rows.filter(F.col(key).isNotNull())
+        found, segment = replace(self, cuts=()), [*self.keys, SEGMENT]
+        while True:
+            tagged = found._tagged(rows, [F.col(n) for n in names])
+            differs = [(F.min(n) < F.max(n)) | F.count(n).between(1, F.count("*") - 1)
+                       for n in names]
+            by = F.coalesce(*[F.when(d, i) for i, d in enumerate(differs)])
+            low = F.coalesce(*[F.when(d, F.min(n)) for d, n in zip(differs, names)])
+            large = staged(
+                tagged.groupBy(*segment)
+                .agg(F.count("*").alias("_n"), by.alias("_by"), low.alias("_low"))
+                .filter((F.col("_n") > rows_per_task) & F.col("_by").isNotNull())
+                .select(*segment, "_by", "_low"), "large-segments")
+            if large.isEmpty():
+                return found
+            place = _place([F.col(n) for n in names])
+            quantiles = F.percentile_approx(place, [i / FANOUT for i in range(1, FANOUT)],
+                                            ACCURACY)
+            cuts = (tagged.join(large, segment)
+                    .groupBy(*segment, "_by", "_low").agg(quantiles.alias("_bounds"))
+                    .withColumn("_bounds", F.array_distinct("_bounds")))
+            found = replace(found, cuts=(*found.cuts, staged(cuts, "cuts")))
 
     def tagged(self, df: DataFrame) -> DataFrame:
-        """Add the segment number; ``UNCUT`` for the rows of keys that are not cut."""
-        us = micros(df, self.ts)
-        if self.width_us is not None:
-            return df.withColumn(SEGMENT, _segment(us, F.lit(self.width_us)))
-        if self.cuts is None:
-            return df.withColumn(SEGMENT, F.lit(UNCUT))
-        # At most MAX_LARGE_KEYS rows by construction.
-        return (df.join(F.broadcast(self.cuts), list(self.keys), "left")
-                .withColumn(SEGMENT, _segment(us, F.col("_width"))).drop("_width"))
+        """Add the segment; empty for the rows of keys that are not cut."""
+        return self._tagged(df, self._positions(df) if self.cuts else [])
+
+    def _tagged(self, df: DataFrame, places: list[Column]) -> DataFrame:
+        out = df.withColumn(SEGMENT, _uncut())
+        for cuts in self.cuts:
+            # A cut stands for more than rows_per_task rows, so this side is small; by its
+            # size Spark broadcasts it, or splits the large keys of the join.
+            out = (out.join(cuts, [*self.keys, SEGMENT], "left")
+                   .withColumn("_place", _place(places))
+                   .withColumn(SEGMENT, F.when(F.col("_bounds").isNull(), F.col(SEGMENT))
+                               .otherwise(F.array_append(SEGMENT, _part())))
+                   .drop("_by", "_low", "_bounds", "_place"))
+        return out.select(*df.columns, SEGMENT)
 
     def window(self, *extra: str) -> WindowSpec:
         return Window.partitionBy(*self.keys, *extra).orderBy(*self.order_by)
@@ -229,13 +212,13 @@ class Timeline:
             return out if per_key is None else out.join(per_key, list(self.keys), "left")
         keys = [*self.keys, SEGMENT]
         tagged = self.tagged(df)
-        carry = self._carried(tagged.filter(F.col(SEGMENT) != UNCUT), scans)
+        carry = self._carried(tagged.filter(F.size(SEGMENT) > 0), scans)
         more = []
         if per_key is not None:
             # Repeated for the segments of cut keys; there are few of those.
             more = [c for c in per_key.columns if c not in self.keys]
             carry = carry.join(per_key, list(self.keys), "left").unionByName(
-                per_key.withColumn(SEGMENT, F.lit(UNCUT)), allowMissingColumns=True)
+                per_key.withColumn(SEGMENT, _uncut()), allowMissingColumns=True)
         w = self.window(SEGMENT)
         local = tagged.select("*", *[self._local(s, w).alias(name) for name, s in scans.items()])
         joined = local.join(carry, keys, "left")
@@ -283,10 +266,25 @@ class Timeline:
         return per_segment.select(*keys, *out)
 
 
-def _segment(us: Column, width: Column) -> Column:
-    """Number of the time slot; rows without a time come before all others."""
-    slot = F.floor((us - F.pmod(us, width)) / width)
-    return F.when(width.isNull(), F.lit(UNCUT)).otherwise(F.coalesce(slot, F.lit(TIMELESS)))
+def _uncut() -> Column:
+    """A segment is named by its parts turn by turn; arrays compare from the left."""
+    return F.array().cast("array<int>")
+
+
+def _place(places: list[Column]) -> Column:
+    """What a segment is cut by, counted from its lowest value."""
+    chosen = F.when(F.col("_by") == 0, places[0])
+    for i, place in enumerate(places[1:], 1):
+        chosen = chosen.when(F.col("_by") == i, place)
+    far = F.lit(2 ** 63 - 1)
+    return F.when(chosen.isNotNull(), F.coalesce(F.try_subtract(chosen, F.col("_low")), far))
+
+
+def _part() -> Column:
+    """Part of a segment: between two cuts, or on one, which keeps a burst by itself."""
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("_place")))
+    up_to = F.size(F.filter("_bounds", lambda b: b <= F.col("_place")))
+    return F.when(F.col("_place").isNull(), -1).otherwise(below + up_to)
 
 
 def _by_order(a: Column, b: Column) -> Column:

@@ -12,8 +12,6 @@ from threadloom.schema import DEFAULT_TENANT, KEYS, RETENTION_SECONDS
 
 SUMMARY_FIELDS = ("tldr", "customer_issue", "agent_response", "key_points", "next_steps")
 POSITION = ("ts", "partition", "offset")
-# The list of topics that is handed to the scan as literals never exceeds this.
-MAX_TOPICS = 1000
 
 
 def latest_values(rows: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -107,25 +105,15 @@ def retention_filter(rows: DataFrame, seconds: int = RETENTION_SECONDS, ts: str
                      topic: str = "topic", now: Column | None = None) -> DataFrame:
     """Rows within the retention time, counted back from ``now`` or each topic's newest row.
 
-    Without ``now`` the newest time per topic is read first; a topic list is
-    short, and as literals the limits reach the scan. A longer list is joined.
+    Without ``now`` the newest time per topic is found first and joined. Rows
+    without a topic or a time are left out.
     """
     span = F.make_dt_interval(secs=F.lit(seconds))
     if now is not None:
         return rows.filter(F.col(ts) > now - span)
     newest = rows.groupBy(topic).agg(F.max(ts).alias("_newest"))
-    kind = rows.schema[ts].dataType
-    listed = (newest.select(topic, F.col("_newest").cast("string").alias("_newest"))
-              .limit(MAX_TOPICS + 1).collect())
-    if len(listed) > MAX_TOPICS:
-        return (rows.join(newest, topic)
-                .filter(F.col(ts) > F.col("_newest") - span).drop("_newest"))
-    keep = F.lit(False)
-    for row in listed:
-        if row["_newest"] is not None and row[topic] is not None:
-            limit = F.lit(row["_newest"]).cast(kind) - span
-            keep = keep | ((F.col(topic) == row[topic]) & (F.col(ts) > limit))
-    return rows.filter(keep)
+    return (rows.join(newest, topic).filter(F.col(ts) > F.col("_newest") - span)
+            .select(*rows.columns))
 
 
 def schema_evolve(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -62,7 +62,9 @@ def intelligence(messages: DataFrame, summaries: DataFrame, scorers: Scorers,
     States and results are written once, as several steps read them and a scorer
     must not be asked twice.
     """
-    t = timeline or Timeline().measured(messages)
+    positions = messages.select(*KEYS, "ts", "seq").unionByName(
+        summaries.select(*KEYS, "ts", "seq"))
+    t = timeline or Timeline().measured(positions)
     states = staged(state_rows(attach_summary_asof(messages, summaries, t), t, {}), "states")
     parts = [as_results(df, kind) for kind, df in score_states(states, scorers).items()]
     parts.append(pii_results(messages))

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from threadloom.functions import variants as v
 from threadloom.functions.text import strip
-from threadloom.operators.timeline import SMALL_INPUT_BYTES, input_bytes
 from threadloom.schema import ENVELOPE
 
 BROKEN = "_broken"
@@ -47,16 +46,16 @@ def from_files(spark: SparkSession, path: str, fmt: str = "parquet", streaming:
     return reader.load(path)
 
 
-def spread(df: DataFrame, most_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Hand the rows of a small input to all cores before costly work per row.
+def spread(df: DataFrame) -> DataFrame:
+    """Hand the rows of a source with fewer splits than cores to all cores.
 
-    A small file is one task otherwise. Larger inputs have enough splits and stay
-    as they are: no shuffle.
+    A small file is one task otherwise, however costly the work per row. A source
+    with enough splits stays as it is: no shuffle.
     """
-    size = input_bytes(df)
-    if df.isStreaming or size is None or size > most_bytes:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores)
 
 
 def decode(rows: DataFrame) -> DataFrame:
