@@ -31,11 +31,30 @@ def test_requests(spark):
     assert rows[1].metadata == {"a": "1", "b": '{"c":2}'}
     assert good.count() + bad.count() == len(values)
     letters = {r.original_offset: r for r in bad.collect()}
+    assert letters[8].error_type == "JSONDecodeError"
+    assert letters[9].error == "message: not a text"
     assert letters[7].error == "message: field required"
     assert letters[8].value == "nope"  # kept as raw text
     assert [h.key for h in letters[8].headers] == ["dlq_source_topic", "dlq_error"]
 
 
+def test_wrong_types_are_told_apart(spark):
+    ok = {"conversation_id": "c", "sender": "agent", "message": "m"}
+    values = {"[1]": "value: not an object", "5 6": "value: not JSON", "": "value: not JSON"}
+    for field, wrong, error in (
+            ("tenant_id", 7, "tenant_id: not a text"), ("channel", None, "channel: not a text"),
+            ("channel", 5, "channel: not a text"), ("metadata", [1], "metadata: not an object"),
+            ("metadata", "x", "metadata: not an object"), ("message", None, "message: not a text"),
+            ("conversation_id", {}, "conversation_id: not a text"),
+            ("sender", 1, "sender: not an allowed value"), ("tenant_id", None, None),
+            ("metadata", None, None), ("metadata", {}, None)):
+        values[json.dumps({**ok, field: wrong})] = error
+    checked = msg.validate_message(requests(spark, list(values)))
+    got = {r.value: r for r in checked.collect()}
+    assert {k: r.error for k, r in got.items()} == values
+    assert {r.error_type for r in got.values() if r.error == "value: not JSON"} == {"JSONDecodeError"}
+
+
 def test_ids_are_stable_and_distinct(spark):
     ok = {"conversation_id": "c", "sender": "customer", "message": "hi"}
     one, two = (sorted(r.message_id for r in ingest(requests(spark, [ok, ok]))[0].collect())

@@ -19,7 +19,8 @@ def position_id(*position: str) -> Column:
 def validate_message(requests: DataFrame) -> DataFrame:
     """Add ``error`` and ``error_type`` (both null for a valid request).
 
-    ``channel`` may be left out; length counts characters.
+    ``channel`` may be left out; length counts characters. What ``read_requests`` found
+    comes first.
     """
     channel = (f"coalesce(channel, '{DEFAULT_CHANNEL}')" if "channel" in requests.columns
                else f"'{DEFAULT_CHANNEL}'")
@@ -30,8 +31,11 @@ def validate_message(requests: DataFrame) -> DataFrame:
         ("length(message) >= 1", "message: shorter than 1 character"),
         (f"length(message) <= {MAX_MESSAGE_CHARS}", "message: longer than 10000 characters"),
         (f"{channel} IN ({quoted(CHANNELS)})", "channel: not an allowed value")))
-    return requests.withColumn("error", error).withColumn(
-        "error_type", F.when(F.col("error").isNotNull(), F.lit("ValidationError")))
+    kind = F.when(F.col("error").isNotNull(), F.lit("ValidationError"))
+    if "request_error" in requests.columns:
+        error = F.coalesce("request_error", error)
+        kind = F.coalesce("request_error_type", kind)
+    return requests.withColumn("error", error).withColumn("error_type", kind)
 
 
 def normalize_message(requests: DataFrame, position: tuple[str, ...] = ("topic", "partition",
@@ -45,7 +49,8 @@ def normalize_message(requests: DataFrame, position: tuple[str, ...] = ("topic",
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.col("error").isNull()).drop("error", "error_type")
+    return checked.filter(F.col("error").isNull()).drop("error", "error_type", "request_error",
+                                                        "request_error_type")
 
 
 def dead_letters(checked: DataFrame, value: Column | None = None) -> DataFrame:

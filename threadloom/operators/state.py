@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +63,13 @@ def attach_summary_asof(messages: DataFrame, summaries: DataFrame,
     """Each message with the newest summary received before it.
 
     Both inputs carry the keys, ``ts`` and ``seq``; ``summaries`` has a struct
-    column ``summary``. A summary before the first message of its conversation is
+    column ``summary``. At an equal position the message comes first. A summary before the first message of its conversation is
     dropped: there is no state yet that could hold it. One union and one pass,
     no join of the two sides.
     """
     rows = _with_summaries(messages, summaries)
     t = timeline or Timeline().measured(rows)
+    t = replace(t, seq=(*t.seq, "_late"))
     first_message = tl.first_position(F.col("_message"))
     # A summary counts only if a message came earlier; that needs the position
     # of the first message, so both are carried and compared at the end.
@@ -92,9 +95,10 @@ def conversation_state_with_summary(messages: DataFrame, summaries: DataFrame,
 
 
 def _with_summaries(messages: DataFrame, summaries: DataFrame) -> DataFrame:
-    m = messages.withColumn("_message", F.lit(True)).withColumn(
+    m = messages.withColumn("_message", F.lit(True)).withColumn("_late", F.lit(0)).withColumn(
         "_summary", F.lit(None).cast(SUMMARY))
     s = summaries.select(*KEYS, "ts", "seq", F.lit(False).alias("_message"),
+                         F.lit(1).alias("_late"),
                          F.col("summary").cast(SUMMARY).alias("_summary"))
     return m.unionByName(s, allowMissingColumns=True)
 

@@ -94,13 +94,6 @@ def intent_urgency_report(merged: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("conversations")))
 
 
-def pii_counts(detected: DataFrame) -> DataFrame:
-    """Entities per tenant and type."""
-    return (detected.select("tenant_id", F.explode("entities").alias("e"))
-            .groupBy("tenant_id", F.col("e.type").alias("type"))
-            .agg(F.count(F.lit(1)).alias("entities")))
-
-
 def retention_filter(rows: DataFrame, seconds: int = RETENTION_SECONDS, ts: str = "ts",
                      topic: str = "topic", now: Column | None = None) -> DataFrame:
     """Rows within the retention time, counted back from ``now`` or each topic's newest row.

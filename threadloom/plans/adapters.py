@@ -70,6 +70,28 @@ SELECT CASE WHEN event_id % 17 = 0 THEN NULL
        ts, event_id AS seq
 FROM events"""
 
+# `events` as requests in JSON: every field absent, null and of a wrong type.
+REQUEST_TEXTS = """
+SELECT event_id AS seq, ts, 'support.messages.raw' AS topic, user_id % 3 AS src_partition,
+       event_id AS src_offset, CASE event_id % 14
+         WHEN 0 THEN concat('no JSON ', cast(event_id AS string))
+         WHEN 1 THEN '["a list"]'
+         WHEN 2 THEN '{"conversation_id":7,"sender":"agent","message":"m"}'
+         WHEN 3 THEN '{"conversation_id":"c","sender":"agent","message":"m","tenant_id":7}'
+         WHEN 4 THEN '{"conversation_id":"c","sender":"agent","message":"m","channel":null}'
+         WHEN 5 THEN '{"conversation_id":"c","sender":"agent","message":"m","channel":5}'
+         WHEN 6 THEN '{"conversation_id":"c","sender":"agent","message":"m","metadata":[1]}'
+         WHEN 7 THEN '{"conversation_id":"c","sender":"agent","message":"m","metadata":"x"}'
+         WHEN 8 THEN '{"conversation_id":"c","sender":"agent","message":null}'
+         WHEN 9 THEN '{"conversation_id":"c","sender":"agent","content":"old name"}'
+         WHEN 10 THEN '{"conversation_id":"c","sender":"agent","message":"m","tenant_id":null,"metadata":null}'
+         WHEN 11 THEN '{"conversation_id":null,"sender":"agent","message":"m"}'
+         ELSE concat('{"conversation_id":"c', cast(user_id % 50 AS string),
+              '","sender":"customer","message":"', event_type, ' ', cast(event_id AS string),
+              '","channel":"sms","tenant_id":"t', cast(user_id % 3 AS string),
+              '","metadata":{"n":', cast(event_id AS string), '}}') END AS value
+FROM events"""
+
 _IDS = """concat('{"conversation_id":"c', cast(user_id % 50 AS string), '","tenant_id":"t',
               cast(user_id % 3 AS string), '",')"""
 
@@ -205,6 +227,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, REQUESTS, "events")
 
 
+def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, REQUEST_TEXTS, "events", costly=True)
+
+
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, RESULTS, "events", costly=True)
 

@@ -48,9 +48,8 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Messages that are not purchases; those carry the summaries."""
-    return valid_messages(spark, d).filter(F.col("event_type") != "purchase").drop(
-        "event_type", "user_id")
+    """All messages; those of purchases are at the positions of the summaries."""
+    return valid_messages(spark, d).drop("event_type", "user_id")
 
 
 def summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +171,8 @@ def write_keyed_json(spark, d):
 def dead_letter(spark, d):
     bad_requests = msg.dead_letters(
         msg.validate_message(A.messages(spark, d).withColumn("key", F.col("conversation_id"))),
-        value=F.to_json(F.struct("conversation_id", "message")))
+        value=F.to_json(F.struct("conversation_id", "tenant_id", "sender", "message", "channel",
+                                 "event_type", "user_id"), {"ignoreNullFields": "false"}))
     bad_results = msg.dead_letters(validate_agent_result(A.raw_results(spark, d)))
     header = F.transform("headers", lambda h: F.concat(
         h["key"], F.lit("="), h["value"].cast("string")))
@@ -229,6 +229,13 @@ def normalize_message(spark, d):
                                   "seq")
 
 
+@query
+def read_requests(spark, d):
+    checked = msg.validate_message(events.read_requests(A.request_texts(spark, d)))
+    return checked.select("seq", "error", "error_type", "conversation_id", "tenant_id", "message",
+                          F.col("metadata")["n"].alias("metadata_n"))
+
+
 @query
 def validate_message(spark, d):
     return msg.validate_message(A.requests(spark, d)).select("seq", "error", "error_type")
@@ -563,7 +570,7 @@ def redact(spark, d):
 
 @query
 def pii_counts(spark, d):
-    return views.pii_counts(pii.detect_pii(valid_messages(spark, d)))
+    return pii.count_pii(valid_messages(spark, d))
 
 
 # -- scoring -------------------------------------------------------------------

@@ -23,7 +23,7 @@ K = "tenant_id, conversation_id"
 # -- shared table expressions --------------------------------------------------
 
 B = f"b AS ({duck(A.MESSAGES)}), m AS (SELECT * FROM b WHERE message <> '')"
-CHAT = f"{B}, chat AS (SELECT * FROM m WHERE event_type <> 'purchase')"
+CHAT = f"{B}, chat AS (SELECT * FROM m)"
 TURNS = f"""raw AS ({duck(A.TURNS)}),
 a AS (SELECT sha256(topic || '|' || src_partition || '|' || src_offset) AS message_id,
   coalesce(nullif(tenant_id, ''), 'demo-tenant') AS tenant_id, conversation_id, sender, message,
@@ -129,7 +129,7 @@ starts AS (SELECT {K}, min(seq) AS opened FROM chat GROUP BY ALL),
 known AS (SELECT x.tenant_id, x.conversation_id, x.seq, max(y.seq) AS source
   FROM chat x JOIN starts o USING ({K}) LEFT JOIN r y ON y.kind = 'summary'
     AND y.tenant_id = x.tenant_id AND y.conversation_id = x.conversation_id
-    AND y.seq < x.seq AND y.seq > o.opened GROUP BY ALL),
+    AND y.seq < x.seq AND y.seq >= o.opened GROUP BY ALL),
 asof_rows AS (SELECT x.*, y.tldr, y.customer_issue, y.agent_response, y.key_points, y.next_steps,
     known.source FROM chat x JOIN known USING (tenant_id, conversation_id, seq)
   LEFT JOIN r y ON y.seq = known.source)"""
@@ -269,7 +269,7 @@ SENTIMENT_TAIL = ("chr(10) || chr(10) || 'IMPORTANT: Analyze the CUSTOMER''s CUR
                   "state based on their latest message above.' || chr(10)")
 CAPITAL = "upper(y.sender[1]) || y.sender[2:] || ': ' || y.message"
 # Stand-in models: constants, and a keyword in the newest message.
-JOB = f"""WITH {PII}, chat AS (SELECT * FROM m WHERE event_type <> 'purchase'),
+JOB = f"""WITH {PII}, chat AS (SELECT * FROM m),
 marks AS (SELECT chat.tenant_id, chat.conversation_id, seq, o, type, s, s + length(hit) AS z
   FROM placed JOIN chat USING (seq)),
 heads AS (SELECT {K}, min(seq) AS opened, max(seq) AS newest,
@@ -313,7 +313,9 @@ SELECT original_topic, original_partition, original_offset, key, value, error, e
   'dlq_source_topic=' || original_topic || '|dlq_error=' || error AS headers FROM (
 SELECT topic AS original_topic, src_partition AS original_partition,
   src_offset AS original_offset, conversation_id AS key,
-  cast(json_object('conversation_id', conversation_id, 'message', message) AS varchar) AS value,
+  cast(json_object('conversation_id', conversation_id, 'tenant_id', tenant_id, 'sender', sender,
+    'message', message, 'channel', channel, 'event_type', event_type, 'user_id', user_id)
+    AS varchar) AS value,
   'message: shorter than 1 character' AS error, 'ValidationError' AS error_type
 FROM b WHERE message = ''
 UNION ALL
@@ -347,6 +349,25 @@ FROM a""",
   WHEN coalesce(channel, 'chat') NOT IN ({listed(S.CHANNELS)})
     THEN 'channel: not an allowed value' END AS error FROM q)
 SELECT seq, error, CASE WHEN error IS NOT NULL THEN 'ValidationError' END AS error_type FROM x""",
+    "read_requests": f"""WITH q AS ({duck(A.REQUEST_TEXTS)}),
+d AS (SELECT *, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM q),
+f AS (SELECT *, json_type(j, '$.tenant_id') AS tenant, json_type(j, '$.channel') AS way,
+  json_type(j, '$.message') AS words, json_type(j, '$.metadata') AS more,
+  json_type(j, '$.conversation_id') AS talk FROM d),
+x AS (SELECT *, CASE WHEN j IS NULL THEN 'value: not JSON'
+  WHEN json_type(j) <> 'OBJECT' THEN 'value: not an object'
+  WHEN talk <> 'VARCHAR' THEN 'conversation_id: not a text'
+  WHEN words <> 'VARCHAR' THEN 'message: not a text'
+  WHEN way <> 'VARCHAR' THEN 'channel: not a text'
+  WHEN tenant NOT IN ('VARCHAR', 'NULL') THEN 'tenant_id: not a text'
+  WHEN more NOT IN ('OBJECT', 'NULL') THEN 'metadata: not an object'
+  WHEN words IS NULL THEN 'message: field required' END AS error FROM f)
+SELECT seq, error, CASE WHEN j IS NULL THEN 'JSONDecodeError' WHEN error IS NOT NULL
+    THEN 'ValidationError' END AS error_type,
+  CASE WHEN talk = 'VARCHAR' THEN j->>'$.conversation_id' END AS conversation_id,
+  CASE WHEN tenant = 'VARCHAR' THEN j->>'$.tenant_id' END AS tenant_id,
+  CASE WHEN words = 'VARCHAR' THEN j->>'$.message' END AS message,
+  CASE WHEN more = 'OBJECT' THEN j->>'$.metadata.n' END AS metadata_n FROM x""",
     "validate_agent_result": f"""WITH {PARSED} SELECT seq, kind, {K}, error,
   CASE WHEN error IS NULL THEN NULL WHEN j IS NULL THEN 'JSONDecodeError'
        ELSE 'ValidationError' END AS error_type FROM e""",

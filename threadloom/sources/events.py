@@ -100,13 +100,33 @@ def declare_stream(rows: DataFrame, schema: T.StructType, key: str | None = None
 
 
 def read_requests(rows: DataFrame) -> DataFrame:
-    """Request columns from topic rows; nested metadata values become JSON text."""
+    """Request columns from topic rows; nested metadata values become JSON text.
+
+    ``request_error`` and ``request_error_type`` say what ``validate_message`` can't see
+    in the columns: text that is not JSON, and fields that are there but of a wrong type.
+    Null counts as left out for ``tenant_id`` and ``metadata`` only.
+    """
     names = ("conversation_id", "sender", "message", "channel", "tenant_id")
     parsed = v.with_fields(rows, "_doc", F.col("value"), (*names, "metadata"))
     texts = [f"CASE WHEN {v.is_string('_doc', n)} THEN {v.string('_doc', n)} END AS {n}"
              for n in names]
     metadata = v.get("_doc", "metadata", "map<string,string>")
-    return parsed.selectExpr(*rows.columns, *texts, f"{metadata} AS metadata")
+    typed = [(f"{v.absent('_doc', n)} OR {v.is_string('_doc', n)}", f"{n}: not a text")
+             for n in ("conversation_id", "message", "channel")]
+    typed.append((f"{v.missing_or_null('_doc', 'tenant_id')} OR {v.is_string('_doc', 'tenant_id')}",
+                  "tenant_id: not a text"))
+    typed.append((f"{v.missing_or_null('_doc', 'metadata')} OR "
+                  f"startswith({v.type_of(v.field('_doc', 'metadata'))}, 'OBJECT')",
+                  "metadata: not an object"))
+    # the text is parsed again only where it is no object
+    broken = F.when(F.col("_doc").isNull(), F.when(
+        v.whole_json(F.col("value")).isNull(), "value: not JSON").otherwise("value: not an object"))
+    error = F.coalesce(broken, F.expr(v.first_error(*typed)))
+    kind = F.when(F.col("request_error") == "value: not JSON", "JSONDecodeError").when(
+        F.col("request_error").isNotNull(), "ValidationError")
+    return (parsed.withColumn("request_error", error)
+            .selectExpr(*rows.columns, *texts, f"{metadata} AS metadata", "request_error")
+            .withColumn("request_error_type", kind))
 
 
 def read_view_response(responses: DataFrame, value: str = "value") -> DataFrame:
