@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,9 +109,18 @@ def retention_filter(rows: DataFrame, seconds: int = RETENTION_SECONDS, ts: str
             .select(*rows.columns))
 
 
-def schema_evolve(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of two schema versions together; fields one side lacks are null."""
-    return old.unionByName(new, allowMissingColumns=True)
+def schema_evolve(old: DataFrame, new: DataFrame,
+                  defaults: Mapping[str, object] | None = None) -> DataFrame:
+    """Rows of two schema versions together.
+
+    A field one side lacks has its declared default there, and is null without one.
+    """
+    sides = [old, new]
+    for name, value in (defaults or {}).items():
+        kind = next((s.schema[name].dataType for s in sides if name in s.columns), None)
+        sides = [s if name in s.columns or kind is None
+                 else s.withColumn(name, F.lit(value).cast(kind)) for s in sides]
+    return sides[0].unionByName(sides[1], allowMissingColumns=True)
 
 
 def pii_tombstone(records: DataFrame, tombstones: DataFrame,

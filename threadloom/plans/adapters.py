@@ -56,6 +56,11 @@ SELECT {KEY_COLUMNS},
        event_id AS src_offset, event_type, user_id
 FROM events"""
 
+# The same out of order, with many equal times.
+MIXED_MESSAGES = MESSAGES.replace("ts, event_id AS seq", """CASE event_id * 7 % 5
+         WHEN 0 THEN NTZ'2025-01-03 00:00:00' WHEN 1 THEN NTZ'2024-12-31 12:00:00'
+         WHEN 2 THEN NTZ'2025-01-20 06:00:00' ELSE ts END AS ts, event_id AS seq""")
+
 # `events` as requests with every kind of mistake.
 REQUESTS = """
 SELECT CASE WHEN event_id % 17 = 0 THEN NULL
@@ -223,6 +228,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, MESSAGES, "events", costly=True)
 
 
+def mixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, MIXED_MESSAGES, "events", costly=True)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, REQUESTS, "events")
 

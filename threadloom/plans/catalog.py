@@ -183,7 +183,10 @@ def dead_letter(spark, d):
 
 @query
 def intelligence_lookup(spark, d):
-    found = views.intelligence_lookup(merged(spark, d), A.requested(spark, d))
+    records, path = merged(spark, d), sinks.work_dir(spark, "serving")
+    sinks.write_serving(records, path)
+    stored = spark.read.schema(records.schema).parquet(path)
+    found = views.intelligence_lookup(stored, A.requested(spark, d))
     return found.select(*KEYS, *flat_merged(), "last_updated")
 
 
@@ -218,7 +221,7 @@ def schema_evolve(spark, d):
     new = A.messages(spark, d).select(
         F.concat_ws("-", "conversation_id", F.col("seq").cast("string")).alias("message_id"),
         F.col("message").alias("content"), F.col("event_type").alias("priority"))
-    return views.schema_evolve(old, new)
+    return views.schema_evolve(old, new, {"priority": "normal"})
 
 
 # -- projections and filters ---------------------------------------------------
@@ -393,6 +396,22 @@ def conversation_state_large_keys(spark, d):
     return flat_state(state.conversation_state(rows, t))
 
 
+@query
+def conversation_state_ties(spark, d):
+    """Rows out of order and with many equal times, in cut keys."""
+    rows = msg.valid_rows(msg.validate_message(A.mixed_messages(spark, d)))
+    t = Timeline().measured(rows, rows_per_task=SMALL_SEGMENT)
+    return flat_state(state.conversation_state(rows, t))
+
+
+@query
+def transcript_ties(spark, d):
+    rows = msg.valid_rows(msg.validate_message(A.mixed_messages(spark, d)))
+    t = Timeline().measured(rows, rows_per_task=SMALL_SEGMENT)
+    return transcript.transcript(rows, 7, t).select(
+        *KEYS, count_of("part"), count_of("lines"), "text")
+
+
 def _flat_final(df: DataFrame) -> DataFrame:
     return df.select(*KEYS, count_of("message_count"), "created_at", "last_activity",
                      texts(F.col("participants")).alias("participants"),

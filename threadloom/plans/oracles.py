@@ -336,7 +336,7 @@ UNION ALL SELECT event_id, event_id, 1 FROM events WHERE event_type = 'purchase'
     "retention_filter": f"""WITH {RAW} SELECT topic, seq, ts FROM c
 WHERE ts > (SELECT max(ts) FROM c y WHERE y.topic = c.topic) - INTERVAL '24' HOUR""",
     "schema_evolve": f"""WITH raw AS ({duck(A.TURNS)}), {B}
-SELECT conversation_id || '-' || seq AS message_id, message AS content, NULL AS priority FROM raw
+SELECT conversation_id || '-' || seq AS message_id, message AS content, 'normal' AS priority FROM raw
 UNION ALL SELECT conversation_id || '-' || seq, message, event_type FROM b""",
     "normalize_message": f"""WITH {TURNS} SELECT message_id, {K}, sender, message, channel, ts, seq
 FROM a""",
@@ -417,6 +417,10 @@ FROM c x WHERE topic = 'support.ai.insights'""",
   redacted_text, {', '.join([*INSIGHT_COLUMNS, *SUMMARY_COLUMNS])} FROM z WHERE seq = top""",
     "conversation_state": STATE,
     "conversation_state_large_keys": STATE,
+    "conversation_state_ties": state_sql(
+        f"b AS ({duck(A.MIXED_MESSAGES)}), m AS (SELECT * FROM b WHERE message <> '')", "m"),
+    "transcript_ties": transcript_sql(
+        f"b AS ({duck(A.MIXED_MESSAGES)}), m AS (SELECT * FROM b WHERE message <> '')", "m", 7),
     "stream_conversation_state": STATE,
     "conversation_final": f"""SELECT {K}, message_count, created_at, last_activity, participants,
   recent FROM ({STATE}) QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY seq DESC) = 1""",
