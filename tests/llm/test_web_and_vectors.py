@@ -97,6 +97,22 @@ def lcs(a, b):
     return best[-1, -1]
 
 
+def test_lines_of_broken_pages():
+    def texts(page):
+        return [t for t, _, around in differencing.lines_of(page) if not around]
+
+    assert texts("<p>A</p><script>for(i=0;i<n;i++){}</script><p>B</p>") == ["A", "B"]
+    assert texts("<script><!-- x </script><p>B</p>") == ["B"]
+    assert texts("\u0130\u0130<script>x</script><p>B</p>") == ["\u0130\u0130", "B"]
+    assert texts("<p>A <a href='b") == ["A"]
+    assert texts("<p title='a>b'>A</p><p title=\"a>B") == ["A", "B"]
+    assert texts("<p>a < b and 3<4</p><!-- C <p>D") == ["a < b and 3<4"]
+    assert texts("<div class=comments><article><p>A</p></article></div><p>B</p>") == ["B"]
+    assert texts("<nav><li>A<article><p>B</p></article>") == ["B"]
+    for long in ("<a" * 200_000, "<a " + "\"' " * 50_000, "<a \"' " * 50_000 + ">", "<!--" * 50_000):
+        assert texts(long) == []
+
+
 def test_alignment_is_a_longest_common_subsequence():
     draw = random.Random(2)
     for _ in range(400):

@@ -30,8 +30,13 @@ MARKED = re.compile(
     r"side-?bar|menu|nav|navigation|navbar|breadcrumbs?|footer|site-?header|page-?header|masthead|"
     r"comments?|comment-?list|disqus|replies|share|social|related|newsletter|subscribe|popup|modal|"
     r"login|signup|toolbar|pagination|widget|skip-?link)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-                 r"|[!?/][^>]*>)", re.S)
+#: Words of those that mark readers' comments, whose parts may be article elements themselves.
+COMMENTS = re.compile(r"(?:^|[\s\"'=_-])(?:comments?|comment-?list|disqus|replies)(?:$|[\s\"'_-])", re.I)
+#: A tag or comment. A ``>`` in quotes doesn't end a tag, unless no other does.
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>"
+                 r"|[^>]*>)|[!?/][^>]*>)", re.S)
+#: A tag that the page ends in.
+CUT = re.compile(r"<(?:/?[a-zA-Z]|[!?]).*", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 
 
@@ -58,9 +63,9 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     """
     out: list[tuple[str, bool, bool]] = []
     held: list[str] = []
-    inside, skipped = 0, []  # open articles; open marked elements with how often their name is open
+    inside, skipped = 0, []  # open articles; open marked elements: name, how often open, comments
     page = page or ""
-    at, low = 0, None
+    at, last = 0, page.rfind(">") + 1
 
     def close() -> None:
         text = " ".join("".join(held).split())
@@ -68,14 +73,15 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
             out.append((text, inside > 0, bool(skipped)))
         held.clear()
 
-    for tag in TAG.finditer(page):
-        if tag.start() < at:
-            continue
+    # no tag ends behind the last ">", so a search for one never runs to the end in vain
+    while tag := TAG.search(page, at, last):
         if tag.start() > at:
             held.append(html.unescape(page[at:tag.start()]))
         at = tag.end()
-        end, name, rest = tag.group(1), tag.group(2), tag.group(3)
+        end, name, rest = tag.group(1), tag.group(2), tag.group(3) or ""
         if not name:
+            if tag.group().startswith("<!--") and not tag.group().endswith("-->"):
+                at = len(page)
             continue
         name = name.lower()
         if name in BLOCKS:
@@ -83,19 +89,18 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
         elif name == "br":
             held.append(" ")
         if not end and name in RAW:
-            low = low if low is not None else page.lower()
-            stop = low.find(f"</{name}", at)
-            at = len(page) if stop < 0 else stop
+            stop = re.compile(f"</{re.escape(name)}(?![^\\s/>])", re.I | re.A).search(page, at)
+            at = stop.start() if stop else len(page)
             continue
         if name in MAIN:
             if not end:
-                # what was left open before an article doesn't hide it
+                # what was left open before an article doesn't hide it, but for comments
                 if not inside:
-                    skipped.clear()
+                    skipped = [s for s in skipped if s[2]]
                 inside += 1
             elif inside:
                 inside -= 1
-                skipped = skipped if inside else []
+                skipped = [s for s in skipped if inside or s[2]]
         if end:
             if skipped and skipped[-1][0] == name:
                 skipped[-1][1] -= 1
@@ -107,9 +112,8 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
             elif _marked(name, rest, inside > 0):
                 if name not in BLOCKS:
                     close()
-                skipped.append([name, 1])
-    if at < len(page) and not page[at:].startswith("<"):
-        held.append(html.unescape(page[at:]))
+                skipped.append([name, 1, bool(COMMENTS.search(rest))])
+    held.append(html.unescape(CUT.sub("", page[at:])))
     close()
     return out
 
