@@ -6,7 +6,7 @@ A scorer maps a batch of context texts to a batch of answer texts. It runs in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +19,8 @@ from threadloom.schema import KEYS, SUMMARY
 Scorer = Callable[[Sequence[str]], Sequence[str]]
 # (previous summary or None, sender, message) -> next summary
 Fold = Callable[[dict | None, str, str], dict]
+# (record, headers) -> rows
+RecordFunction = Callable[[dict, dict], Iterable[dict]]
 
 
 def score(contexts: DataFrame, scorer: Scorer, kind: str, context: str = "context") -> DataFrame:
@@ -49,6 +51,28 @@ def extension_point(df: DataFrame, function: Callable[..., DataFrame], *args) ->
     return df.transform(function, *args)
 
 
+def per_record(records: DataFrame, function: RecordFunction, schema: T.StructType | str) -> DataFrame:
+    """Apply a user's step to every record: ``function(record, headers)`` gives any number of rows.
+
+    ``record`` is a dict of the columns, ``headers`` one of the ``header`` map (empty without
+    such a column). The rows are dicts in the columns of ``schema``. Runs where the records
+    are, in Arrow batches; select the columns that the step needs before.
+    """
+    names = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fieldNames()
+    columns = records.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for values in zip(*(batch[c].tolist() for c in columns)):
+                record = dict(zip(columns, values))
+                headers = dict(record.pop("header", None) or ())
+                rows.extend(function(record, headers))
+            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+
+    return records.mapInPandas(run, schema)
+
+
 def summary_fold(messages: DataFrame, fold: Fold, initial: DataFrame | None = None) -> DataFrame:
     """Summary after every message: ``fold(previous summary, sender, message)``.
 

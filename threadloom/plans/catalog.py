@@ -122,14 +122,18 @@ def flat_state(df: DataFrame) -> DataFrame:
 
 # -- sources and sinks ---------------------------------------------------------
 
-@query
-def read_events(spark, d):
+def events_with_headers(spark, d):
+    """Results as events of a topic, with a header given twice."""
     raw = A.raw_results(spark, d)
     tenant = F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))
     headers = F.array(*[F.struct(F.lit(k).alias("key"), val.cast("binary").alias("value"))
                         for k, val in (("tenant_id", F.lit("old")), ("tenant_id", tenant))])
-    rows = events.decode(raw.withColumn("headers", headers))
-    return rows.select("topic", "offset", "key", F.col("document").isNotNull().alias("is_json"),
+    return events.decode(raw.withColumn("headers", headers))
+
+
+@query
+def read_events(spark, d):
+    return events_with_headers(spark, d).select("topic", "offset", "key", F.col("document").isNotNull().alias("is_json"),
                        F.try_variant_get(F.col("document"), "$.conversation_id", "string").alias("conversation_id"),
                        F.col("header")["tenant_id"].alias("header_tenant"))
 
@@ -579,7 +583,8 @@ def detect_pii_documents(spark, d):
     found = pii.detect_pii(docs, "text")
     return found.select("doc_id", "source", "has_pii",
                         F.size("entities").cast("bigint").alias("entities"),
-                        F.length("redacted_text").cast("bigint").alias("redacted_chars"))
+                        F.length("redacted_text").cast("bigint").alias("redacted_chars"),
+                        F.sha2("redacted_text", 256).alias("redacted_sha256"))
 
 
 @query
@@ -624,6 +629,20 @@ def extension_point(spark, d):
     return scoring.extension_point(valid_messages(spark, d), by_sender)
 
 
+@query
+def record_extension(spark, d):
+    """A user's own step per record: as many rows as the number in the tenant's header."""
+    def by_header(record, headers):
+        tenant = headers["tenant_id"]
+        for part in range(int(tenant[1:])):
+            yield {"offset": record["offset"], "tenant": tenant, "part": part,
+                   "chars": len(record["value"])}
+
+    records = events_with_headers(spark, d).select("offset", "value", "header")
+    return scoring.per_record(records, by_header,
+                              "offset bigint, tenant string, part bigint, chars bigint")
+
+
 def numbering_fold(previous, sender, message):
     """A stand-in model: counts the messages and keeps the issue of the first."""
     number = int(previous["tldr"].split()[0]) + 1 if previous else 1
@@ -642,16 +661,13 @@ def summary_fold(spark, d):
 
 @query
 def intelligence_job(spark, d):
-    """Messages to merged records, with stand-in models."""
+    """Messages to merged records, with stand-in models; one repeats the summary it was given."""
     def sentiment(contexts):
         return [json.dumps({"sentiment": "neutral", "confidence": 0.5, "emotion": "neutral",
-                            "reasoning": "steady"}) for _ in contexts]
-
-    def summary(contexts):
-        return [json.dumps({"tldr": "talk", "customerIssue": "issue"}) for _ in contexts]
+                            "reasoning": text.split("\n", 1)[0]}) for text in contexts]
 
-    out = jobs.intelligence(chat_messages(spark, d), summaries(spark, d),
-                            jobs.Scorers(sentiment, keyword_scorer, summary))
+    out = jobs.intelligence(chat_messages(spark, d),
+                            jobs.Scorers(sentiment, keyword_scorer, numbering_fold))
     return out.select(*KEYS, *flat_merged())
 
 
@@ -694,3 +710,56 @@ def stream_merge_intelligence(spark, d):
     typed = A.typed_results(validate_agent_result(_stream_of(spark, d, A.RESULTS)))
     out = _drained(spark, stateful.stream_merge_intelligence(typed), "merge", "append")
     return flat_changes(stream_sinks.read_batches(spark, out))
+
+
+def _in_slices(spark, d, name: str, sql: str, build, sink, slices: int = 3) -> str:
+    """Run a stream over slices of ``events`` that arrive one after the other, each run going
+    on from the checkpoint of the one before; the folder of its output."""
+    base = sinks.work_dir(spark, name)
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    cuts = rows.agg(F.percentile_approx(
+        "event_id", [i / slices for i in range(1, slices)])).first()[0] or []
+    number = sum((F.coalesce(F.col("event_id") > cut, F.lit(False)).cast("int") for cut in cuts),
+                 F.lit(0))
+    for i in range(len(cuts) + 1):
+        rows.where(number == i).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        stream_sinks.run(build(A.select_from(spark, source, sql, "events")), sink(f"{base}/out"),
+                         f"{base}/state", once=True).awaitTermination()
+    return f"{base}/out"
+
+
+@query
+def stream_summary_fold(spark, d):
+    def build(messages):
+        rows = msg.valid_rows(msg.validate_message(messages))
+        return stateful.stream_summary_fold(rows, numbering_fold)
+
+    out = _in_slices(spark, d, "fold", A.MESSAGES, build, stream_sinks.write_batches)
+    return stream_sinks.read_batches(spark, out).select(*KEYS, "seq", *flat_summary())
+
+
+@query
+def stream_dead_letter(spark, d):
+    out = _in_slices(spark, d, "dead", A.RESULTS, validate_agent_result,
+                     lambda path: stream_sinks.write_split(f"{path}-valid", path))
+    header = F.transform("headers", lambda h: F.concat(
+        h["key"], F.lit("="), h["value"].cast("string")))
+    return stream_sinks.read_batches(spark, out).select(
+        "original_topic", "original_partition", "original_offset", "key", "value", "error",
+        "error_type", texts(header).alias("headers"))
+
+
+@query
+def stream_change_feed(spark, d):
+    def build(raw):
+        return stateful.stream_merge_intelligence(A.typed_results(validate_agent_result(raw)))
+
+    out = _in_slices(spark, d, "feed", A.RESULTS, build, stream_sinks.change_feed_sink)
+    envelope = ("type string, tenant_id string, conversation_id string, data struct<"
+                "sentiment: struct<sentiment: string>, summary: struct<tldr: string>, "
+                "last_updated: timestamp_ntz>")
+    feed = spark.read.schema(envelope).options(**sinks.JSON_OPTIONS).json(out)
+    return feed.select("type", *KEYS, F.col("data.sentiment.sentiment").alias("sentiment"),
+                       F.col("data.summary.tldr").alias("tldr"),
+                       F.col("data.last_updated").alias("last_updated"))

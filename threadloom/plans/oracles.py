@@ -269,25 +269,31 @@ SENTIMENT_TAIL = ("chr(10) || chr(10) || 'IMPORTANT: Analyze the CUSTOMER''s CUR
                   "state based on their latest message above.' || chr(10)")
 CAPITAL = "upper(y.sender[1]) || y.sender[2:] || ': ' || y.message"
 # Stand-in models: constants, and a keyword in the newest message.
-JOB = f"""WITH {PII}, chat AS (SELECT * FROM m),
+JOB = f"""WITH {PII}, {numbered('m')},
+chat AS (SELECT *, lag(sender) OVER w AS before, first_value(message) OVER w AS opening,
+    last_value(CASE WHEN sender = 'agent' THEN message END IGNORE NULLS) OVER w AS answer
+  FROM n WINDOW w AS (PARTITION BY {K} ORDER BY nr ROWS UNBOUNDED PRECEDING)),
+said AS (SELECT {K}, max_by(CASE WHEN nr = 1 THEN 'Conversation:' ELSE 'Background Context: '
+    || (nr - 1) || ' messages, last from ' || before END, nr) AS reasoning
+  FROM chat WHERE sender = 'customer' GROUP BY ALL),
 marks AS (SELECT chat.tenant_id, chat.conversation_id, seq, o, type, s, s + length(hit) AS z
   FROM placed JOIN chat USING (seq)),
-heads AS (SELECT {K}, min(seq) AS opened, max(seq) AS newest,
-    bool_or(sender = 'customer') AS spoke FROM chat GROUP BY ALL),
+heads AS (SELECT {K}, min(seq) AS opened, max(seq) AS newest FROM chat GROUP BY ALL),
 order_of AS (SELECT marks.*, opened, row_number() OVER (PARTITION BY marks.tenant_id,
     marks.conversation_id, type ORDER BY seq, o) AS nth FROM marks JOIN heads USING ({K})),
 joined AS (SELECT {K}, string_agg(type || ':[REDACTED]:' || s || ':' || z, '|' ORDER BY seq, o)
     AS entities FROM order_of WHERE seq = opened OR nth = 1 GROUP BY ALL)
-SELECT {K}, CASE WHEN spoke THEN 'neutral' END AS sentiment,
-  CASE WHEN spoke THEN cast(0.5 AS double) END AS confidence,
-  CASE WHEN spoke THEN 'neutral' END AS emotion, CASE WHEN spoke THEN 'steady' END AS reasoning,
+SELECT {K}, CASE WHEN reasoning IS NOT NULL THEN 'neutral' END AS sentiment,
+  CASE WHEN reasoning IS NOT NULL THEN cast(0.5 AS double) END AS confidence,
+  CASE WHEN reasoning IS NOT NULL THEN 'neutral' END AS emotion, reasoning,
   entities IS NOT NULL AS has_pii, coalesce(entities, '') AS entities, redacted_text,
   CASE WHEN message LIKE '%account%' THEN 'Account Issue' ELSE 'General Inquiry' END AS intent,
   CASE WHEN message LIKE '%account%' THEN 'High' ELSE 'Low' END AS urgency, '' AS categories,
   '' AS suggested_actions, message LIKE '%account%' AS requires_escalation,
-  '1-4 hours' AS estimated_resolution_time, '' AS key_concerns, 'talk' AS tldr,
-  'issue' AS customer_issue, NULL AS agent_response, '' AS key_points, '' AS next_steps
-FROM heads LEFT JOIN joined USING ({K})
+  '1-4 hours' AS estimated_resolution_time, '' AS key_concerns,
+  nr || ' messages, last from ' || sender AS tldr, opening AS customer_issue,
+  answer AS agent_response, sender AS key_points, '' AS next_steps
+FROM heads LEFT JOIN joined USING ({K}) LEFT JOIN said USING ({K})
 JOIN chat USING ({K}) JOIN clean ON clean.seq = chat.seq WHERE chat.seq = newest"""
 STATE = state_sql(B, "m")
 CHANGE_LOG = f"WITH {CHANGES} SELECT {K}, seq, kind, {MERGED_LIST}, last_updated FROM g"
@@ -495,7 +501,12 @@ SELECT doc_id, source, len(phones) + len(accounts) + len(names) > 0 AS has_pii,
         lambda z: regexp_extract(z, '\\p{Nd}+$')),
         lambda z: NOT list_contains(phones, z)), lambda z: length(z) - 10)), 0)
     - coalesce(list_sum(list_transform(names, lambda z: length(z) - 10)), 0) AS bigint)
-    AS redacted_chars FROM ph""",
+    AS redacted_chars,
+  sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+    '(^|[^\\pL\\pN_])\\p{Nd}{8,15}($|[^\\pL\\pN_])', '\\1[REDACTED]\\2', 'g'),
+    '(^|[^\\pL\\pN_])\\p{Nd}{8,15}($|[^\\pL\\pN_])', '\\1[REDACTED]\\2', 'g'),
+    '((?i)account[\\s\\pZ]+(?:number[\\s\\pZ]+)?(?:ending[\\s\\pZ]+)?)\\p{Nd}+', '\\1[REDACTED]', 'g'),
+    '(My name is )[A-Z][a-z]+ [A-Z][a-z]+', '\\1[REDACTED]', 'g')) AS redacted_sha256 FROM ph""",
     "redact": f"WITH {PII} SELECT seq, redacted_text FROM clean",
     "pii_counts": f"""WITH {PII} SELECT tenant_id, type, count(*) AS entities FROM placed
 GROUP BY ALL""",
@@ -505,6 +516,8 @@ GROUP BY ALL""",
   message LIKE '%account%' AS requires_escalation FROM m""",
     "intelligence_job": JOB,
     "extension_point": f"WITH {B} SELECT sender, count(*) AS messages FROM m GROUP BY sender",
+    "record_extension": f"""WITH {RAW} SELECT src_offset AS "offset", 't' || (user_id % 3) AS tenant,
+  unnest(range(user_id % 3)) AS part, length(value) AS chars FROM c""",
     "summary_fold": f"""WITH {B}, {numbered('m')} SELECT {K}, seq,
   nr || ' messages, last from ' || sender AS tldr,
   first_value(message) OVER w AS customer_issue,
@@ -512,3 +525,15 @@ GROUP BY ALL""",
   sender AS key_points, '' AS next_steps
 FROM n WINDOW w AS (PARTITION BY {K} ORDER BY nr ROWS UNBOUNDED PRECEDING)""",
 }
+
+# Streams give what their batch twins give.
+ORACLES["stream_summary_fold"] = ORACLES["summary_fold"]
+ORACLES["stream_dead_letter"] = f"""WITH {PARSED}
+SELECT topic AS original_topic, src_partition AS original_partition, src_offset AS original_offset,
+  key, value, error,
+  CASE WHEN j IS NULL THEN 'JSONDecodeError' ELSE 'ValidationError' END AS error_type,
+  'dlq_source_topic=' || topic || '|dlq_error=' || error AS headers
+FROM e WHERE error IS NOT NULL"""
+ORACLES["stream_change_feed"] = f"""WITH {CHANGES}
+SELECT 'intelligence_update' AS type, {K}, sentiment, tldr, last_updated FROM g
+WHERE sentiment IS NOT NULL AND any_pii AND intent IS NOT NULL AND tldr IS NOT NULL"""

@@ -16,18 +16,20 @@ from threadloom.operators.merge import change_feed
 from threadloom.operators.messages import dead_letters, valid_rows
 from threadloom.operators.timeline import latest
 from threadloom.operators.views import latest_summary, latest_summary_by_tenant
+from threadloom.sources.sinks import JSON_OPTIONS
 
 BATCH = "batch_id"
 
 
 def write_batches(path: str, fmt: str = "parquet",
                   change: Callable[[DataFrame], DataFrame] | None = None,
-                  ) -> Callable[[DataFrame, int], None]:
+                  **options: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes each micro-batch to its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         rows = change(batch) if change else batch
-        rows.write.format(fmt).mode("overwrite").save(f"{path}/{BATCH}={number}")
+        rows.write.format(fmt).options(**options).mode("overwrite").save(
+            f"{path}/{BATCH}={number}")
 
     return write
 
@@ -81,4 +83,4 @@ def stream_latest_summary(stream: DataFrame, by_tenant: bool = False,
 
 def change_feed_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Complete merged records as update envelopes, JSON lines per micro-batch."""
-    return write_batches(path, "json", change_feed)
+    return write_batches(path, "json", change_feed, **JSON_OPTIONS)
