@@ -113,6 +113,25 @@ def test_lines_of_broken_pages():
         assert texts(long) == []
 
 
+@pytest.mark.parametrize("page", [
+    '<article class="post category-social"><p>A</p></article>', '<main class="site-main no-sidebar"><p>A</p></main>',
+    '<body class="has-sidebar with-menu ad"><p>A</p></body>', '<html class="no-ads nav"><body id="footer"><p>A</p>',
+    '<article class="share related"><p>A</p></article>', '<article><section id="related-work"><p>A</p></section></article>',
+    '<article><h2 id="social-security" class="widget">A</h2></article>', '<article><h2 id="login-flow">A</h2></article>',
+    '<section id="comments"><p>A</p></section>', '<article><div id="login"><p>A</p></div></article>',
+    '<div class="has-sidebar promo-free"><p>A</p></div>', '<div class="section" id="footer"><p>A</p></div>'])
+def test_names_of_layouts_and_topics_mark_nothing(page):
+    assert [t for t, _, around in differencing.lines_of(page) if not around] == ["A"]
+
+
+@pytest.mark.parametrize("box", [
+    'p class="ad"', "div class='x Side-Bar y'", "div id=sidebar", "section class=related", "div id='comments'",
+    "div class=cookie-banner", "h2 hidden", "div role=navigation"])
+def test_closed_list_of_names_still_marks(box):
+    page = f"<div><{box}>A</{box.split()[0]}><p>B</p></div>"
+    assert [t for t, _, around in differencing.lines_of(page) if not around] == ["B"]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     draw = random.Random(2)
     for _ in range(400):

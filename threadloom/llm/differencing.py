@@ -24,14 +24,21 @@ MAIN = frozenset(("article", "main"))
 CHROME = frozenset("nav footer aside form menu dialog button select search head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class and id values that mark what isn't part of an article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|"
-    r"side-?bar|menu|nav|navigation|navbar|breadcrumbs?|footer|site-?header|page-?header|masthead|"
-    r"comments?|comment-?list|disqus|replies|share|social|related|newsletter|subscribe|popup|modal|"
-    r"login|signup|toolbar|pagination|widget|skip-?link)(?:$|[\s_-])", re.I)
-#: Words of those that mark readers' comments, whose parts may be article elements themselves.
-COMMENTS = re.compile(r"(?:^|[\s\"'=_-])(?:comments?|comment-?list|disqus|replies)(?:$|[\s\"'_-])", re.I)
+#: Elements that hold the page or its text: no class or id marks them.
+HOLDERS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+#: Whole class tokens that mark what isn't part of an article. Compounds name a layout or a topic
+#: (has-sidebar, category-social) as often as the thing itself, so only these count.
+MARKED = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsors
+sponsored sponsored-content promo promos promotion banner cookie cookies cookie-banner cookie-bar
+cookie-consent cookie-notice consent consent-banner sidebar side-bar menu nav navigation navbar nav-bar
+breadcrumb breadcrumbs footer site-footer page-footer site-header page-header masthead share sharing
+share-buttons social social-links social-share related related-posts related-articles newsletter
+newsletter-signup subscribe popup modal login signup toolbar pagination widget widget-area skip-link
+skiplink""".split())
+#: Those that mark readers' comments, whose parts may be article elements themselves.
+COMMENTS = frozenset("comment comments comment-list commentlist comments-area disqus disqus_thread replies".split())
+#: Elements whose id counts like a class; elsewhere, and in articles, ids name sections.
+BOXES = frozenset("div ul ol dl table td".split())
 #: A tag or comment. A ``>`` in quotes doesn't end a tag, unless no other does.
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>"
                  r"|[^>]*>)|[!?/][^>]*>)", re.S)
@@ -40,19 +47,27 @@ CUT = re.compile(r"<(?:/?[a-zA-Z]|[!?]).*", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 
 
-def _marked(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element is one of those around an article."""
-    if name in CHROME or name == "header" and not inside:
-        return True
-    if not rest.strip():
-        return False
+def _marked(name: str, rest: str, inside: bool) -> int:
+    """Whether an element is one of those around an article (1) or readers' comments (2)."""
+    kind = int(name in CHROME or name == "header" and not inside)
+    if not rest.strip() or name in ("html", "body"):
+        return kind
+    names: set[str] = set()
+    section = ""
     for key, value in ATTRIBUTE.findall(rest):
-        key, value = key.lower(), value.strip("\"'")
-        if (key in ("class", "id") and MARKED.search(value)
-                or key == "role" and value.lower() in ROLES
-                or key == "hidden" or key == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "class":
+            names.update(value.split())
+        elif key == "id":
+            section = value.strip()
+        elif (key == "role" and value in ROLES
+                or key == "hidden" or key == "aria-hidden" and value == "true"):
+            kind = 1
+    if name in HOLDERS:
+        return kind
+    if name in BOXES and "section" not in names and (not inside or section in COMMENTS):
+        names.add(section)
+    return 2 if names & COMMENTS else int(kind or bool(names & MARKED))
 
 
 def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
@@ -109,10 +124,10 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
         elif name not in VOID and not rest.endswith("/"):
             if skipped and skipped[-1][0] == name:
                 skipped[-1][1] += 1
-            elif _marked(name, rest, inside > 0):
+            elif kind := _marked(name, rest, inside > 0):
                 if name not in BLOCKS:
                     close()
-                skipped.append([name, 1, bool(COMMENTS.search(rest))])
+                skipped.append([name, 1, kind == 2])
     held.append(html.unescape(CUT.sub("", page[at:])))
     close()
     return out
