@@ -132,6 +132,40 @@ def test_closed_list_of_names_still_marks(box):
     assert [t for t, _, around in differencing.lines_of(page) if not around] == ["B"]
 
 
+@pytest.mark.parametrize("page, expected", [
+    ('<article><p class="ad">Buy<p>One<p>Two</article>', "One Two"),
+    ('<article><p class="ad">Buy<div>One</div>Two</article>', "One Two"),
+    ('<article><ul><li class="ad">Buy<li>One<ul><li class=ad>Buy<li>Two</ul><li>Three</ul></article>', "One Two Three"),
+    ('<article><aside>No<div class="share">No</aside><p>One</article>', "One"),
+    ('<article><section><div class="share">No</section>One</article>', "One"),
+    ('<ul><p class=ad>No<li>One</ul>', "One"), ('<nav><a>No</a> <a>No</a></nav>One', "One"),
+    ('<dl><dt class="ad">No<dd>One<dt>Two</dl>', "One Two"),
+    ('<table><tr class=ad><td>No<tr><td class="ad">No<td>One<tr><td>Two</table>', "One Two"),
+    ('<table><tbody class=ad><tr><td>No<tbody><tr><td>One</table>', "One"),
+    ('<datalist><option class=ad>No<option>One</datalist>', "One"),
+    ('<table class=ad><tr><td><table><tr><td>No</table>No<tr><td>No</table><p>One', "One"),
+    ('<div class=ad><p>No</span></p>No<div>No</div>No</div>One', "One"),
+    ('<div class=ad><table><tr><td></div>No</table>No</div>One', "One"),
+    ('<p>One <span class="ad">No</span> Two</p>', "One Two"), ('<b class=ad><p>No</b>One', "One"),
+    ('<a class=share>No<a>One</a>', "One"), ('<form>No<form>No</form>One', "One"),
+    ('<head><title>No</title><body><p>One', "One"), ('<head><meta x>One', "One"),
+    ('<button>No<button>No</button>One', "One"), ('<h2 hidden>No<h3>One</h2>Two', "One Two"),
+    ('<div><article>One</div><p>Two</article>No', "One Two"), ('<main><article>One</main>No', "One")])
+def test_implied_ends(page, expected):
+    lines = [(t, inside) for t, inside, around in differencing.lines_of(page) if not around]
+    assert " ".join(t for t, inside in lines if inside or not any(i for _, i in lines)) == expected
+
+
+def test_lines_of_inline_elements_stay_whole():
+    assert differencing.lines_of("<nav><a>A</a> <a>B</a></nav><p>C <b>D</b>") == [("A B", False, True), ("C D", False, False)]
+
+
+def test_open_elements_take_linear_time():
+    for part in ("<div><li>", "<b><p></b>", "<p class=ad><div>", "<article><p class=ad>", "<table><td><a>", "</x><i>"):
+        differencing.lines_of(part * 20_000 + "</div>" * 20_000)
+    differencing.lines_of("<div>" * 20_000 + "<li></li><b></i>" * 20_000)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     draw = random.Random(2)
     for _ in range(400):

@@ -47,6 +47,117 @@ CUT = re.compile(r"<(?:/?[a-zA-Z]|[!?]).*", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What the start of an element ends if it's open, and what keeps it open (see ``LABELS``).
+CELLS = ("td", "th", "caption")
+ROWS = (*CELLS, "tr", "colgroup")
+BODIES = (*ROWS, "tbody", "thead", "tfoot")
+STARTS = {name: (("p",), "scope") for name in BLOCKS - frozenset(
+    "body caption frameset head html legend optgroup option select tbody td tfoot th thead title tr".split())}
+STARTS |= {"li": (("li",), "item"), "dt": (("dt", "dd"), "item"), "dd": (("dt", "dd"), "item"),
+           "option": (("option",), "select"), "optgroup": (("option", "optgroup"), "select"),
+           "td": (CELLS, "table"), "th": (CELLS, "table"), "tr": (ROWS, "table"),
+           **dict.fromkeys(("caption", "colgroup", "tbody", "thead", "tfoot"), (BODIES, "table")),
+           "button": (("button",), "scope"), "a": (("a",), "scope")}
+#: What keeps an element open when its end tag comes; ``scope`` for any other.
+ENDS = {"li": "list", **dict.fromkeys(("table", *BODIES), "table"), **dict.fromkeys(MAIN, "page")}
+#: Open elements by what they keep open. An article keeps what it lies in, as stray end tags are usual.
+SCOPE = frozenset("table td th caption button object marquee applet".split()) | MAIN
+LABELS = {"scope": SCOPE, "list": SCOPE | {"ol", "ul"}, "table": MAIN | {"table"}, "select": MAIN | {"select"},
+          "item": SCOPE | BLOCKS - frozenset("address div p form li dt dd option optgroup".split()),
+          "block": SCOPE | BLOCKS - {"form"}}
+LABELED = {name: tuple(label for label, names in LABELS.items() if name in names)
+           for name in frozenset().union(*LABELS.values())}
+#: Elements of a page's head; any other ends it.
+HEADS = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
+
+
+class Open:
+    """The open elements of a page, ended by end tags and by what implies their end.
+
+    Every step takes constant time on average: an element is found by the places of its
+    name, and whether something between keeps it open by the places of a label.
+    """
+
+    def __init__(self):
+        self.stack: list[list] = []  # name, kind of mark, whether still open
+        self.places: dict[str, list[int]] = {}
+        self.inside = 0  # open articles
+        self.around = 0  # open marked elements
+        self.plain: list[list] = []  # those but for comments, outside articles
+
+    def last(self, label: str) -> int:
+        places = self.places.get(label)
+        return places[-1] if places else -1
+
+    def cut(self, place: int) -> None:
+        """Ends the element at a place and all inside it."""
+        while len(self.stack) > place:
+            one = self.stack.pop()
+            if one[2]:
+                self.done(one)
+
+    def done(self, one: list) -> None:
+        name, kind, one[2] = one[0], one[1], False
+        for label in (name, *LABELED.get(name, ())):
+            self.places[label].pop()
+        self.around -= kind > 0
+        self.inside -= name in MAIN
+        if self.plain and self.plain[-1] is one:
+            self.plain.pop()
+
+    def start(self, name: str, kind: int) -> None:
+        if name == "form" and self.last("form") > self.last("scope"):
+            return
+        if name in MAIN and not self.inside:
+            # what was left open before an article doesn't hide it, but for comments
+            for one in self.plain:
+                self.around -= one[2] and one[1] > 0
+                one[1] = 0
+            self.plain.clear()
+        one = [name, kind, True]
+        for label in (name, *LABELED.get(name, ())):
+            self.places.setdefault(label, []).append(len(self.stack))
+        self.stack.append(one)
+        self.around += kind > 0
+        self.inside += name in MAIN
+        if kind == 1 and not self.inside:
+            self.plain.append(one)
+
+    def implied(self, name: str) -> None:
+        """Ends what the start of an element ends."""
+        if name not in HEADS and (head := self.last("head")) >= 0:
+            self.cut(head)
+        ended, keeper = STARTS.get(name, ((), "scope"))
+        if name == "a":
+            if self.last("a") > self.last(keeper):
+                self.end("a")
+            return
+        if name == "button":
+            keeper = "page"
+        least = max(self.last(keeper), self.last("main"), self.last("article"))
+        found = [place for n in ended if (place := self.last(n)) > least]
+        if found:
+            self.cut(min(found))
+        if name in ("li", "dt", "dd"):
+            self.implied("p")
+        if name in HEADINGS and self.stack and self.stack[-1][0] == "h":
+            self.cut(len(self.stack) - 1)
+
+    def end(self, name: str) -> None:
+        name = "h" if name in HEADINGS else name
+        place = self.last(name)
+        if place < 0:
+            return
+        if name != "form" and name in BLOCKS or name in SCOPE or name == "h":
+            if place >= self.last(ENDS.get(name, "scope")):
+                self.cut(place)
+        elif place > self.last("block"):
+            self.cut(place)
+        else:  # ends alone, the blocks in it stay open
+            self.done(self.stack[place])
+
+
 def _marked(name: str, rest: str, inside: bool) -> int:
     """Whether an element is one of those around an article (1) or readers' comments (2)."""
     kind = int(name in CHROME or name == "header" and not inside)
@@ -78,20 +189,30 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     """
     out: list[tuple[str, bool, bool]] = []
     held: list[str] = []
-    inside, skipped = 0, []  # open articles; open marked elements: name, how often open, comments
+    opened, state = Open(), (False, False)
     page = page or ""
     at, last = 0, page.rfind(">") + 1
 
     def close() -> None:
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, inside > 0, bool(skipped)))
+            out.append((text, *state))
         held.clear()
 
+    def changed() -> None:
+        nonlocal state
+        if state != (now := (opened.inside > 0, opened.around > 0)):
+            close()
+            state = now
+
     # no tag ends behind the last ">", so a search for one never runs to the end in vain
     while tag := TAG.search(page, at, last):
         if tag.start() > at:
-            held.append(html.unescape(page[at:tag.start()]))
+            text = page[at:tag.start()]
+            if opened.last("head") >= 0 and not text.isspace():
+                opened.implied("")
+                changed()
+            held.append(html.unescape(text))
         at = tag.end()
         end, name, rest = tag.group(1), tag.group(2), tag.group(3) or ""
         if not name:
@@ -107,28 +228,18 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
             stop = re.compile(f"</{re.escape(name)}(?![^\\s/>])", re.I | re.A).search(page, at)
             at = stop.start() if stop else len(page)
             continue
-        if name in MAIN:
-            if not end:
-                # what was left open before an article doesn't hide it, but for comments
-                if not inside:
-                    skipped = [s for s in skipped if s[2]]
-                inside += 1
-            elif inside:
-                inside -= 1
-                skipped = [s for s in skipped if inside or s[2]]
         if end:
-            if skipped and skipped[-1][0] == name:
-                skipped[-1][1] -= 1
-                if not skipped[-1][1]:
-                    skipped.pop()
-        elif name not in VOID and not rest.endswith("/"):
-            if skipped and skipped[-1][0] == name:
-                skipped[-1][1] += 1
-            elif kind := _marked(name, rest, inside > 0):
-                if name not in BLOCKS:
-                    close()
-                skipped.append([name, 1, kind == 2])
-    held.append(html.unescape(CUT.sub("", page[at:])))
+            opened.end(name)
+        else:
+            opened.implied(name)
+            if name not in VOID and name not in ("html", "body") and not rest.endswith("/"):
+                opened.start("h" if name in HEADINGS else name, _marked(name, rest, opened.inside > 0))
+        changed()
+    rest = CUT.sub("", page[at:])
+    if opened.last("head") >= 0 and rest.strip():
+        opened.implied("")
+        changed()
+    held.append(html.unescape(rest))
     close()
     return out
 
