@@ -195,6 +195,57 @@ def test_main_text(spark):
     assert differencing.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_have_the_nearest_different_page(spark):
+    def page(own):
+        return f"<div>Site</div><p>{own}</p><div>Rights</div>"
+
+    # one run of copies over several parts, among others
+    rows = [(k, f"http://h.com/a?page={k}", page("Copy")) for k in range(1, 41)]
+    rows += [(50, "http://h.com/", page("Start")), (51, "http://h.com/b", page("End"))]
+    got = {r.page_id: r.text for r in differencing.extract(pages(spark, rows)).collect()}
+    assert got == {**dict.fromkeys(range(1, 41), "Copy"), 50: "Start", 51: "End"}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_extract_matches_brute_force(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for k in range(160):
+        host = draw.choice(["a.com", "a.com", "b.com", "c.com"])
+        lines = [draw.choice("vwxyz") for _ in range(draw.randrange(0, 5))]
+        html = "".join(f"<p>{x}</p>" for x in ["Site", *lines, "Rights"])
+        if draw.random() < 0.7 and rows:
+            html = draw.choice(rows[-3:])[2]
+        path = draw.choice(["/x", "/x", "/x/y", "/x/yz", "/z"])
+        rows.append((k if k else None, draw.choice([f"http://{host}{path}?{k}"] * 20 + [None]), html))
+    rows += [(k, f"http://d.com/{'p' if k < 230 else 'q'}", "<p>Site</p><p>Same</p>") for k in range(200, 260)]
+    rows += [(k, f"http://d.com/{u}", f"<p>Site</p><p>{u}</p>") for k, u in ((199, "o"), (300, "qq"))]
+
+    def where(row):
+        rest = (row[1] or "").partition("://")[2].partition("?")[0]
+        host, slash, tail = rest.partition("/")
+        return host, slash + tail
+
+    order = sorted(rows, key=lambda r: (*where(r), r[0] or -1))
+    texts = [[t for t, _, _ in differencing.lines_of(r[2])] for r in order]
+    expected = {}
+    for i, row in enumerate(order):
+        host, path = where(row)
+        first, last = i, i
+        while first and where(order[first - 1])[0] == host and texts[first - 1] == texts[i]:
+            first -= 1
+        while last + 1 < len(order) and where(order[last + 1])[0] == host and texts[last + 1] == texts[i]:
+            last += 1
+        near = [(differencing._alike(where(order[j])[1], where(order[end])[1]), -j)
+                for j, end in ((first - 1, first), (last + 1, last))
+                if 0 <= j < len(order) and host and where(order[j])[0] == host]
+        shared = differencing.aligned(texts[i], texts[-max(near)[1]]) if near else []
+        assert not near or len(shared) == lcs(texts[i], texts[-max(near)[1]])
+        expected[row[0]] = "\n".join(t for k, t in enumerate(texts[i]) if k not in shared)
+    got = {r.page_id: r.text for r in differencing.extract(pages(spark, rows).repartition(5)).collect()}
+    assert got == expected
+
+
 def vectors_by_force(rows, cosine=0.95):
     units = [covertree.unit(v) if i is not None else None for i, v in rows]
     links, up = [0] * len(rows), list(range(len(rows)))

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from itertools import takewhile
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import Parts
+from threadloom.llm.tables import Parts, staged
 from threadloom.llm.urls import host_of, path_of
 
 #: Element names of HTML by what they mean here.
@@ -307,46 +308,156 @@ def _alike(a: str, b: str) -> int:
     return segments * 10_000 + sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(a, b)))
 
 
+#: Where a page stands among all, and characters of text that are handed on together.
+KEYS = ["host", "path", "place", "tie"]
+BATCH = 8 << 20
+
+
+def _texts(lines: list[tuple[str, bool, bool]]) -> bytes:
+    """A 128-bit hash of the texts of a page's lines."""
+    return xxhash.xxh3_128_digest("\n".join(t for t, _, _ in lines).encode("utf-8", "surrogatepass"))
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Pages with the columns of ``KEYS``; none of those is null."""
+    source = pages.select(F.col("page_id").cast("long"), "url", "html")
+    return (source.withColumn("host", F.coalesce(host_of("url"), F.lit("")))
+            .withColumn("path", F.coalesce(path_of("url"), F.lit("")))
+            .withColumn("place", F.coalesce("page_id", F.lit(-1 << 63)))
+            .withColumn("tie", F.xxhash64("url", "html")))
+
+
+def _hashed(source: DataFrame) -> DataFrame:
+    """The keys of all pages and the hashes of their lines."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_texts(lines_of(page)) for page in batch.column(len(KEYS)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(KEYS)], pa.array(found, pa.binary())],
+                                             names=[*KEYS, "texts"])
+
+    return source.select(*KEYS, "html").mapInArrow(
+        hashed, "host string, path string, place long, tie long, texts binary")
+
+
+def _ends(rows: DataFrame) -> dict[int, list[dict]]:
+    """Of each part: the first and last row of its first run of equal pages, the row after it, the
+    row before its last run, and that run's first and last row. Rows after or before may be missing."""
+    names = ("first", "end", "next", "previous", "start", "last")
+    row = pa.struct([("host", pa.string()), ("path", pa.string()), ("place", pa.int64()),
+                     ("tie", pa.int64()), ("texts", pa.binary())])
+    fields = pa.schema([("part", pa.int32()), *((name, row) for name in names)])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, dict] = {}
+        for batch in batches:
+            for one in batch.to_pylist():
+                part = one.pop("part")
+                if (now := parts.get(part)) is None:
+                    parts[part] = {"part": part, "first": one, "end": one, "next": None, "previous": None,
+                                   "start": one, "last": one}
+                    continue
+                if not _same(now["last"], one):
+                    now["next"] = now["next"] or one
+                    now["previous"], now["start"] = now["last"], one
+                elif not now["next"]:
+                    now["end"] = one
+                now["last"] = one
+        yield pa.RecordBatch.from_pylist(list(parts.values()), schema=fields)
+
+    one = "struct<host:string,path:string,place:bigint,tie:bigint,texts:binary>"
+    ends = rows.select("part", *KEYS, "texts").mapInArrow(
+        found, "part int, " + ", ".join(f"{name} {one}" for name in names)).collect()
+    return {r["part"]: r.asDict(recursive=True) for r in ends}
+
+
+def _same(a: dict, b: dict) -> bool:
+    """Whether two rows are of one run: the same lines on the same host."""
+    return a["host"] == b["host"] and a["texts"] == b["texts"]
+
+
+def _carried(ends: dict[int, dict]) -> tuple[dict[tuple, list[int]], dict[int, str], dict[int, str]]:
+    """What parts need of others: pages as guests, by key; where first runs start; where last runs end.
+
+    A run can fill any number of parts; each gets the different pages next to the whole run.
+    """
+    guests: dict[tuple, list[int]] = {}
+    paths: tuple[dict[int, str], dict[int, str]] = {}, {}
+    order = sorted(ends)
+    for side, way, (mine, edge, over, away) in (
+            (0, order, ("first", "last", "previous", "start")), (1, order[::-1], ("last", "first", "next", "end"))):
+        near = path = before = None  # the different page before a part's edge, and the run's own outermost path
+        for part in way:
+            now = ends[part]
+            if before is None or not _same(before[edge], now[mine]):
+                near, path = before and before[edge], now[mine]["path"]
+            elif before[over]:
+                near, path = before[over], before[away]["path"]
+            paths[side][part], before = path, now
+            if near and near["host"] and near["host"] == now[mine]["host"]:
+                guests.setdefault(tuple(near[k] for k in KEYS), []).append(3 * part + 2 * side)
+    return guests, *paths
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` (empty if none) and ``n_chars`` of every row of ``pages``.
 
-    Pages are ordered by host and path; each is compared with the neighbour on its host
-    whose path is nearest (the one before on a tie). A neighbour with exactly the same
-    lines tells nothing and isn't used, nor is any for pages without a host. A null html
-    counts as empty. Rows are shuffled once, a host's pages over as many tasks as they
-    fill.
+    Pages are ordered by host and path. A run of pages with the same lines is compared as a
+    whole with the different page before or after it on its host, whichever path is nearer
+    to the run's (the one before on a tie); so its pages have the same partner, also if it
+    fills several parts. There is none for pages without a host. A null html counts as
+    empty. Hashes of lines are written to the shared folder first. Rows are shuffled once,
+    a host's pages over as many tasks as they fill.
     """
-    source = pages.select(F.col("page_id").cast("long"), "url", "html")
-    source = (source.withColumn("host", F.coalesce(host_of("url"), F.lit("")))
-              .withColumn("path", F.coalesce(path_of("url"), F.lit("")))
-              .withColumn("tie", F.xxhash64("url", "html")))
-    parts = Parts(source, ["host", "path", "page_id", "tie"])
+    source = _keyed(pages)
+    hashes = staged(_hashed(source), "page_lines")
+    parts = Parts(hashes, KEYS)
+    guests, starts, ends = _carried(_ends(parts.deal(hashes)))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, now = None, None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                after = (row, lines_of(row["html"]))
-                if row["part"] != part:
-                    if now is not None and now[0]["guest"] == 0:
-                        out.append(one(before, now, None))
-                    part, before, now = row["part"], None, after
-                    continue
-                if now[0]["guest"] == 0:
-                    out.append(one(before, now, after))
-                before, now = now, after
-            yield made(out)
-        if now is not None and now[0]["guest"] == 0:
-            yield made([one(before, now, None)])
-
-    def one(before, now, after) -> tuple:
-        row, lines = now
-        near = [n for n in (before, after) if n and row["host"] and n[0]["host"] == row["host"]
-                and [t for t, _, _ in n[1]] != [t for t, _, _ in lines]]
-        best = max(near, key=lambda n: _alike(n[0]["path"], row["path"]), default=None)
-        text = main_text(lines, best[1] if best else None)
-        return row["page_id"], row["url"], text, len(text)
+        out, size = [], 0
+        for row in told(row for batch in batches for row in batch.to_pylist()):
+            out.append(row)
+            size += row[3]
+            if size > BATCH or len(out) >= 10_000:
+                yield made(out)
+                out, size = [], 0
+        yield made(out)
+
+    def told(rows: Iterator[dict]) -> Iterator[tuple]:
+        part, before, run = None, None, None
+        for row in rows:
+            lines = lines_of(row["html"])
+            name = {"host": row["host"], "texts": _texts(lines)}
+            if row["part"] != part:
+                yield from texts_of(before, run, None)
+                part, before, run = row["part"], None, None
+            if run is None or not _same(run, name):
+                after = {**name, "part": part, "guest": row["guest"], "lines": lines, "rows": [],
+                         "kinds": {}, "first": row["path"], "path": row["path"]}
+                if row["guest"] == 0 and (run is None or run["guest"] == -1):
+                    after["path"] = starts[part]
+                yield from texts_of(before, run, after)
+                before, run = run, after
+            run["last"] = row["path"]
+            if row["guest"] == 0:
+                # copies differ in their elements at most
+                kind = tuple((inside, around) for _, inside, around in lines)
+                run["rows"].append((row["page_id"], row["url"],
+                                    run["kinds"].setdefault(kind, (len(run["kinds"]), lines))[0]))
+        yield from texts_of(before, run, None)
+
+    def texts_of(before: dict | None, run: dict | None, after: dict | None) -> Iterator[tuple]:
+        """The result of a run's own pages, from the runs next to it."""
+        if run is None or not run["rows"]:
+            return
+        last = run["last"] if after and after["guest"] == 0 else ends[run["part"]]
+        near = [(one, _alike(path, own)) for one, path, own in (
+            (before, before and before["last"], run["path"]), (after, after and after["first"], last))
+            if one and run["host"] and one["host"] == run["host"]]
+        best = max(near, key=lambda n: n[1], default=None)
+        texts = [main_text(lines, best[0]["lines"] if best else None) for _, lines in run["kinds"].values()]
+        for page_id, url, kind in run["rows"]:
+            yield page_id, url, texts[kind], len(texts[kind])
 
     def made(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type)
@@ -354,5 +465,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
     fields = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()),
                         ("n_chars", pa.int64())])
-    return parts.deal(source, guests=(-1, 1)).mapInArrow(
+    return parts.deal(source, more=guests).mapInArrow(
         extracted, "page_id long, url string, text string, n_chars long")

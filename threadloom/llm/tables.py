@@ -70,14 +70,17 @@ class Parts:
         self.low = sorted(_ordered(r["low"]) for r in ends)
         self.high = sorted(_ordered(r["high"]) for r in ends)
 
-    def place(self, guests: tuple[int, ...] = (), wrap: bool = False) -> Column:
+    def place(self, guests: tuple[int, ...] = (), wrap: bool = False,
+              more: dict[tuple, list[int]] | None = None) -> Column:
         """The part of a row, as 3 * part + 1, in an array.
 
         With -1 in ``guests`` the highest row of a part is also a guest of the part that
         follows (3 * part), with ``wrap`` of the first part after the last; with 1 the
-        lowest row is also one of the part before (3 * part + 2).
+        lowest row is also one of the part before (3 * part + 2). ``more`` holds further
+        such places of rows by their keys.
         """
         low, high, last = self.low, self.high, len(self.low) - 1
+        further = {_ordered(key): to for key, to in (more or {}).items()}
 
         def places(*columns: pd.Series) -> pd.Series:
             out = []
@@ -89,17 +92,18 @@ class Parts:
                     to.append(3 * ((own + 1) % (last + 1)))
                 if 1 in guests and key == low[own] and own > 0:
                     to.append(3 * (own - 1) + 2)
-                out.append(to)
+                out.append(to + further.get(key, []))
             return pd.Series(out)
 
         return F.pandas_udf(places, "array<int>")(*self.keys)
 
-    def deal(self, df: DataFrame, guests: tuple[int, ...] = (), wrap: bool = False) -> DataFrame:
+    def deal(self, df: DataFrame, guests: tuple[int, ...] = (), wrap: bool = False,
+             more: dict[tuple, list[int]] | None = None) -> DataFrame:
         """``df`` shuffled by part, with ``part`` and ``guest`` (0 for a row in its own part).
 
         Rows come sorted by part, guest and keys; a task can hold several parts.
         """
-        return (df.withColumn("_to", F.explode(self.place(guests, wrap)))
+        return (df.withColumn("_to", F.explode(self.place(guests, wrap, more)))
                 .withColumn("part", F.expr("_to div 3").cast("int"))
                 .withColumn("guest", (F.col("_to") % 3 - 1).cast("int")).drop("_to")
                 .repartition(self.n, "part")
