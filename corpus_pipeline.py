@@ -43,8 +43,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
-    ranks = packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(docs, ranks)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(docs, packing.read_vocabulary(path), added=packing.read_added(path))
 
 
 STAGES: list[tuple[str, Stage]] = [

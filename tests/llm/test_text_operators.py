@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -177,6 +178,35 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, ranks).count() == 0
 
 
+def test_packing_has_the_ids_of_the_tokenizer(spark, tmp_path):
+    """As the query packs: added tokens in a text have their own ids."""
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    coder = tokenizers.Tokenizer.from_file(path)
+    draw = random.Random(6)
+    texts = [None, "", end, end * 2, f"a{end}b", f" a {end} b  {end}\n", f"don{end}'t", "<|endoftext", f"<|{end}|>",
+             *("".join(draw.choice([end, "<|", " ", "x", "'s", "é\n", "1 ", "word "]) for _ in range(draw.randrange(30)))
+               for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    for run in (QUERIES["op5_curve_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        pieces = defaultdict(list)
+        for r in run.collect():
+            pieces[r.doc_id].append(r)
+        for i, text in enumerate(texts):
+            ids, at = coder.encode(text or "", add_special_tokens=False).ids + [1], 0
+            for r in sorted(pieces[i], key=lambda r: r.start):
+                data = np.array(ids[at:at + r.length], "<u4").tobytes()
+                assert r.start == at and r.doc_tokens == len(ids), text
+                assert (r.ids_crc32 == zlib.crc32(data) if "ids_crc32" in r else bytes(r.ids) == data), text
+                at += r.length
+            assert at == len(ids)
+        places = sorted((r.sequence_id, r.offset, r.length) for rows in pieces.values() for r in rows)
+        at = 0
+        for sequence, offset, length in places:
+            assert sequence * 2048 + offset == at
+            at += length
+
+
 def test_hilbert_curve_takes_single_steps():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     walked = cells[np.argsort(packing.hilbert(cells, 3))]

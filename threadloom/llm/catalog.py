@@ -42,8 +42,9 @@ def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = packing.pack(table(spark, sf_dir, "documents"), ranks)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pack(table(spark, sf_dir, "documents"), packing.read_vocabulary(path),
+                          added=packing.read_added(path))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,15 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def read_added(path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary file and their ids: texts are cut at them first."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match as they are can be read")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Place on the Hilbert curve of points with whole coordinates below 2**bits (rows: points).
 
@@ -75,17 +85,26 @@ def directions(words: list[bytes]) -> np.ndarray:
     return np.stack([((hashed >> np.uint32(7 * d)) & 1) * 2.0 - 1 for d in range(DIMENSIONS)], 1)
 
 
-def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id",
-              text: str = "text") -> DataFrame:
+def id_bytes(ranks: dict[bytes, int], added: dict[str, int] | None) -> int:
+    """How many bytes an id takes."""
+    return 2 if max((*ranks.values(), *(added or {}).values()), default=0) < 1 << 16 else 4
+
+
+def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text",
+              added: dict[str, int] | None = None) -> DataFrame:
     """Per row of ``docs`` its ``key``, ``place`` on the curve, ids and their number ``n``.
 
     A document's vector counts its pre-tokens by hash; its projection, divided by its
     own length, is squashed to a cube whose cells the curve visits. ``ids`` holds
-    little-endian 16-bit numbers (32-bit ones for a vocabulary beyond that).
+    little-endian 16-bit numbers (32-bit ones for a vocabulary beyond that). Each
+    ``added`` token in a text is a pre-token of its own and has the id given.
     """
     context = docs.sparkSession.sparkContext
     known, kinds = context.broadcast(ranks), context.broadcast(pretokens.classes())
-    kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
+    kind = np.dtype(f"u{id_bytes(ranks, added)}").type
+    added = added or {}
+    # of tokens that start together the longest counts
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge, done = pretokens.merger(known.value), {}
@@ -100,7 +119,9 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id",
                 size += length
 
     def one(keys, texts, merge, done) -> pa.RecordBatch:
-        tokens, per_text = pretokens.pretokenize(texts, kinds.value)
+        cut = [split(t) if t and added else [t] for t in texts]
+        marks = [mark for parts in cut for mark in parts[1::2]]
+        tokens, per_part = pretokens.pretokenize([t for parts in cut for t in parts[::2]], kinds.value)
         words, index = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
         if len(done) > REMEMBERED:
             done.clear()
@@ -109,6 +130,18 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id",
             if (found := done.get(word)) is None:
                 found = done[word] = merge(word)
             ids.append(found)
+        per_text = per_part
+        if marks:
+            # added tokens go in behind the part before them
+            sizes = np.fromiter((len(parts) // 2 for parts in cut), np.int64, len(cut))
+            owner = np.repeat(np.arange(len(cut)), sizes + 1)
+            last = np.cumsum(sizes + 1) - 1
+            before = np.cumsum(per_part)[np.delete(np.arange(len(owner)), last)]
+            names = {mark: len(words) + k for k, mark in enumerate(dict.fromkeys(marks))}
+            index = np.insert(index, before, [names[mark] for mark in marks])
+            words += [mark.encode() for mark in names]
+            ids += [[added[mark]] for mark in names]
+            per_text = np.bincount(owner, per_part, len(cut)).astype(np.int64) + sizes
         flat, bounds = pretokens.flatten(ids, kind)
         flat, lengths = pretokens.gather(flat, bounds, index)
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(per_text)))]
@@ -129,20 +162,20 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id",
 
 
 def pack(docs: DataFrame, ranks: dict[bytes, int], length: int = LENGTH, key: str = "doc_id",
-         text: str = "text") -> DataFrame:
+         text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """Cuts all documents into pieces that fill sequences of ``length`` ids.
 
     Documents follow one another along the curve (ties by key); the stream of their
     ids is cut every ``length`` ids, so only the very last sequence needs padding. A
-    null text counts as empty; every row, repeated ones too, has at least its end id.
+    null text counts as empty; ``added`` tokens in a text have the ids given; every row, repeated ones too, has at least its end id.
 
     Returns per piece: the key, ``start`` (ids of its document before it), ``length``,
     ``ids`` (little-endian 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset``.
     Ids are written to the shared folder once and shuffled once. Only one number per
     part of the curve passes the driver.
     """
-    rows = staged(tokenized(docs, ranks, key, text), "packing")
-    width = 2 if max(ranks.values(), default=0) < 1 << 16 else 4
+    rows = staged(tokenized(docs, ranks, key, text, added), "packing")
+    width = id_bytes(ranks, added)
     parts = Parts(rows, ["place", "key"])
     sums = {r["part"]: r["n"] for r in
             rows.select(F.floor(parts.place()[0] / 3).alias("part"), "n")
