@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import (archives, bpe, covertree, differencing, jaccard, languages, packing, pretokens,
-                            quality, spots, urls)
+from threadloom.llm import (archives, bpe, covertree, differencing, jaccard, languages, packing, prefixes,
+                            pretokens, quality, repeats, spots, urls, whitening)
 from threadloom.llm.tables import held_back, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,23 @@ def op9_nearest_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("repetition")
+    return repeats.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                            "n_repeat_words")],
+        "base_failed", "kept", m["covered_words"].alias("covered_words"),
+        m["longest_repeat"].alias("longest_repeat"))
