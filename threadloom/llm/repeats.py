@@ -40,7 +40,7 @@ def words_of(texts: list[str | None]):
     and symbols per text. Equal words have equal numbers."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    ends = np.cumsum([len(p) + 1 for p in parts])
+    ends = np.cumsum(np.array([len(p) + 1 for p in parts], np.int64))
     symbols = np.diff(np.concatenate(([0], np.cumsum(SYMBOL[data])))[np.concatenate(([0], ends))])
     gap = SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
