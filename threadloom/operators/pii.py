@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.pii import ACCOUNT, NAME, PHONE, has_pii, pii_entities, redacted
+from threadloom.functions.pii import ACCOUNT, NAME, PHONE, has_pii, pii, redacted
+from threadloom.functions.spans import redact_spans as without_spans
 from threadloom.functions.text import strip
+from threadloom.schema import REDACTED
 
 
 def detect_pii(messages: DataFrame, text: str = "message") -> DataFrame:
@@ -14,10 +16,22 @@ def detect_pii(messages: DataFrame, text: str = "message") -> DataFrame:
 
     Offsets refer to the trimmed text. Runs in the scan stage: no shuffle, no UDF.
     """
-    t = F.col(text)
-    return (messages.withColumn("entities", pii_entities(t))
+    found = messages.withColumn("_pii", pii(F.col(text)))
+    empty = F.array().cast(found.schema["_pii"].dataType["entities"].dataType)
+    return (found.withColumn("entities", F.coalesce("_pii.entities", empty))
             .withColumn("has_pii", F.size("entities") > 0)
-            .withColumn("redacted_text", redacted(t)))
+            .withColumn("redacted_text", F.col("_pii.redacted_text")).drop("_pii"))
+
+
+def redact_spans(rows: DataFrame, text: str = "message", spans: str = "entities",
+                 marker: str = REDACTED) -> DataFrame:
+    """Add ``redacted_text``: the text with the spans a model gave replaced.
+
+    Spans may overlap, lie in each other, touch, be empty or reach out of the text; every
+    stretch they cover is replaced once. Unlike ``detect_pii`` the text is not trimmed, as the
+    offsets refer to it.
+    """
+    return rows.withColumn("redacted_text", without_spans(F.col(text), F.col(spans), marker))
 
 
 def redact(messages: DataFrame, text: str = "message") -> DataFrame:
