@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators import timeline as tl
-from threadloom.operators.timeline import LastN, Timeline, latest
+from threadloom.operators.timeline import LastN, Timeline, latest, measured_once
 from threadloom.schema import KEYS, SENDERS, SUMMARY, WINDOW_MESSAGE, WINDOW_MESSAGES
 
 
@@ -67,8 +67,12 @@ def attach_summary_asof(messages: DataFrame, summaries: DataFrame,
     dropped: there is no state yet that could hold it. One union and one pass,
     no join of the two sides.
     """
-    rows = _with_summaries(messages, summaries)
-    t = timeline or Timeline().measured(rows)
+    t, rows = measured_once(_with_summaries(messages, summaries), timeline)
+    return _attached(rows, messages.columns, t)
+
+
+def _attached(rows: DataFrame, columns: list[str], t: Timeline) -> DataFrame:
+    """The messages of ``_with_summaries`` with the summary as of each."""
     t = replace(t, seq=(*t.seq, "_late"))
     first_message = tl.first_position(F.col("_message"))
     # A summary counts only if a message came earlier; that needs the position
@@ -79,7 +83,7 @@ def attach_summary_asof(messages: DataFrame, summaries: DataFrame,
     kept = F.when(F.col("_stamped.at") > F.col("_opened"), F.col("_stamped.summary"))
     return (out.filter(F.col("_message"))
             .withColumn("summary", kept)
-            .select(*messages.columns, "summary"))
+            .select(*columns, "summary"))
 
 
 def conversation_state_with_summary(messages: DataFrame, summaries: DataFrame,
@@ -89,9 +93,8 @@ def conversation_state_with_summary(messages: DataFrame, summaries: DataFrame,
     The summaries ride along in the same shuffle; the window of the last ten
     messages then reuses its partitioning.
     """
-    t = timeline or Timeline().measured(_with_summaries(messages, summaries))
-    attached = attach_summary_asof(messages, summaries, t)
-    return state_rows(attached, t, {})
+    t, rows = measured_once(_with_summaries(messages, summaries), timeline)
+    return state_rows(_attached(rows, messages.columns, t), t, {})
 
 
 def _with_summaries(messages: DataFrame, summaries: DataFrame) -> DataFrame:

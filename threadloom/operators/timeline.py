@@ -266,6 +266,18 @@ class Timeline:
         return per_segment.select(*keys, *out)
 
 
+def measured_once(df: DataFrame, timeline: Timeline | None) -> tuple[Timeline, DataFrame]:
+    """A timeline for ``df``, and ``df`` to go on with.
+
+    Without a timeline ``df`` is written once: counting its keys and running over its rows
+    would otherwise compute it twice, and parse what it comes from.
+    """
+    if timeline is not None:
+        return timeline, df
+    rows = staged(df, "rows")
+    return Timeline().measured(rows), rows
+
+
 def _uncut() -> Column:
     """A segment is named by its parts turn by turn; arrays compare from the left."""
     return F.array().cast("array<int>")

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from threadloom.operators.merge import change_feed
+from threadloom.operators.merge import change_feed, first_seen, merge_totals, merged_records
 from threadloom.operators.messages import dead_letters, valid_rows
 from threadloom.operators.timeline import latest
 from threadloom.operators.views import latest_summary, latest_summary_by_tenant
+from threadloom.schema import KEYS
 from threadloom.sources.sinks import JSON_OPTIONS
 
 BATCH = "batch_id"
@@ -84,3 +85,67 @@ def stream_latest_summary(stream: DataFrame, by_tenant: bool = False,
 def change_feed_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Complete merged records as update envelopes, JSON lines per micro-batch."""
     return write_batches(path, "json", change_feed, **JSON_OPTIONS)
+
+
+# -- retention -----------------------------------------------------------------
+
+def write_retained(kept: str, expired: str, marks: str, seconds: int, topic: str = "topic",
+                   ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function with a watermark of its own per topic.
+
+    A topic's mark is the newest time seen so far, this micro-batch included. Rows not newer
+    than ``seconds`` before it go to ``expired``, the others to ``kept``. The marks are a small
+    table per micro-batch, made from the one before; a retry makes the same one again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            spark = batch.sparkSession
+            newest = batch.groupBy(topic).agg(F.max(ts).alias("mark"))
+            if number:
+                newest = newest.unionByName(
+                    spark.read.schema(newest.schema).parquet(f"{marks}/{BATCH}={number - 1}"))
+            newest = newest.groupBy(topic).agg(F.max("mark").alias("mark"))
+            here = f"{marks}/{BATCH}={number}"
+            newest.coalesce(1).write.mode("overwrite").parquet(here)
+            # one row per topic, of which there are few
+            rows = batch.join(F.broadcast(spark.read.parquet(here)), topic, "left")
+            old = F.coalesce(F.col(ts) <= _limit(seconds), F.lit(False))
+            for path, some in ((kept, ~old), (expired, old)):
+                rows.where(some).drop("mark").write.mode("overwrite").parquet(
+                    f"{path}/{BATCH}={number}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def _limit(seconds: int) -> Column:
+    return F.col("mark") - F.expr(f"INTERVAL '{seconds}' SECOND")
+
+
+def read_retained(spark: SparkSession, kept: str, marks: str, seconds: int,
+                  topic: str = "topic", ts: str = "ts") -> DataFrame:
+    """What is retained by now: the kept rows within ``seconds`` of their topic's newest time."""
+    newest = latest(spark.read.parquet(marks), [topic], [BATCH]).drop(BATCH)
+    rows = spark.read.parquet(kept).join(F.broadcast(newest), topic, "left")
+    return rows.where(F.col(ts).isNull() | (F.col(ts) > _limit(seconds))).drop("mark")
+
+
+# -- running merge -------------------------------------------------------------
+
+def stream_merge_parts(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged record as two running aggregates, for update mode: no Python, no lists.
+
+    One row of fixed size per conversation, and one per conversation and (type, value) of an
+    entity. ``read_merged`` puts together what the two streams have written.
+    """
+    return merge_totals(results), first_seen(results)
+
+
+def read_merged(spark: SparkSession, totals: str, seen: str) -> DataFrame:
+    """Merged records from the folders of the two streams of ``stream_merge_parts``."""
+    keys = list(KEYS)
+    return merged_records(read_latest(spark, totals, keys),
+                          read_latest(spark, seen, [*keys, "type", "value"]))
