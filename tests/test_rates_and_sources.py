@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import at, messages
 from threadloom.operators import scoring, views
 from threadloom.operators.rates import trailing_rate
-from threadloom.sources import events, sinks
+from threadloom.sources import events, serving, sinks, versions
 from threadloom.schema import SUMMARY_STREAM
 
 
@@ -76,14 +76,83 @@ def test_times_keep_microseconds(spark):
     assert '"ts":"2025-01-01T00:00:00.000001"' in sinks.keyed_json(rows).collect()[0].value
 
 
-def test_serving_layout_prunes_tenants(spark, tmp_path):
-    rows = messages(spark, [(f"t{i % 3}", f"c{i}", i, i, "agent", "m") for i in range(30)])
-    sinks.write_serving(rows, str(tmp_path / "m"))
-    table = spark.read.parquet(str(tmp_path / "m"))
-    found = views.lookup(table, "c4", "t1")
-    assert found.count() == 1
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "conversation_id,c4" in plan
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_lookup_reads_one_folder(spark, tmp_path):
+    rows = messages(spark, [(f"t{i % 3}", f"c{i}", i, i, "agent", "m") for i in range(300)])
+    serving.write_serving(rows, str(tmp_path / "m"), buckets=8)
+    stored = serving.read_serving(spark, str(tmp_path / "m"))
+    assert stored.buckets == 8 and stored.table.count() == 300
+    for i in range(0, 300, 37):
+        assert [r.seq for r in stored.lookup(f"c{i}", f"t{i % 3}").collect()] == [i]
+    assert stored.lookup("c4", "t0").count() == 0 and stored.lookup("c4").count() == 0
+    found = stored.lookup("c4", "t1")
+    plan = plan_of(found)
+    assert "isnotnull(tenant_id" in plan and "(bucket#" in plan.split("PartitionFilters")[1]
+    assert "conversation_id,c4" in plan.split("PushedFilters")[1]
+    assert len(found.inputFiles()) > 0
+    read = {f for f in found.select(F.input_file_name()).distinct().collect()}
+    assert len(read) == 1
+
+
+def test_many_lookups_prune_folders_while_running(spark, tmp_path):
+    rows = messages(spark, [(f"t{i % 3}", f"c{i}", i, i, "agent", "m") for i in range(300)])
+    serving.write_serving(rows, str(tmp_path / "m"), buckets=8)
+    stored = serving.read_serving(spark, str(tmp_path / "m"))
+    wanted = spark.createDataFrame([("c4", "t1"), ("c4", "t1"), ("c5", None), ("", "t1"),
+                                    (None, "t1"), ("c6", "t0"), ("none", "t0")],
+                                   "conversation_id string, tenant_id string")
+    found = stored.lookup_many(wanted)
+    assert sorted(r.seq for r in found.collect()) == [4, 6]
+    assert "dynamicpruning" in plan_of(found).lower()
+    assert found.columns == stored.table.drop("bucket").columns or set(found.columns) == set(rows.columns)
+
+
+def test_versions_tell_defaults_from_nulls(spark, tmp_path):
+    path = str(tmp_path / "v")
+    one = spark.createDataFrame([(1, "a"), (2, None)], "id int, content string")
+    two = spark.createDataFrame([(3, "b", "high", 1.5), (4, "c", None, None)],
+                                "id int, content string, priority string, weight double")
+    three = spark.createDataFrame([(5, None, "x")], "id int, priority string, origin string")
+    versions.write_version(one, path, 1)
+    versions.write_version(two, path, 2, {"priority": "normal"})
+    versions.write_version(three, path, 3, {"origin": "chat"})
+    versions.write_version(one.limit(1), path, 1)
+    got = {(r.schema_version, r.id): (r.content, r.priority, r.weight, r.origin)
+           for r in versions.read_versions(spark, path).collect()}
+    assert got == {(1, 1): ("a", "normal", None, "chat"), (1, 2): (None, "normal", None, "chat"),
+                   (2, 3): ("b", "high", 1.5, "chat"), (2, 4): ("c", None, None, "chat"),
+                   (3, 5): (None, None, None, "x")}
+    assert versions.read_versions(spark, path).count() == 6
+
+
+def test_work_folders_are_shared_and_cleared(spark, monkeypatch):
+    sinks.clear_work(spark)
+    path = sinks.work_dir(spark, "rows")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and sinks.staged(spark.range(2), "more").count() == 2
+    assert sinks.clear_work(spark) == 2 and sinks.clear_work(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+    class Cluster:
+        master, applicationId = "spark://host:7077", "none"
+
+    class Session:
+        sparkContext = Cluster
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": "file:/home/driver/warehouse"}.get(name, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.work_dir(Session, "rows")
+    monkeypatch.setattr(Cluster, "master", "local[2]")
+    assert sinks.work_dir(Session, "rows").startswith("file:/home/driver/warehouse/.work/rows-")
 
 
 @pytest.fixture

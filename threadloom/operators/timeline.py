@@ -69,6 +69,14 @@ def count(when: Column | None = None) -> Scan:
                 merge=lambda before, here: F.coalesce(before, F.lit(0)) + here)
 
 
+def total(value: Column) -> Scan:
+    """Sum so far."""
+    return Scan(local=lambda w, _: F.sum(value).over(w),
+                reduce=lambda _: F.sum(value),
+                carry=lambda c, w: F.sum(c).over(w),
+                merge=lambda before, here: F.coalesce(before, F.lit(0)) + here)
+
+
 def last(value: Column) -> Scan:
     """Newest non-null value."""
     return Scan(local=lambda w, _: F.last(value, ignorenulls=True).over(w),

@@ -57,9 +57,10 @@ SELECT {KEY_COLUMNS},
 FROM events"""
 
 # The same out of order, with many equal times.
-MIXED_MESSAGES = MESSAGES.replace("ts, event_id AS seq", """CASE event_id * 7 % 5
+MIXED_TIMES = """CASE event_id * 7 % 5
          WHEN 0 THEN NTZ'2025-01-03 00:00:00' WHEN 1 THEN NTZ'2024-12-31 12:00:00'
-         WHEN 2 THEN NTZ'2025-01-20 06:00:00' ELSE ts END AS ts, event_id AS seq""")
+         WHEN 2 THEN NTZ'2025-01-20 06:00:00' ELSE ts END AS ts"""
+MIXED_MESSAGES = MESSAGES.replace("ts, event_id AS seq", f"{MIXED_TIMES}, event_id AS seq")
 
 # `events` as requests with every kind of mistake.
 REQUESTS = """
@@ -147,6 +148,12 @@ SELECT event_id AS seq, ts, event_type, user_id,
        END AS value
 FROM events"""
 
+MIXED_RESULTS = RESULTS.replace("event_id AS seq, ts,", f"event_id AS seq, {MIXED_TIMES},")
+
+# `events` as results that arrive late: every seventh two days after its time.
+LATE_RESULTS = RESULTS.replace("event_id AS seq, ts,", """event_id AS seq,
+       CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL '2' DAY ELSE ts END AS ts,""")
+
 # `events` as answers of a model: plain, fenced, in a list, broken.
 ANSWERS = f"""
 SELECT event_id AS seq, ts, user_id, kind,
@@ -249,6 +256,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_results(validate_agent_result(raw_results(spark, sf_dir)))
 
 
+def mixed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid, typed results out of order, with many equal times."""
+    raw = _select(spark, sf_dir, MIXED_RESULTS, "events", costly=True)
+    return typed_results(validate_agent_result(raw))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, ANSWERS, "events", costly=True)
 

@@ -6,6 +6,7 @@ flat columns. ``oracles`` has the SQL the results are checked against.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable
 
@@ -19,9 +20,9 @@ from threadloom.operators.results import (classify_result, result_keys, validate
 from threadloom.operators.timeline import Timeline
 from threadloom.plans import adapters as A
 from threadloom.plans import jobs
-from threadloom.sources import events, sinks
+from threadloom.sources import events, serving, sinks, versions
+from threadloom.streaming import keyed, stateful
 from threadloom.streaming import sinks as stream_sinks
-from threadloom.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,14 +129,48 @@ def events_with_headers(spark, d):
     tenant = F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))
     headers = F.array(*[F.struct(F.lit(k).alias("key"), val.cast("binary").alias("value"))
                         for k, val in (("tenant_id", F.lit("old")), ("tenant_id", tenant))])
-    return events.decode(raw.withColumn("headers", headers))
+    return raw.withColumn("headers", headers)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of a table that is written once per session and read by every query."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _STORED:
+        path = sinks.work_dir(spark, name)
+        write(path)
+        _STORED[at] = path
+    return _STORED[at]
+
+
+def topic_files(spark, d) -> str:
+    """Results as the files of a topic."""
+    rows = events_with_headers(spark, d).select(
+        "topic", F.col("partition").cast("int").alias("partition"), "offset", "key", "value",
+        "headers", F.col("ts").alias("timestamp"))
+    return stored_once(spark, d, "topic", lambda path: sinks.write_files(rows, path, "parquet"))
+
+
+def flat_events(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "topic", "offset", "key", F.col("document").isNotNull().alias("is_json"),
+        F.try_variant_get(F.col("document"), "$.conversation_id", "string").alias("conversation_id"),
+        F.col("header")["tenant_id"].alias("header_tenant"))
 
 
 @query
 def read_events(spark, d):
-    return events_with_headers(spark, d).select("topic", "offset", "key", F.col("document").isNotNull().alias("is_json"),
-                       F.try_variant_get(F.col("document"), "$.conversation_id", "string").alias("conversation_id"),
-                       F.col("header")["tenant_id"].alias("header_tenant"))
+    return flat_events(events.decode(events.from_files(spark, topic_files(spark, d))))
+
+
+@query
+def stream_read_events(spark, d):
+    """The same files as a stream, one file a micro-batch."""
+    source = events.from_files(spark, topic_files(spark, d), streaming=True, files_per_trigger=1)
+    return stream_sinks.read_batches(spark, _drained(
+        spark, flat_events(events.decode(source)), "events", "append")).drop(stream_sinks.BATCH)
 
 
 @query
@@ -185,15 +220,41 @@ def dead_letter(spark, d):
         "error_type", texts(header).alias("headers"))
 
 
+@query
+def declare_stream_dead(spark, d):
+    """Rows of all topics that a declared stream leaves out, as dead letters."""
+    left_out = events.undeclared(A.raw_results(spark, d), S.SUMMARY_STREAM)
+    return msg.dead_letters(left_out).select(
+        "original_topic", "original_partition", "original_offset", "key", "value", "error",
+        "error_type")
+
+
 @query
 def intelligence_lookup(spark, d):
-    records, path = merged(spark, d), sinks.work_dir(spark, "serving")
-    sinks.write_serving(records, path)
-    stored = spark.read.schema(records.schema).parquet(path)
-    found = views.intelligence_lookup(stored, A.requested(spark, d))
+    """Many requests at once against the stored table."""
+    path = stored_once(spark, d, "serving", lambda at: serving.write_serving(
+        merged(spark, d), at, buckets=8))
+    found = serving.read_serving(spark, path).lookup_many(A.requested(spark, d))
     return found.select(*KEYS, *flat_merged(), "last_updated")
 
 
+@query
+def read_versions(spark, d):
+    """Files of two schema versions; the newer has a field with a default and with nulls."""
+    name = F.concat_ws("-", "conversation_id", F.col("seq").cast("string")).alias("message_id")
+
+    def write(path):
+        versions.write_version(A.turns(spark, d).select(name, F.col("message").alias("content")),
+                               path, 1)
+        priority = F.when(F.col("seq") % 5 > 0, F.col("event_type")).alias("priority")
+        versions.write_version(A.messages(spark, d).select(
+            name, F.col("message").alias("content"), priority), path, 2, {"priority": "normal"})
+
+    return versions.read_versions(spark, stored_once(spark, d, "versions", write)).select(
+        "message_id", "content", "priority", F.col("schema_version").cast("bigint")
+        .alias("schema_version"))
+
+
 @query
 def change_feed(spark, d):
     feed = merge.change_feed(merged(spark, d))
@@ -316,8 +377,9 @@ def attach_summary_asof(spark, d):
 
 @query
 def attach_summary_asof_large_keys(spark, d):
-    t = Timeline().measured(chat_messages(spark, d), rows_per_task=SMALL_SEGMENT)
-    return _asof(spark, d, t)
+    places = chat_messages(spark, d).select(*KEYS, "ts", "seq").unionByName(
+        summaries(spark, d).select(*KEYS, "ts", "seq"))
+    return _asof(spark, d, Timeline().measured(places, rows_per_task=SMALL_SEGMENT))
 
 
 def flat_changes(df: DataFrame) -> DataFrame:
@@ -416,6 +478,65 @@ def transcript_ties(spark, d):
         *KEYS, count_of("part"), count_of("lines"), "text")
 
 
+def tied_results(spark, d) -> tuple[DataFrame, Timeline]:
+    """Results out of order, with many equal times, and the cuts of their larger keys."""
+    rows = A.mixed_results(spark, d)
+    return rows, Timeline().measured(rows, rows_per_task=SMALL_SEGMENT)
+
+
+@query
+def merge_intelligence_ties(spark, d):
+    return flat_changes(merge.merge_intelligence(*tied_results(spark, d)))
+
+
+@query
+def merge_intelligence_final_ties(spark, d):
+    return merge.merge_intelligence_final(A.mixed_results(spark, d)).select(
+        *KEYS, *flat_merged(), "last_updated")
+
+
+@query
+def running_latest_ties(spark, d):
+    return flat_running(merge.running_latest(*tied_results(spark, d)))
+
+
+@query
+def pii_sticky_ties(spark, d):
+    return merge.pii_sticky(*tied_results(spark, d)).select(*KEYS, "seq", "found", "has_pii")
+
+
+@query
+def pii_entity_merge_ties(spark, d):
+    return flat_entities(merge.pii_entity_merge(A.mixed_results(spark, d)))
+
+
+@query
+def latest_record_ties(spark, d):
+    return merge.latest_record(A.mixed_results(spark, d)).select(
+        *KEYS, "kind", "seq", *flat_merged())
+
+
+def tied_chat(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = msg.valid_rows(msg.validate_message(A.mixed_messages(spark, d)))
+    return (rows.drop("event_type", "user_id"),
+            A.mixed_results(spark, d).filter(F.col("kind") == "summary"))
+
+
+@query
+def attach_summary_asof_ties(spark, d):
+    """Messages and summaries measured together."""
+    chat, found = tied_chat(spark, d)
+    places = chat.select(*KEYS, "ts", "seq").unionByName(found.select(*KEYS, "ts", "seq"))
+    t = Timeline().measured(places, rows_per_task=SMALL_SEGMENT)
+    return state.attach_summary_asof(chat, found, t).select(*KEYS, "seq", "ts", *flat_summary())
+
+
+@query
+def sentiment_context_ties(spark, d):
+    states = state.conversation_state_with_summary(*tied_chat(spark, d))
+    return context.sentiment_context(states).select(*KEYS, "seq", "context")
+
+
 def _flat_final(df: DataFrame) -> DataFrame:
     return df.select(*KEYS, count_of("message_count"), "created_at", "last_activity",
                      texts(F.col("participants")).alias("participants"),
@@ -439,7 +560,10 @@ def pii_sticky(spark, d):
 
 @query
 def pii_entity_merge(spark, d):
-    rows = merge.pii_entity_merge(A.results(spark, d))
+    return flat_entities(merge.pii_entity_merge(A.results(spark, d)))
+
+
+def flat_entities(rows: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.col("since.seq").alias("since_seq"), count_of("place"),
                        F.col("entity.type").alias("type"), F.col("entity.value").alias("value"),
                        F.col("entity.start_index").cast("bigint").alias("start_index"))
@@ -480,7 +604,10 @@ def message_ordinal(spark, d):
 
 @query
 def running_latest(spark, d):
-    out = merge.running_latest(A.results(spark, d))
+    return flat_running(merge.running_latest(A.results(spark, d)))
+
+
+def flat_running(out: DataFrame) -> DataFrame:
     return out.select(*KEYS, "seq", F.col("latest_sentiment.reasoning").alias("sentiment"),
                       F.col("latest_pii.redacted_text").alias("pii"),
                       F.col("latest_insights.intent").alias("insights"),
@@ -587,6 +714,23 @@ def detect_pii_documents(spark, d):
                         F.sha2("redacted_text", 256).alias("redacted_sha256"))
 
 
+@query
+def redact_spans(spark, d):
+    """Ten spans per document: overlapping, nested, empty, reversed and outside of the text."""
+    n = F.length("text")
+
+    def span(i):
+        start = (F.col("doc_id") * 7 + i * i * 13) % (n + 20) - 5
+        return F.struct(start.alias("start_index"),
+                        (start + (F.col("doc_id") + i * 5) % 23 - 2).alias("end_index"))
+
+    docs = events.spread(spark.read.parquet(f"{d}/documents.parquet")).withColumn(
+        "spans", F.transform(F.sequence(F.lit(0), F.lit(9)), span))
+    return pii.redact_spans(docs, "text", "spans").select(
+        "doc_id", F.length("redacted_text").cast("bigint").alias("redacted_chars"),
+        F.sha2("redacted_text", 256).alias("redacted_sha256"))
+
+
 @query
 def redact(spark, d):
     return pii.redact(valid_messages(spark, d)).select("seq", "redacted_text")
@@ -638,7 +782,7 @@ def record_extension(spark, d):
             yield {"offset": record["offset"], "tenant": tenant, "part": part,
                    "chars": len(record["value"])}
 
-    records = events_with_headers(spark, d).select("offset", "value", "header")
+    records = events.decode(events_with_headers(spark, d)).select("offset", "value", "header")
     return scoring.per_record(records, by_header,
                               "offset bigint, tenant string, part bigint, chars bigint")
 
@@ -712,23 +856,31 @@ def stream_merge_intelligence(spark, d):
     return flat_changes(stream_sinks.read_batches(spark, out))
 
 
-def _in_slices(spark, d, name: str, sql: str, build, sink, slices: int = 3) -> str:
+def _in_slices(spark, d, name: str, sql: str, build, sink, slices: int = 3, mode: str = "append",
+               after=None) -> str:
     """Run a stream over slices of ``events`` that arrive one after the other, each run going
-    on from the checkpoint of the one before; the folder of its output."""
+    on from the checkpoint of the one before; the folder of its output.
+
+    ``after`` is called with that folder after every slice.
+    """
     base = sinks.work_dir(spark, name)
     rows = spark.read.parquet(f"{d}/events.parquet")
-    cuts = rows.agg(F.percentile_approx(
-        "event_id", [i / slices for i in range(1, slices)])).first()[0] or []
-    number = sum((F.coalesce(F.col("event_id") > cut, F.lit(False)).cast("int") for cut in cuts),
-                 F.lit(0))
-    for i in range(len(cuts) + 1):
+    last = (rows.agg(F.max("event_id")).first()[0] or 0) + 1
+    number = F.coalesce(F.expr(f"event_id * {slices} div {last}"), F.lit(0))
+    for i in range(slices):
         rows.where(number == i).write.mode("append").parquet(f"{base}/in")
         source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         stream_sinks.run(build(A.select_from(spark, source, sql, "events")), sink(f"{base}/out"),
-                         f"{base}/state", once=True).awaitTermination()
+                         f"{base}/state", mode, once=True).awaitTermination()
+        if after:
+            after(f"{base}/out")
     return f"{base}/out"
 
 
+def _typed(raw: DataFrame) -> DataFrame:
+    return A.typed_results(validate_agent_result(raw))
+
+
 @query
 def stream_summary_fold(spark, d):
     def build(messages):
@@ -763,3 +915,78 @@ def stream_change_feed(spark, d):
     return feed.select("type", *KEYS, F.col("data.sentiment.sentiment").alias("sentiment"),
                        F.col("data.summary.tldr").alias("tldr"),
                        F.col("data.last_updated").alias("last_updated"))
+
+
+@query
+def stream_expiring_state(spark, d):
+    """State rows of conversations that start afresh after twelve idle hours."""
+    def build(messages):
+        rows = msg.valid_rows(msg.validate_message(messages))
+        return keyed.stream_expiring_state(rows, dt.timedelta(hours=12))
+
+    out = _in_slices(spark, d, "expiring", A.MESSAGES, build, stream_sinks.write_batches)
+    return flat_state(stream_sinks.read_batches(spark, out))
+
+
+@query
+def stream_entities(spark, d):
+    out = _in_slices(spark, d, "entities", A.RESULTS,
+                     lambda raw: keyed.stream_entities(_typed(raw)), stream_sinks.write_batches)
+    return stream_sinks.read_batches(spark, out).select(
+        *KEYS, F.col("seq").alias("since_seq"), "place", "type", "value", "start_index")
+
+
+@query
+def stream_merge_parts(spark, d):
+    """The merged records from two running aggregates."""
+    folders = [_in_slices(spark, d, name, A.RESULTS,
+                          lambda raw, i=i: stream_sinks.stream_merge_parts(_typed(raw))[i],
+                          stream_sinks.write_batches, mode="update")
+               for i, name in enumerate(("totals", "seen"))]
+    return stream_sinks.read_merged(spark, *folders).select(*KEYS, *flat_merged(), "last_updated")
+
+
+@query
+def stream_updates(spark, d):
+    """A change log as files, and a second stream that passes on what is new in it."""
+    base = sinks.work_dir(spark, "updates")
+
+    def passed_on(log):
+        records = stream_sinks.read_batches(spark, log)
+        source = spark.readStream.schema(records.schema).parquet(log)
+        stream_sinks.run(keyed.stream_updates(source), stream_sinks.write_batches(f"{base}/out"),
+                         f"{base}/state", once=True).awaitTermination()
+
+    _in_slices(spark, d, "log", A.RESULTS,
+               lambda raw: stateful.stream_merge_intelligence(_typed(raw)),
+               stream_sinks.write_batches, after=passed_on)
+    sent = stream_sinks.read_batches(spark, f"{base}/out")
+    data = F.from_json("value", "type string, data struct<sentiment: struct<reasoning: string>, "
+                                "summary: struct<tldr: string>>")
+    return sent.select(*KEYS, "seq", data["type"].alias("type"),
+                       data["data"]["sentiment"]["reasoning"].alias("reasoning"),
+                       data["data"]["summary"]["tldr"].alias("tldr"))
+
+
+@query
+def stream_retention(spark, d):
+    """Rows kept for 24 hours of their topic's time, and those that came too late."""
+    day, base = 86_400, sinks.work_dir(spark, "retention")
+    _in_slices(spark, d, "topic", A.LATE_RESULTS, lambda raw: raw.select("topic", "seq", "ts"),
+               lambda _: stream_sinks.write_retained(f"{base}/kept", f"{base}/expired",
+                                                     f"{base}/marks", day))
+    kept = stream_sinks.read_retained(spark, f"{base}/kept", f"{base}/marks", day)
+    late = stream_sinks.read_batches(spark, f"{base}/expired")
+    return kept.select("topic", "seq", "ts", F.lit("kept").alias("place")).unionByName(
+        late.select("topic", "seq", "ts", F.lit("expired").alias("place")))
+
+
+@query
+def stream_unanswered(spark, d):
+    """Customer messages that nobody answered within twelve hours."""
+    def build(messages):
+        rows = msg.valid_rows(msg.validate_message(messages))
+        return keyed.stream_unanswered(rows, dt.timedelta(hours=12))
+
+    out = _in_slices(spark, d, "unanswered", A.MESSAGES, build, stream_sinks.write_batches)
+    return stream_sinks.read_batches(spark, out).select(*KEYS, "ts", "seq", "due")

@@ -537,3 +537,90 @@ FROM e WHERE error IS NOT NULL"""
 ORACLES["stream_change_feed"] = f"""WITH {CHANGES}
 SELECT 'intelligence_update' AS type, {K}, sentiment, tldr, last_updated FROM g
 WHERE sentiment IS NOT NULL AND any_pii AND intent IS NOT NULL AND tldr IS NOT NULL"""
+
+
+# -- rows out of order, with equal times ---------------------------------------
+
+def renumbered(adapter: str) -> str:
+    """An adapter's rows with their place in the order of (ts, seq) as ``seq``."""
+    return (f"SELECT * REPLACE (row_number() OVER (ORDER BY ts, seq) AS seq), seq AS event "
+            f"FROM ({duck(adapter)})")
+
+
+def tied(sql: str, seq: str | None = "seq") -> str:
+    """The same query over mixed rows. Within it ``seq`` alone is the order; ``seq`` names the
+    column of the result that is turned back into the number of the event."""
+    for plain, mixed in ((A.RESULTS, A.MIXED_RESULTS), (A.MESSAGES, A.MIXED_MESSAGES)):
+        sql = sql.replace(f"({duck(plain)})", f"({renumbered(mixed)})")
+    if seq is None:
+        return sql
+    return (f"SELECT q.* REPLACE (o.event AS {seq}) FROM ({sql}) q "
+            f"JOIN ({renumbered(A.MIXED_RESULTS)}) o ON q.{seq} = o.seq")
+
+
+for _name, _seq in (("merge_intelligence", "seq"), ("merge_intelligence_final", None),
+                    ("running_latest", "seq"), ("pii_sticky", "seq"),
+                    ("pii_entity_merge", "since_seq"), ("latest_record", "seq"),
+                    ("attach_summary_asof", "seq"), ("sentiment_context", "seq")):
+    ORACLES[f"{_name}_ties"] = tied(ORACLES[_name], _seq)
+
+# -- readers, spans ------------------------------------------------------------
+
+ORACLES["stream_read_events"] = ORACLES["read_events"]
+ORACLES["declare_stream_dead"] = f"""WITH {PARSED} SELECT topic AS original_topic,
+  src_partition AS original_partition, src_offset AS original_offset, key, value,
+  'value: not JSON' AS error, 'JSONDecodeError' AS error_type FROM p WHERE j IS NULL"""
+ORACLES["read_versions"] = f"""WITH raw AS ({duck(A.TURNS)}), {B}
+SELECT conversation_id || '-' || seq AS message_id, message AS content, 'normal' AS priority,
+  cast(1 AS bigint) AS schema_version FROM raw
+UNION ALL SELECT conversation_id || '-' || seq, message,
+  CASE WHEN seq % 5 > 0 THEN event_type END, 2 FROM b"""
+ORACLES["redact_spans"] = """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+s AS (SELECT doc_id, n, (doc_id * 7 + i * i * 13) % (n + 20) - 5 AS a, (doc_id + i * 5) % 23 - 2 AS l
+  FROM d, range(10) t(i)),
+r AS (SELECT doc_id, greatest(a, 0) AS a, least(a + l, n) AS z FROM s
+  WHERE greatest(a, 0) < least(a + l, n)),
+f AS (SELECT *, CASE WHEN a >= coalesce(max(z) OVER (PARTITION BY doc_id ORDER BY a, z
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS fresh FROM r),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, z
+  ROWS UNBOUNDED PRECEDING) AS piece FROM f),
+u AS (SELECT doc_id, piece, min(a) AS a, max(z) AS z FROM g GROUP BY ALL),
+p AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
+o AS (SELECT doc_id, string_agg(substring(text, before + 1, a - before) || '[REDACTED]', ''
+    ORDER BY a) || substring(any_value(text), max(z) + 1) AS t FROM p JOIN d USING (doc_id)
+  GROUP BY doc_id)
+SELECT doc_id, length(coalesce(t, text)) AS redacted_chars,
+  sha256(coalesce(t, text)) AS redacted_sha256 FROM d LEFT JOIN o USING (doc_id)"""
+
+# -- streams with state per key ------------------------------------------------
+
+# A conversation's number changes with every gap of more than twelve hours.
+EPISODES = f"""{B},
+gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL '12' HOUR THEN 1 ELSE 0 END AS gap
+  FROM m WINDOW w AS (PARTITION BY {K} ORDER BY ts, seq)),
+cut AS (SELECT * REPLACE (conversation_id || '/' || sum(gap) OVER (PARTITION BY {K}
+  ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS conversation_id) FROM gaps)"""
+ORACLES["stream_expiring_state"] = f"""SELECT * REPLACE (split_part(conversation_id, '/', 1)
+  AS conversation_id) FROM ({state_sql(EPISODES, 'cut')})"""
+ORACLES["stream_entities"] = ORACLES["pii_entity_merge"]
+ORACLES["stream_merge_parts"] = ORACLES["merge_intelligence_final"]
+SAID = f"({', '.join(n for n in MERGED_NAMES)})"
+ORACLES["stream_updates"] = f"""WITH {CHANGES},
+whole AS (SELECT *, {SAID} IS NOT DISTINCT FROM lag({SAID}) OVER w AND row_number() OVER w > 1 AS same
+  FROM g WHERE sentiment IS NOT NULL AND any_pii AND intent IS NOT NULL AND tldr IS NOT NULL
+  WINDOW w AS (PARTITION BY {K} ORDER BY seq))
+SELECT {K}, seq, 'intelligence_update' AS type, reasoning, tldr FROM whole WHERE NOT same"""
+ORACLES["stream_retention"] = f"""WITH c AS ({duck(A.LATE_RESULTS)}),
+s AS (SELECT topic, seq, ts, seq * 3 // (max(seq) OVER () + 1) AS slice FROM c),
+m AS (SELECT x.topic, x.slice, max(y.ts) AS mark FROM (SELECT DISTINCT topic, slice FROM s) x
+  JOIN s y ON y.topic = x.topic AND y.slice <= x.slice GROUP BY ALL),
+k AS (SELECT s.*, s.ts <= mark - INTERVAL '24' HOUR AS late, max(mark) OVER (PARTITION BY topic)
+  AS newest FROM s JOIN m USING (topic, slice))
+SELECT topic, seq, ts, CASE WHEN late THEN 'expired' ELSE 'kept' END AS place FROM k
+WHERE late OR ts > newest - INTERVAL '24' HOUR"""
+ORACLES["stream_unanswered"] = f"""WITH {B},
+x AS (SELECT *, lead(ts) OVER (PARTITION BY {K} ORDER BY ts, seq) AS after FROM m
+  WHERE sender IN ('customer', 'agent'))
+SELECT {K}, ts, seq, ts + INTERVAL '12' HOUR AS due FROM x WHERE sender = 'customer'
+  AND (after > ts + INTERVAL '12' HOUR OR (after IS NULL
+    AND ts + INTERVAL '12' HOUR < (SELECT max(ts) FROM m)))"""

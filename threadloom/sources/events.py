@@ -83,11 +83,10 @@ def declare_stream(rows: DataFrame, schema: T.StructType, key: str | None = None
     """Typed columns over a JSON topic; ``name`` also makes it a view for SQL.
 
     The key column is read from the record key, the others from the value. Rows
-    without a value and rows whose value is not such a record are left out.
+    without a value and rows whose value is not such a record are left out; ``undeclared``
+    has the latter.
     """
-    checked = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
-    typed = rows.withColumn("_v", F.from_json(
-        "value", checked, {"columnNameOfCorruptRecord": BROKEN}))
+    typed = _declared(rows, schema)
     columns = [(F.col("key") if f.name == key else F.col(f"_v.{f.name}")).alias(f.name)
                for f in schema.fields]
     position = [c for c in ("topic", "partition", "offset", "ts", "timestamp")
@@ -99,6 +98,26 @@ def declare_stream(rows: DataFrame, schema: T.StructType, key: str | None = None
     return out
 
 
+def undeclared(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows that ``declare_stream`` leaves out although they have a value.
+
+    With ``error`` and ``error_type``, ready for ``dead_letters``.
+    """
+    broken = F.col("value").isNotNull() & (F.col("_v").isNull() | F.col(f"_v.{BROKEN}").isNotNull())
+    not_json = v.whole_json(F.col("value")).isNull()
+    return (_declared(rows, schema).filter(broken).drop("_v")
+            .withColumn("error", F.when(not_json, "value: not JSON")
+                        .otherwise("value: not such a record"))
+            .withColumn("error_type", F.when(not_json, "JSONDecodeError")
+                        .otherwise("ValidationError")))
+
+
+def _declared(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    checked = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    return rows.withColumn("_v", F.from_json(
+        "value", checked, {"columnNameOfCorruptRecord": BROKEN}))
+
+
 def read_requests(rows: DataFrame) -> DataFrame:
     """Request columns from topic rows; nested metadata values become JSON text.
 

@@ -1,21 +1,51 @@
-"""Writing records: keyed JSON for a topic, tables for serving."""
+"""Writing records: keyed JSON for a topic, and the folders of intermediate results."""
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+    """A new folder under the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
+
+    Without that setting a local session works under its warehouse. A cluster's executors
+    don't share the driver's disk, so there a warehouse on it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and _on_this_machine(spark, warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"{warehouse}/.work"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _on_this_machine(spark: SparkSession, path: str) -> bool:
+    scheme = urlparse(path).scheme or urlparse(
+        spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")).scheme
+    return scheme == "file"
 
-    Without that setting it is under the warehouse, which a cluster shares as well.
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the folders this session made for itself; how many there were.
+
+    To be called when nothing reads the frames of its queries any more.
     """
-    shared = (spark.conf.get("spark.checkpoint.dir", None)
-              or f"{spark.conf.get('spark.sql.warehouse.dir')}/.work")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(made)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -70,15 +100,3 @@ def write_topic(rows: DataFrame, topic: str, servers: str) -> None:
 
 def write_files(rows: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
     rows.write.format(fmt).mode(mode).save(path)
-
-
-def write_serving(merged: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Merged records laid out for lookups: a folder per tenant, sorted by conversation.
-
-    Ranges of (tenant, conversation) are of even size, so a large tenant is
-    written by many tasks and a small one by one. Lookups skip the other
-    tenants' folders, and most row groups of their own by the sort.
-    """
-    (merged.repartitionByRange("tenant_id", "conversation_id")
-     .sortWithinPartitions("tenant_id", "conversation_id")
-     .write.mode(mode).partitionBy("tenant_id").parquet(path))
