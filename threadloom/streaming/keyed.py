@@ -243,12 +243,13 @@ class Changes(Step):
 def stream_updates(merged: DataFrame, content: Callable[[], Column] | None = None) -> DataFrame:
     """Complete merged records as update envelopes, each only if it says something new.
 
-    ``content`` is what is compared, the four parts of the record if not given; its hash is
-    all that is kept per conversation. ``last_updated`` alone is no news.
+    ``content`` is what is compared, the four parts of the record without their times if not
+    given; its hash is all that is kept per conversation. A new time alone is no news.
     """
     envelope = F.struct(F.lit("intelligence_update").alias("type"), *KEYS, F.struct(
         *KEYS, *KINDS, "last_updated").alias("data"))
-    compared = content() if content else F.struct(*KINDS)
+    compared = content() if content else F.struct(
+        *[F.col(k).dropFields("timestamp").alias(k) for k in KINDS])
     rows = completeness(merged).filter("complete").select(
         *KEYS, "ts", F.col("seq").cast("bigint").alias("seq"),
         F.to_json(envelope, JSON_OPTIONS).alias("value"),
