@@ -12,6 +12,7 @@ import tiktoken
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from threadloom.llm import bpe, jaccard, languages, packing, pretokens, quality, spots
@@ -320,3 +321,104 @@ def test_pipeline(spark):
             assert set(after) == {i for i, (_, c) in by_force(list(before.items())).items() if i == c}
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == set(after) and {texts[i] for i in after} == set(after.values())
+
+
+def templated(share, groups=60):
+    """Groups of three near copies: one text all share, and a passage of their own."""
+    draw = random.Random(1)
+    template, rows = [f"w{draw.randrange(10 ** 8)}" for _ in range(300)], []
+    for _ in range(groups):
+        own = [f"w{draw.randrange(10 ** 8)}" for _ in range(int(300 * share))]
+        for _ in range(3):
+            changed = own[:]
+            changed[draw.randrange(len(own))] = f"v{draw.randrange(10 ** 8)}"
+            rows.append((len(rows), " ".join(template + changed)))
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.8, 0.37])
+def test_templated_texts_dont_multiply(spark, monkeypatch, share):
+    """Unlinked documents of one template are near each other and every pivot."""
+    rows, held, real = templated(share), [], jaccard.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("members", "regions", "rare-regions"):
+            held.append(out.agg(F.sum("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = grouped(jaccard.jaccard_groups(docs, most=1500, pivots=4))
+    expected = by_force(rows)
+    assert got == expected and len({c for _, c in expected.values()}) == 60
+    assert max(held) < 2 * sum(n for n, _ in expected.values())
+
+
+def test_a_poor_split_ends_in_blocks(spark):
+    """Far fewer kinds of shingles than documents: no shingle is rare, pairs are compared."""
+    draw = random.Random(4)
+    rows = [(i, " ".join(str(draw.randrange(2)) for _ in range(40))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert grouped(jaccard.jaccard_groups(docs, most=300, pivots=2)) == by_force(rows)
+
+
+def test_training_rows_are_bounded(spark):
+    """One labelled id on many rows gives one row to learn from."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, None)],
+                                 "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id bigint, quality int")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "grow", lambda x, y: seen.append((len(x), len(y))))
+        quality.fit(docs, labels)
+    assert seen == [(3, 3)]
+
+
+CLASHING = ("doc_id bigint, text string, lang string, source string, score double, predicted int, "
+            "lang_pred string, lang_ambiguous boolean, key string, n bigint, component_id bigint")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents whose columns have the names the models use, with odd ids and texts."""
+    texts = [(r.doc_id, r.text, r.lang) for r in table(spark, SF, "documents").collect()]
+    texts += [(None, t, lang) for _, t, lang in texts[:3]] + [(texts[5][0], texts[9][1], texts[9][2])]
+    texts += [(None, None, None), (None, "", "en"), (7, " \n", None), (8, LONG, None), texts[0], texts[0]]
+    return spark.createDataFrame([(i, t, lang, "s", -7.0, -7, "xx", False, "k", -1, -2)
+                                  for i, t, lang in texts], CLASHING)
+
+
+def test_stages_overwrite_nothing(spark, clashing):
+    rows = set(map(tuple, clashing.collect()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, clashing, SF)
+        assert kept.schema == clashing.schema
+        got = kept.collect()
+        assert got and set(map(tuple, got)) <= rows
+        assert stage(spark, clashing.limit(0), SF).count() == 0
+    said = corpus_pipeline.known_language(spark, clashing, SF).collect()
+    assert all(r.text and r.text.strip() for r in said)
+
+
+def test_every_row_is_a_document_of_the_join(spark, clashing):
+    rows = [tuple(r) for r in clashing.collect()]
+    groups = by_force([(i, r[1]) for i, r in enumerate(rows)])
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each(spark, clashing, SF).collect()]
+    by_group = defaultdict(list)
+    for i, r in enumerate(rows):
+        by_group[groups[i][1]].append(r)
+    assert len(kept) == len(by_group)
+    for same in by_group.values():
+        least = min(same, key=lambda r: (r[0] is None, r[0] or 0))[0]
+        assert sum(r in same and r[0] == least for r in kept) >= 1
+    unlike = spark.createDataFrame([(1, "one two three four five six"), (1, "quite another text it is"),
+                                    (None, "and a third one without id")], "doc_id bigint, text string")
+    assert corpus_pipeline.one_of_each(spark, unlike, SF).count() == 3
+
+
+def test_packed_takes_odd_rows(spark, clashing):
+    pieces = corpus_pipeline.packed(spark, clashing, SF)
+    total = sum(len(CODER.encode_ordinary(r.text or "")) + 1 for r in clashing.collect())
+    assert pieces.agg(F.sum("length")).first()[0] == total
+    assert corpus_pipeline.packed(spark, clashing.limit(0), SF).count() == 0

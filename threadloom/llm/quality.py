@@ -144,15 +144,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Trains on the labelled documents of the ``sample`` smallest hashes of doc_id.
 
     ``labels`` has doc_id and quality (0, 1; null and other values are left out; a
-    document labelled twice counts with its larger label). The bound keeps both the
-    list of ids that is broadcast and the statistics that reach the driver small;
-    every label is as likely to be drawn. Without any label all scores are 0.5.
+    document labelled twice counts with its larger label). Of rows that share a doc_id the
+    text of the smallest hash counts, so the bound holds for texts as for ids: for the list
+    that is broadcast and the statistics that reach the driver. Every label is as likely to
+    be drawn. Without any label all scores are 0.5.
     """
     drawn = (labels.where("quality in (0, 1) and doc_id is not null")
              .groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     found = (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-             .select("doc_id", "text", "quality"))
+             .groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min_by(
+                 F.struct("text"), F.struct(F.xxhash64("text"), "text"))["text"].alias("text")))
     rows = (found.select("text", "quality").repartition(max(2 * found.sparkSession.sparkContext
                                                             .defaultParallelism, 2))
             .mapInPandas(_measured, "x array<double>, y double").toPandas())

@@ -30,6 +30,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def matched(rows: DataFrame, side: DataFrame, on: list[str], often: str, crowd: int) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row per ``on``, also if many rows share one.
+
+    ``often`` says how many rows a row of ``side`` meets. Those that meet more than ``crowd``
+    are broadcast; there are at most as many of them as ``crowd`` goes into all rows. So no
+    task of the other join gets more than ``crowd`` rows of one key.
+    """
+    many = F.broadcast(side.where(F.col(often) > crowd))
+    few = side.where(F.col(often) <= crowd)
+    return rows.join(many, on).unionByName(rows.join(few, on))
+
+
 def held_back(column: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the column as text leaves this remainder; false for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder,
