@@ -15,34 +15,56 @@ from threadloom.llm.tables import staged, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text of every row beside the whole row, so that no column of a model meets one of it."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "text")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told by their text; learns from their ``lang``.
 
-    Null texts, texts without a letter and ambiguous ones (score below 0.5) go.
+    Null texts, texts without a letter and ambiguous ones (score below 0.5) go. Rows are
+    judged one by one: equal rows go or stay together, null and repeated ids make no
+    difference, an empty table stays empty. The columns are those of the input, as they were.
     """
-    said = languages.predict(docs, languages.fit(docs))
-    return said.where((F.col("lang_pred") != "und") & ~F.col("lang_ambiguous")).select(docs.columns)
+    said = languages.predict(_carried(docs), languages.fit(docs))
+    return said.where((F.col("lang_pred") != "und") & ~F.col("lang_ambiguous")).select("_row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a score of 0.5 or more; learns from the ``labels`` of those given."""
+    """Keeps documents with a score of 0.5 or more; learns from the ``labels`` of those given.
+
+    A null text is judged as an empty one. Rows are judged one by one, whatever their ids; an
+    empty table stays empty. The columns are those of the input, as they were.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.score(_carried(docs), model).where("predicted = 1").select("_row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies.
+    """Keeps one document of each group of near copies: that of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Every row is a document of its own, numbered where it lies in its file, so rows that
+    repeat a doc_id or have none are compared like others; null ids come last, and of equal
+    ids the row of the smallest hash stays. Rows without a word are like nothing and all stay.
+    An empty table stays empty. The columns are those of the input, as they were.
     """
-    groups = jaccard.jaccard_groups(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return (docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
-            .unionByName(docs.where("doc_id is null")))
+    place = "_place" + "_" * max(map(len, docs.columns))
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    groups = jaccard.jaccard_groups(numbered, key=place).select(place, "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), place)
+    ranks = numbered.select(place, rank.alias("_rank"))
+    kept = (groups.join(ranks, place).groupBy("component_id")
+            .agg(F.min_by(place, "_rank").alias(place)).select(place))
+    return numbered.join(kept, place, "left_semi").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids."""
+    """Pieces of all documents in sequences of at most 2048 ids.
+
+    A null text is an empty one, whose only id is the end. Each row is packed, whatever its
+    id; an empty table gives no piece. Columns other than doc_id and text are not looked at.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(docs, packing.read_vocabulary(path), added=packing.read_added(path))
 
