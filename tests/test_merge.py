@@ -2,11 +2,13 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import at
-from threadloom.operators import merge, views
+from conftest import SF, at
+from threadloom.operators import merge, timeline, views
 from threadloom.operators.results import typed_results, validate_agent_result
 from threadloom.operators.timeline import Timeline
 from threadloom.plans import adapters
+from threadloom.plans import adapters as A
+from threadloom.schema import PAYLOADS
 
 IDS = {"conversation_id": "c", "tenant_id": "t"}
 SENTIMENT = {**IDS, "sentiment": "neutral", "confidence": 0.5, "emotion": "neutral",
@@ -136,3 +138,50 @@ def test_tombstone_and_later_record(spark):
                                    "pii_id string, ts timestamp_ntz, seq int")
     left = views.pii_tombstone(records, graves).collect()
     assert sorted((r.pii_id, r.seq) for r in left) == [("p", 3), ("q", 1)]
+
+
+# Where a plan parses the texts of results into their fields.
+PARSE = "explode(transform(array(static_invoke(VariantExpressionEvalUtils.parseJson"
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_are_parsed_once(spark, monkeypatch):
+    """Final records from one scan; change logs and as-of rows from what was written once."""
+    final = plan_text(merge.merge_intelligence_final(A.results(spark, SF)))
+    assert final.count("FileScan") == 1 and final.count(PARSE) == 1
+    assert final.count("Exchange hashpartitioning") == 2 and "Join" not in final
+    written, real = [], timeline.staged
+
+    def counted(df, name):
+        written.append(plan_text(df))
+        return real(df, name)
+
+    monkeypatch.setattr(timeline, "staged", counted)
+    monkeypatch.setattr(merge, "staged", counted)
+    for build in (lambda: merge.merge_intelligence(A.results(spark, SF)),
+                  lambda: merge.running_latest(A.results(spark, SF)),
+                  lambda: merge.pii_sticky(A.results(spark, SF)),
+                  lambda: merge.pii_entity_merge(A.results(spark, SF))):
+        written.clear()
+        read = plan_text(build())
+        parses = [p.count(PARSE) for p in (*written, read)]
+        assert sum(parses) == 1 and parses[-1] == 0
+        assert sum(p.count("events.parquet") for p in written) == 1
+
+
+def test_entities_of_one_result_and_later_ones(spark):
+    """The opening list keeps its repeats; later ones bring what is new, at its first place."""
+    def pii(*values):
+        return (False, [("name", v, i, i + 1) for i, v in enumerate(values)], "x", None)
+
+    rows = [("t", "c", at(1), 1, pii("a", "b", "a")), ("t", "c", at(2), 2, pii("b", "d", "d")),
+            ("t", "c", at(2), 3, None), ("t", "e", at(5), 1, pii()), ("t", "e", at(6), 2, pii("a", "a"))]
+    df = spark.createDataFrame(rows, "tenant_id string, conversation_id string, ts timestamp_ntz, "
+                                     f"seq bigint, pii {PAYLOADS['pii'].simpleString()}")
+    got = sorted((r.conversation_id, r.since.seq, r.place, r.entity.value)
+                 for r in merge.pii_entity_merge(df).collect())
+    assert got == [("c", 1, 0, "a"), ("c", 1, 1, "b"), ("c", 1, 2, "a"), ("c", 2, 1, "d"),
+                   ("e", 2, 0, "a")]
