@@ -1,7 +1,9 @@
 """Operators on documents: brute force, exact round trips, held-out accuracy, odd inputs."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -422,3 +424,104 @@ def test_packed_takes_odd_rows(spark, clashing):
     total = sum(len(CODER.encode_ordinary(r.text or "")) + 1 for r in clashing.collect())
     assert pieces.agg(F.sum("length")).first()[0] == total
     assert corpus_pipeline.packed(spark, clashing.limit(0), SF).count() == 0
+
+
+# -- the queries' own columns, value by value ----------------------------------
+
+def test_bpe_columns_are_those_of_tiktoken(spark):
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    rows = QUERIES["op1_byte_bpe"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = CODER.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def spots_by_hand(text):
+    """Chains of a common word and the next two content words, as sets of texts."""
+    words = [w for w in re.findall(r"\w+", text.lower())]
+    found = set()
+    for i, word in enumerate(words):
+        if word in spots.COMMON:
+            after = [w for w in words[i + 1:] if w not in spots.COMMON]
+            if len(after) >= 2:
+                found.add((word, after[0], after[1]))
+    return found or ({tuple(words)} if words else {(text,)} if text else set())
+
+
+def test_spot_columns_by_hand(spark):
+    docs = sorted(((r.doc_id, r.text or "") for r in table(spark, SF, "documents").collect()),
+                  reverse=True)
+    got = {r.doc_id: r for r in QUERIES["op2_spot_signatures"](spark, SF).collect()}
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for (i, text), (_, following) in zip(docs, docs[1:] + docs[:1]):
+        third = len(text) // 3
+        changed = text[:len(text) - third] + following[:third] if third else text
+        own, r = spots_by_hand(text), got[i]
+        assert r.n_chars == len(text)
+        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(like(own, spots_by_hand(changed)), abs=1e-12)
+        assert r.near_next == pytest.approx(like(own, spots_by_hand(following)), abs=1e-12)
+
+
+def test_codewords_chosen_one_by_one(spark):
+    """Every prediction again, with loops over bits and languages."""
+    docs = table(spark, SF, "documents")
+    model = languages.fit(docs)
+    said = {r.doc_id: r for r in languages.predict(docs, model).collect()}
+    code, trust, bits = model["code"], model["trust"], model["code"].shape[1]
+    for r in docs.collect()[::5]:
+        got = said[r.doc_id]
+        if got.lang_pred == "und":
+            continue
+        counts = languages.ngram_counts([r.text])[0]
+        losses = []
+        for word in code:
+            loss = 0.0
+            for bit in range(bits):
+                margin = sum(float(counts[k]) * float(model["weights"][k, bit])
+                             for k in np.flatnonzero(counts)) / counts.sum()
+                loss += trust[bit] * bits * math.log1p(math.exp(
+                    -languages.SHARPNESS * margin * word[bit]))
+            losses.append(loss)
+        odds = [math.exp(min(losses) - x) for x in losses]
+        assert got.lang_pred == model["langs"][losses.index(min(losses))]
+        assert got.score == pytest.approx(max(odds) / sum(odds), rel=1e-4)
+        assert got.lang_ambiguous == (got.score < languages.AMBIGUOUS)
+
+
+def test_trees_walked_and_split_one_by_one(monkeypatch):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(120, 4)).round(1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(float)
+    model = quality.grow(x, y)
+
+    def step(row):
+        total = model["start"]
+        for feature, limit, leaf in zip(model["feature"], model["limit"], model["leaf"]):
+            node = 0
+            while node < len(limit):
+                node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
+            total += leaf[node - len(limit)]
+        return 1 / (1 + math.exp(-total))
+
+    assert quality.walk(model, x) == pytest.approx([step(row) for row in x], abs=1e-12)
+    # the first split: the best of all features and cuts, by gradients of the start
+    start = 1 / (1 + math.exp(-model["start"]))
+    slope, bend = start - y, np.full(len(y), start * (1 - start))
+
+    def gain(side):
+        if min(side.sum(), (~side).sum()) < quality.LEAST:
+            return 0.0
+        parts = [(slope[s].sum(), bend[s].sum()) for s in (side, ~side)]
+        whole = slope.sum() ** 2 / (bend.sum() + quality.RIDGE)
+        return sum(g * g / (h + quality.RIDGE) for g, h in parts) - whole
+
+    best = max(gain(x[:, j] > cut) for j in range(4) for cut in np.unique(x[:, j]))
+    chosen = gain(x[:, model["feature"][0, 0]] > model["limit"][0, 0])
+    assert chosen == pytest.approx(best, rel=0.05) and chosen > 0
