@@ -37,7 +37,7 @@ from threadloom.operators.timeline import Timeline
 #: at most this many of them.
 FAMILY, HEAD = 20, 4
 #: Nodes a component may have in any case, rows of one conversation per task, ids in a chunk.
-LEAST, ROWS, CHUNK = 4096, 200_000, 1 << 16
+LEAST, ROWS, CHUNK = 1024, 200_000, 1 << 16
 #: Parents of more than 1 / HOT of all nodes are handed out by broadcast: at most HOT of them.
 HOT = 20_000
 NODE = ["depth", "a", "b"]
