@@ -119,6 +119,13 @@ def strings(doc: str, name: str) -> str:
             f"AND forall({items}, x -> x IS NOT NULL) THEN {items} END")
 
 
+def typed(doc: str, name: str, kind: str) -> str:
+    """A field as a value of the SQL type ``kind``; no list is an empty list."""
+    return {"boolean": boolean(doc, name), "double": number(doc, name),
+            "array<string>": f"coalesce({strings(doc, name)}, array())",
+            "string": string(doc, name)}[kind]
+
+
 def first_error(*checks: tuple[str, str]) -> str:
     """Message of the first failed check, null if all hold.
 

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import variants as v
 from threadloom.functions.text import strip
-from threadloom.schema import (EMOTIONS, INTENTS, PAYLOADS, PII_TYPES, REDACTED, SENTIMENTS,
-                               URGENCIES)
-
-DOC = "_doc"
+from threadloom.operators.results import DOC, Entities
+from threadloom.schema import EMOTIONS, INTENTS, PAYLOADS, SENTIMENTS, URGENCIES
 
 
 def unfenced(text: Column) -> Column:
@@ -44,38 +42,29 @@ FIELDS = {
                 ("agentResponse", "agent_response", False), ("keyPoints", "key_points", False),
                 ("nextSteps", "next_steps", False)],
 }
-ENTITIES = v.get(DOC, "entities", "array<struct<type: variant, value: variant, "
-                                  "startIndex: variant, endIndex: variant>>")
+FOUND = Entities("startIndex", "endIndex")
 
 
 def _member(name: str, allowed: tuple[str, ...]) -> tuple[str, str]:
     return f"{v.string(DOC, name)} IN ({v.quoted(allowed)})", f"{name}: not an allowed value"
 
 
-def _at(name: str) -> str:
-    return v.get("e", name, "int")
-
-
 def _each(condition: str) -> str:
     """``condition`` on every entity ``e``; holds if the answer has no entities."""
-    return f"({v.absent(DOC, 'entities')} OR forall({ENTITIES}, e -> {condition}))"
+    return f"({v.absent(DOC, 'entities')} OR forall({FOUND.items}, e -> {condition}))"
 
 
-KNOWN_TYPE = f"coalesce({v.string('e', 'type')} IN ({v.quoted(PII_TYPES)}), false)"
 COMPLETE = " AND ".join(v.present("e", n) for n in ("type", "startIndex", "endIndex"))
 # Values that must convert before a record can be made.
 CONVERSIONS = {
     "sentiment": [_member("sentiment", SENTIMENTS),
                   (f"({v.number(DOC, 'confidence')}) IS NOT NULL", "confidence: number required"),
                   _member("emotion", EMOTIONS)],
-    "pii": [(_each(KNOWN_TYPE), "entities: not an allowed type")],
+    "pii": [(_each(FOUND.known_type), "entities: not an allowed type")],
     "insights": [_member("intent", INTENTS), _member("urgency", URGENCIES)],
     "summary": [],
 }
 RANGE = f"({v.number(DOC, 'confidence')}) BETWEEN 0 AND 1", "confidence: outside 0 to 1"
-ENTITY_OK = (f"({v.absent('e', 'value')} OR {v.is_string('e', 'value')}) "
-             f"AND {_at('startIndex')} IS NOT NULL AND {_at('endIndex')} IS NOT NULL")
-
 
 def _contract(kind: str) -> list[tuple[str, str]]:
     """The checks of the result record, by the type of each field."""
@@ -86,7 +75,7 @@ def _contract(kind: str) -> list[tuple[str, str]]:
         if target in converted:
             continue
         if target == "entities":
-            checks.append((_each(ENTITY_OK), "entities: not an allowed entity"))
+            checks.append((_each(FOUND.well_formed), "entities: not an allowed entity"))
         elif record_type == "boolean":
             checks.append((f"({v.boolean(DOC, name)}) IS NOT NULL",
                            f"{target}: true or false required"))
@@ -112,13 +101,8 @@ def _missing(kind: str) -> str:
 
 def _value(name: str, target: str, record_type: str) -> str:
     if target == "entities":
-        return (f"coalesce(transform({ENTITIES}, e -> named_struct("
-                f"'type', {v.string('e', 'type')}, "
-                f"'value', coalesce({v.string('e', 'value')}, '{REDACTED}'), "
-                f"'start_index', {_at('startIndex')}, 'end_index', {_at('endIndex')})), array())")
-    return {"boolean": v.boolean(DOC, name), "double": v.number(DOC, name),
-            "array<string>": f"coalesce({v.strings(DOC, name)}, array())",
-            "string": v.string(DOC, name)}[record_type]
+        return f"coalesce({FOUND.built}, array())"
+    return v.typed(DOC, name, record_type)
 
 
 def _payload(kind: str, ts: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,18 +69,40 @@ def _flag(name: str) -> tuple[str, str]:
 
 STAMP = f"try_cast({v.string(DOC, 'timestamp')} AS timestamp_ntz)"
 TIME = f"({v.absent(DOC, 'timestamp')} OR {STAMP} IS NOT NULL)", "timestamp: not a time"
-ENTITIES = v.get(DOC, "entities", "array<struct<type: variant, value: variant, "
-                                  "start_index: variant, end_index: variant>>")
 CONFIDENCE = f"({v.number(DOC, 'confidence')})"
 
 
-def _whole(name: str) -> str:
-    return v.get("e", name, "int")
+@dataclass(frozen=True)
+class Entities:
+    """SQL for a list of entities, by the names its offsets have there."""
+
+    start: str
+    end: str
+
+    @property
+    def items(self) -> str:
+        return v.get(DOC, "entities", "array<struct<type: variant, value: variant, "
+                                      f"{self.start}: variant, {self.end}: variant>>")
+
+    @property
+    def known_type(self) -> str:
+        return f"coalesce({v.string('e', 'type')} IN ({v.quoted(PII_TYPES)}), false)"
 
+    @property
+    def well_formed(self) -> str:
+        whole = [f"{v.get('e', n, 'int')} IS NOT NULL" for n in (self.start, self.end)]
+        return (f"({v.absent('e', 'value')} OR {v.is_string('e', 'value')}) "
+                f"AND {' AND '.join(whole)}")
+
+    @property
+    def built(self) -> str:
+        return (f"transform({self.items}, e -> named_struct('type', {v.string('e', 'type')}, "
+                f"'value', coalesce({v.string('e', 'value')}, '{REDACTED}'), "
+                f"'start_index', {v.get('e', self.start, 'int')}, "
+                f"'end_index', {v.get('e', self.end, 'int')}))")
 
-ENTITY_OK = (f"coalesce({v.string('e', 'type')} IN ({v.quoted(PII_TYPES)}), false) "
-             f"AND ({v.absent('e', 'value')} OR {v.is_string('e', 'value')}) "
-             f"AND {_whole('start_index')} IS NOT NULL AND {_whole('end_index')} IS NOT NULL")
+
+FOUND = Entities("start_index", "end_index")
 
 CHECKS = {
     "sentiment": [
@@ -87,8 +111,9 @@ CHECKS = {
         (f"{CONFIDENCE} BETWEEN 0 AND 1", "confidence: outside 0 to 1"),
         _member("emotion", EMOTIONS), _text("reasoning"), TIME],
     "pii": [
-        _flag("has_pii"), (f"{ENTITIES} IS NOT NULL", "entities: list required"),
-        (f"forall({ENTITIES}, e -> {ENTITY_OK})", "entities: not an allowed entity"),
+        _flag("has_pii"), (f"{FOUND.items} IS NOT NULL", "entities: list required"),
+        (f"forall({FOUND.items}, e -> {FOUND.known_type} AND {FOUND.well_formed})",
+         "entities: not an allowed entity"),
         _optional_text("redacted_text"), TIME],
     "insights": [
         _member("intent", INTENTS), _member("urgency", URGENCIES), _list("categories"),
@@ -104,13 +129,7 @@ def _value(name: str, kind: str) -> str:
     """SQL of one payload field, by its name and type."""
     if name == "timestamp":
         return f"coalesce({STAMP}, ts)"
-    if name == "entities":
-        return (f"transform({ENTITIES}, e -> named_struct('type', {v.string('e', 'type')}, "
-                f"'value', coalesce({v.string('e', 'value')}, '{REDACTED}'), "
-                f"'start_index', {_whole('start_index')}, 'end_index', {_whole('end_index')}))")
-    return {"boolean": v.boolean(DOC, name), "double": v.number(DOC, name),
-            "array<string>": f"coalesce({v.strings(DOC, name)}, array())",
-            "string": v.string(DOC, name)}[kind]
+    return FOUND.built if name == "entities" else v.typed(DOC, name, kind)
 
 
 def validate_agent_result(results: DataFrame) -> DataFrame:

@@ -820,6 +820,7 @@ def intelligence_job(spark, d):
 def _stream_of(spark, d, sql: str) -> DataFrame:
     path = f"{d}/events.parquet"
     source = (spark.readStream.schema(spark.read.parquet(path).schema)
+              .option("maxFilesPerTrigger", "64")
               .option("pathGlobFilter", "events.parquet").parquet(d))
     return A.select_from(spark, source, sql, "events")
 
@@ -856,12 +857,13 @@ def stream_merge_intelligence(spark, d):
     return flat_changes(stream_sinks.read_batches(spark, out))
 
 
-def _in_slices(spark, d, name: str, sql: str, build, sink, slices: int = 3, mode: str = "append",
+def _in_slices(spark, d, name: str, sql: str | None, build, sink, slices: int = 3, mode: str = "append",
                after=None) -> str:
     """Run a stream over slices of ``events`` that arrive one after the other, each run going
     on from the checkpoint of the one before; the folder of its output.
 
-    ``after`` is called with that folder after every slice.
+    ``build`` gets the rows as ``sql`` has them, without it as they are. ``after`` is called
+    with that folder after every slice.
     """
     base = sinks.work_dir(spark, name)
     rows = spark.read.parquet(f"{d}/events.parquet")
@@ -870,8 +872,9 @@ def _in_slices(spark, d, name: str, sql: str, build, sink, slices: int = 3, mode
     for i in range(slices):
         rows.where(number == i).write.mode("append").parquet(f"{base}/in")
         source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-        stream_sinks.run(build(A.select_from(spark, source, sql, "events")), sink(f"{base}/out"),
-                         f"{base}/state", mode, once=True).awaitTermination()
+        stream = build(A.select_from(spark, source, sql, "events") if sql else source)
+        stream_sinks.run(stream, sink(f"{base}/out"), f"{base}/state", mode,
+                         once=True).awaitTermination()
         if after:
             after(f"{base}/out")
     return f"{base}/out"
@@ -928,6 +931,21 @@ def stream_expiring_state(spark, d):
     return flat_state(stream_sinks.read_batches(spark, out))
 
 
+@query
+def stream_state_with_summary(spark, d):
+    """Messages and summaries as two inputs of one state; they meet at equal positions."""
+    def build(source):
+        rows = msg.valid_rows(msg.validate_message(A.select_from(spark, source, A.MESSAGES, "events")))
+        found = _typed(A.select_from(spark, source, A.RESULTS, "events"))
+        return stateful.stream_conversation_state(rows, found.filter("kind = 'summary'"))
+
+    out = stream_sinks.read_batches(spark, _in_slices(spark, d, "state-summary", None, build,
+                                                      stream_sinks.write_batches))
+    return out.select(*KEYS, "seq", "ts", count_of("message_count"),
+                      texts(F.col("participants")).alias("participants"),
+                      message_texts(F.col("recent_messages")).alias("recent"), *flat_summary())
+
+
 @query
 def stream_entities(spark, d):
     out = _in_slices(spark, d, "entities", A.RESULTS,

@@ -602,6 +602,9 @@ cut AS (SELECT * REPLACE (conversation_id || '/' || sum(gap) OVER (PARTITION BY
   ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS conversation_id) FROM gaps)"""
 ORACLES["stream_expiring_state"] = f"""SELECT * REPLACE (split_part(conversation_id, '/', 1)
   AS conversation_id) FROM ({state_sql(EPISODES, 'cut')})"""
+ORACLES["stream_state_with_summary"] = f"""SELECT {K}, seq, ts, message_count, participants, recent,
+  tldr, customer_issue, agent_response, key_points, next_steps
+FROM ({STATE}) JOIN ({ASOF_SQL}) USING ({K}, seq, ts)"""
 ORACLES["stream_entities"] = ORACLES["pii_entity_merge"]
 ORACLES["stream_merge_parts"] = ORACLES["merge_intelligence_final"]
 SAID = f"({', '.join(n for n in MERGED_NAMES)})"

@@ -31,9 +31,9 @@ def _json(value: Column) -> Column:
     return F.to_json(value, JSON_TIMES)
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+def _ordered(batches: Iterator[pd.DataFrame], *then: str) -> pd.DataFrame:
     rows = pd.concat(list(batches), ignore_index=True)
-    return rows.sort_values(["ts", "seq"], kind="stable")
+    return rows.sort_values(["ts", "seq", *then], kind="stable")
 
 
 STATE = record(message_count=LONG, created_at=TIME, last_activity=TIME, participants=TEXTS,
@@ -47,8 +47,8 @@ def _advance_state(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
     count, created, active, who, recent, summary = (
         state.get if state.exists else (0, None, None, [], [], None))
     who, recent, out = list(who or []), list(recent or []), []
-    for row in _ordered(batches).itertuples(index=False):
-        if row.message is None:
+    for row in _ordered(batches, "late").itertuples(index=False):
+        if row.late:
             # A summary changes the state only once there is one, and emits nothing.
             summary = row.summary if count else summary
             continue
@@ -62,15 +62,20 @@ def _advance_state(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
 
 
 def stream_conversation_state(messages: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """State rows, one per message, with the newest summary received before it."""
+    """State rows, one per message, with the newest summary received before it.
+
+    At an equal position the message comes first, as in the batch operator.
+    """
     rows = messages.select(*KEYS, "ts", F.col("seq").cast("bigint").alias("seq"), "sender",
                            _json(window_message(messages)).alias("message"),
-                           F.lit(None).cast("string").alias("summary"))
+                           F.lit(None).cast("string").alias("summary"),
+                           F.lit(False).alias("late"))
     if summaries is not None:
         rows = rows.unionByName(summaries.select(
             *KEYS, "ts", F.col("seq").cast("bigint").alias("seq"),
             F.lit(None).cast("string").alias("sender"),
-            F.lit(None).cast("string").alias("message"), _json(F.col("summary")).alias("summary")))
+            F.lit(None).cast("string").alias("message"), _json(F.col("summary")).alias("summary"),
+            F.lit(True).alias("late")))
     out = rows.groupBy(*KEYS).applyInPandasWithState(
         _advance_state, STATE_OUT, STATE, "append", NO_TIMEOUT)
     return (out
