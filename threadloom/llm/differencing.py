@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from itertools import takewhile
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -327,16 +328,37 @@ def _keyed(pages: DataFrame) -> DataFrame:
             .withColumn("tie", F.xxhash64("url", "html")))
 
 
-def _hashed(source: DataFrame) -> DataFrame:
-    """The keys of all pages and the hashes of their lines."""
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_texts(lines_of(page)) for page in batch.column(len(KEYS)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(KEYS)], pa.array(found, pa.binary())],
-                                             names=[*KEYS, "texts"])
+def _parsed(source: DataFrame) -> DataFrame:
+    """All pages with their lines instead of the html, and the hash of the lines' texts.
 
-    return source.select(*KEYS, "html").mapInArrow(
-        hashed, "host string, path string, place long, tie long, texts binary")
+    Lines travel as one text, line by line, and a byte of two flags for each.
+    """
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, urls, pages = batch.columns[:len(KEYS)], batch.columns[len(KEYS):-1], batch.columns[-1]
+            start, size = 0, 0
+            for i, length in enumerate(pc.binary_length(pages).to_pylist()):
+                size += length or 0
+                if size > BATCH or i == len(pages) - 1:
+                    found = [lines_of(page) for page in pages[start:i + 1].to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c[start:i + 1] for c in (*keys, *urls)),
+                         pa.array(["\n".join(t for t, _, _ in lines) for lines in found], pa.string()),
+                         pa.array([bytes(inside + 2 * around for _, inside, around in lines)
+                                   for lines in found], pa.binary()),
+                         pa.array([_texts(lines) for lines in found], pa.binary())],
+                        names=[*KEYS, "page_id", "url", "text", "flags", "texts"])
+                    start, size = i + 1, 0
+
+    return source.select(*KEYS, "page_id", "url", "html").mapInArrow(
+        parsed, "host string, path string, place long, tie long, page_id long, url string, "
+                "text string, flags binary, texts binary")
+
+
+def _lines(text: str, flags: bytes) -> list[tuple[str, bool, bool]]:
+    """Lines as ``_parsed`` packs them."""
+    return [(t, bool(f & 1), bool(f & 2)) for t, f in zip(text.split("\n"), flags, strict=True)] \
+        if flags else []
 
 
 def _ends(rows: DataFrame) -> dict[int, list[dict]]:
@@ -405,13 +427,14 @@ def extract(pages: DataFrame) -> DataFrame:
     whole with the different page before or after it on its host, whichever path is nearer
     to the run's (the one before on a tie); so its pages have the same partner, also if it
     fills several parts. There is none for pages without a host. A null html counts as
-    empty. Hashes of lines are written to the shared folder first. Rows are shuffled once,
-    a host's pages over as many tasks as they fill.
+    empty. Every page is parsed once; its lines are written to the shared folder and shuffled
+    once, a host's pages over as many tasks as they fill. Repeated rows and a null page_id or
+    url give rows like others, a very long page is a batch of its own, an empty table gives no
+    row; further columns are ignored, whatever their names.
     """
-    source = _keyed(pages)
-    hashes = staged(_hashed(source), "page_lines")
-    parts = Parts(hashes, KEYS)
-    guests, starts, ends = _carried(_ends(parts.deal(hashes)))
+    source = staged(_parsed(_keyed(pages)), "page_lines")
+    parts = Parts(source, KEYS)
+    guests, starts, ends = _carried(_ends(parts.deal(source.select(*KEYS, "texts"))))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -426,8 +449,8 @@ def extract(pages: DataFrame) -> DataFrame:
     def told(rows: Iterator[dict]) -> Iterator[tuple]:
         part, before, run = None, None, None
         for row in rows:
-            lines = lines_of(row["html"])
-            name = {"host": row["host"], "texts": _texts(lines)}
+            lines = _lines(row["text"], row["flags"])
+            name = {"host": row["host"], "texts": row["texts"]}
             if row["part"] != part:
                 yield from texts_of(before, run, None)
                 part, before, run = row["part"], None, None
