@@ -288,3 +288,32 @@ def test_vectors_match_brute_force(spark, shelf):
 
 def test_no_vectors(spark):
     assert covertree.near_vectors(table(spark, SF, "embeddings").limit(0)).count() == 0
+
+
+def test_large_nodes_are_split_by_nets_of_their_own(spark, monkeypatch):
+    """Tight groups under few top nodes: deeper levels prune, and change no result."""
+    draw = np.random.default_rng(8)
+    middles = draw.normal(size=(40, 6))
+    x = np.repeat(middles / np.linalg.norm(middles, axis=1)[:, None], 12, axis=0)
+    x = x + draw.normal(size=x.shape) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                               "vec_id bigint, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = unit @ unit.T >= 0.95
+    met, real = [], covertree.staged
+
+    def counted(frame, name):
+        out = real(frame, name)
+        if name == "meet":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(covertree, "staged", counted)
+    results = []
+    for leaves in (4096, 0):
+        monkeypatch.setattr(covertree, "LEAVES", leaves)
+        rows = covertree.near_vectors(df, sample=3, shelf=24).collect()
+        results.append(sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows))
+        assert [r[1] for r in results[-1]] == (links.sum(1) - 1).tolist()
+    assert results[0] == results[1]
+    assert met[0] < 0.7 * met[1]

@@ -14,15 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import components, staged
+from threadloom.llm.tables import components, matched, staged
 
 #: Vectors the upper levels are fitted on; every vector is placed, whatever the sample.
 SAMPLE = 4096
 #: Nodes of the upper levels, vectors of a lower node, vectors a task holds of one side.
 NODES, NODE, SHELF = 256, 512, 8192
+#: A node of more vectors than a shelf is split by a net of FAN centres, drawn from so many of
+#: its vectors, if they nearly all lie within SHRINK times its radius; up to LEAVES nodes.
+FAN, FAN_SAMPLE, SHRINK, LEAVES = 16, 256, 0.75, 4096
 #: Slack for rounding in bounds; links themselves are decided by the cosine alone.
 SLACK = 1e-9
 
@@ -214,6 +217,104 @@ def halves(node: Node, points: np.ndarray) -> list[Node]:
     return parts
 
 
+PLACED = "dim int, node int, gap double, least long, weight long, unit binary"
+
+
+class Ball:
+    """A node of the levels between tasks: its centre, and how many vectors lie how far from it."""
+
+    def __init__(self, centre: np.ndarray, n: int = 0, radius: float = -np.inf):
+        self.centre, self.n, self.radius = centre, n, radius
+
+
+def deepened(at: DataFrame, centres: dict, shelf: int) -> tuple[DataFrame, dict, dict]:
+    """Vectors placed in smaller nodes where theirs has more of them than a shelf.
+
+    A large node gets a net of its own, one level below, as long as that makes balls smaller
+    and there are not more than LEAVES nodes. Returns the vectors, every node as a ``Ball`` by
+    (dim, node), with its measured radius, and the nodes below a split one. What reaches the
+    driver is bounded: nodes, and FAN_SAMPLE vectors of each node that is split.
+    """
+    spark = at.sparkSession
+
+    def measure(frame: DataFrame) -> None:
+        for r in frame.groupBy("dim", "node").agg(
+                F.count("*").alias("n"), F.max("gap").alias("radius")).collect():
+            balls[r["dim"], r["node"]].n, balls[r["dim"], r["node"]].radius = r["n"], r["radius"]
+
+    balls, kids, tried = {k: Ball(c) for k, c in centres.items()}, {}, set()
+    measure(at)
+    while True:
+        large = sorted((k for k, b in balls.items() if b.n > shelf and k not in tried and k not in kids),
+                       key=lambda k: -balls[k].n)[:max(LEAVES - len(balls), 0) // FAN]
+        if not large:
+            return at, balls, kids
+        tried.update(large)
+        wanted = F.broadcast(spark.createDataFrame(large, "dim int, node int"))
+        rank = F.row_number().over(Window.partitionBy("dim", "node").orderBy(
+            F.xxhash64("unit"), "least"))
+        drawn: dict[tuple, list] = {}
+        for r in (at.join(wanted, ["dim", "node"]).withColumn("rank", rank)
+                  .where(F.col("rank") <= FAN_SAMPLE).select("dim", "node", "unit").collect()):
+            drawn.setdefault((r["dim"], r["node"]), []).append(np.frombuffer(r["unit"]))
+        nets_ = {}
+        for key, found in drawn.items():
+            points = np.array(found)
+            own = points[nets(points, FAN)[0]]
+            gaps = np.linalg.norm(points[:, None] - own[None], axis=2).min(1)
+            if np.quantile(gaps, 0.9) <= SHRINK * balls[key].radius:
+                first = max(node for dim, node in balls if dim == key[0]) + 1
+                kids[key] = list(range(first, first + len(own)))
+                balls.update({(key[0], first + i): Ball(c) for i, c in enumerate(own)})
+                nets_[key] = (first, own)
+        if nets_:
+            at = staged(_replaced(at, spark.sparkContext.broadcast(nets_)), "placed")
+            measure(at.join(F.broadcast(spark.createDataFrame(
+                [(d, k) for (d, n), own in kids.items() if (d, n) in nets_ for k in own],
+                "dim int, node int")), ["dim", "node"]))
+
+
+def _replaced(at: DataFrame, shared) -> DataFrame:
+    """Vectors of split nodes in the nearest of the nodes below."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim, node, gap = (np.array(batch.column(i).to_numpy()) for i in (0, 1, 2))
+            for d, k in sorted(set(zip(dim.tolist(), node.tolist())) & shared.value.keys()):
+                own = np.flatnonzero((dim == d) & (node == k))
+                first, centres = shared.value[d, k]
+                x = np.frombuffer(b"".join(batch.column(5).take(pa.array(own)).to_pylist())).reshape(
+                    len(own), -1)
+                near = (x @ centres.T).argmax(1)
+                node[own], gap[own] = first + near, np.linalg.norm(x - centres[near], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(node, pa.int32()), pa.array(gap), *batch.columns[3:]],
+                ["dim", "node", "gap", "least", "weight", "unit"])
+
+    return at.mapInArrow(place, PLACED)
+
+
+def below(kids: dict, dim: int, node: int) -> list[int]:
+    """The leaves of a node in order, itself if it isn't split."""
+    if (dim, node) not in kids:
+        return [node]
+    return [leaf for k in kids[dim, node] for leaf in below(kids, dim, k)]
+
+
+def leaf_pairs(balls: dict, kids: dict, dim: int, a: int, b: int, limit: float) -> set[tuple[int, int]]:
+    """Pairs of leaves below two nodes whose balls are within the limit of each other."""
+    one, two = (np.array([x for x in below(kids, dim, n) if balls[dim, x].n], int) for n in (a, b))
+    if not len(one) or not len(two):
+        return set()
+    centres, radius = ([np.array([getattr(balls[dim, x], what) for x in side]) for side in (one, two)]
+                       for what in ("centre", "radius"))
+    cosine = centres[0] @ centres[1].T
+    lengths = [(c * c).sum(1) for c in centres]
+    gap = np.sqrt(np.maximum(lengths[0][:, None] + lengths[1][None] - 2 * cosine, 0))
+    near = np.argwhere(gap - radius[0][:, None] - radius[1][None] <= limit + 1e-7)
+    one, two = one.tolist(), two.tolist()
+    return {(min(one[i], two[j]), max(one[i], two[j])) for i, j in near.tolist()}
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
                  column: str = "embedding", sample: int = SAMPLE, shelf: int = SHELF) -> DataFrame:
     """Per row of ``vectors``: key, ``n_links``, ``component_id`` and ``kept``.
@@ -222,7 +323,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     least ``cosine``. Vectors that are null, empty, zero, or hold a null or non-finite
     component link with nothing. Equal vectors are compared as one and counted as many.
     Rows that repeat a key and a vector count as many, rows that repeat a key with other
-    vectors share their links. A row with a null key links with nothing.
+    vectors share their links. A row with a null key links with nothing. An empty table gives no
+    row. Further columns are ignored, whatever their names.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,22 +367,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
                 "dim": batch.column(0), "node": pa.array(node, pa.int32()), "gap": gap,
                 "least": batch.column(2), "weight": batch.column(3), "unit": batch.column(1)})
 
-    at = staged(heads.select("dim", "unit", "least", "weight").mapInArrow(
-        placed, "dim int, node int, gap double, least long, weight long, unit binary"), "placed")
-    # one row per node of the upper levels, whose number is bounded
-    sizes = at.groupBy("dim", "node").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
+    at = staged(heads.select("dim", "unit", "least", "weight").mapInArrow(placed, PLACED), "placed")
+    at, measured, kids = deepened(at, {(d, i): c for d in dims for i, c in enumerate(trees[d][0])}, shelf)
     nodes, near = [], []
     for dim in dims:
         centres, parent = trees[dim]
-        size = {r["node"]: r["n"] for r in sizes if r["dim"] == dim}
-        radius = np.full(len(centres), -np.inf)
-        for r in sizes:
-            if r["dim"] == dim:
-                radius[r["node"]] = r["radius"]
-        # nodes in depth-first order fill shelves; a large node fills several of its own
+        radius = np.array([measured[dim, i].radius for i in range(len(centres))])
+        leaves = [leaf for node in walk(parent) for leaf in below(kids, dim, node)]
+        size = {leaf: measured[dim, leaf].n for leaf in leaves}
+        # leaves in depth-first order fill shelves; a large one fills several of its own
         start, full = 0, 0
-        for node in walk(parent):
-            n = size.get(node, 0)
+        for node in leaves:
+            n = size[node]
             if n and full and full + n > shelf:
                 start, full = start + 1, 0
             parts = -(-n // shelf)
@@ -289,8 +387,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
                 full += n
                 if parts > 1:
                     start, full = start + parts, 0
-        near += [(dim, a, b) for a, b in node_pairs(centres, radius, parent, limit)
-                 if size.get(a) and size.get(b)]
+        near += [(dim, a, b) for pair in node_pairs(centres, radius, parent, limit)
+                 for a, b in leaf_pairs(measured, kids, dim, *pair, limit)]
     node = spark.createDataFrame(nodes, "dim int, node int, start int, parts int")
     shelved = (at.join(F.broadcast(node), ["dim", "node"]).withColumn(
         "shelf", (F.col("start") + F.pmod(F.xxhash64("least"), "parts")).cast("int"))
@@ -329,10 +427,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     groups = components(found.select("a", "b"))
     each = (heads.select("name", "least", "weight").join(counts, F.col("least") == F.col("a"), "left")
             .join(groups, F.col("least") == F.col("node"), "left")
-            .select("name", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+            .select("name", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
                     F.coalesce("component", "least").alias("component_id")))
-    named = rows.where("name is not null and key is not null").join(each, "name").select(
-        "key", "n_links", "component_id")
+    named = matched(rows.where("name is not null and key is not null"), each, ["name"], "weight",
+                    rows.count()).select("key", "n_links", "component_id")
     alone = rows.where("name is null or key is null").select(
         "key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return named.union(alone).select(
