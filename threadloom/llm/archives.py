@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import staged, work_dir
+from threadloom.llm.tables import matched, staged, work_dir
 
 #: An archive is closed after so many bytes of payload or so many records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 2_000
@@ -185,7 +185,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_arcs(pages: DataFrame, date: str = "20200101000000") -> DataFrame:
     """Writes ``page_id``, ``url`` and ``html`` (null: empty) as ARC files; returns their paths.
 
-    Files are of either version. Blanks in urls are percent-encoded, a null url is ``-``.
+    Files are of either version. Blanks in urls are percent-encoded, a null url is ``-``. A null
+    page_id has no header of its own and is read back as null.
     """
     folder = work_dir(pages.sparkSession, "arc")
 
@@ -258,7 +259,7 @@ def convert_arcs(arcs: DataFrame, least: int = 0) -> DataFrame:
     large = found.where(F.col("size") >= least)
     place = F.struct(F.col("page_id").isNull(), "page_id", "path", "number", "url")
     first = large.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    revisits = (large.join(first.where("n > 1").drop("n"), "digest")
+    revisits = (matched(large, first.where("n > 1"), ["digest"], "n", found.count())
                 .where((F.col("path") != F.col("first.path")) | (F.col("number") != F.col("first.number")))
                 .groupBy("path").agg(F.collect_list(F.struct(
                     "number", F.col("first.path").alias("first"),
@@ -294,13 +295,16 @@ def through_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     """Pages written as ARC files, converted to WARC, and read back with ``refers_to``.
 
     ``refers_to`` is the page_id of the response that a revisit refers to. Every row of
-    ``pages`` gives a record, repeated ones too.
+    ``pages`` gives a record, repeated ones and those with a null page_id too; an empty table
+    gives none. A record is held as a whole, however long. Further columns are ignored,
+    whatever their names.
     """
     records = staged(read_warcs(convert_arcs(write_arcs(pages), least)), "records")
-    named = (records.where("refers_id is not null").select("refers_id").distinct()
+    named = (records.where("refers_id is not null").groupBy("refers_id").agg(F.count("*").alias("n"))
              .join(records.select(F.col("record_id").alias("refers_id"),
                                   F.col("page_id").alias("refers_to")), "refers_id"))
-    revisits = records.where("refers_id is not null").join(named, "refers_id")
+    revisits = matched(records.where("refers_id is not null"), named, ["refers_id"], "n",
+                       records.count())
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return revisits.select(columns).unionByName(records.where("refers_id is null").withColumn(
         "refers_to", F.lit(None).cast("long")).select(columns))
