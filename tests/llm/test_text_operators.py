@@ -525,3 +525,10 @@ def test_trees_walked_and_split_one_by_one(monkeypatch):
     best = max(gain(x[:, j] > cut) for j in range(4) for cut in np.unique(x[:, j]))
     chosen = gain(x[:, model["feature"][0, 0]] > model["limit"][0, 0])
     assert chosen == pytest.approx(best, rel=0.05) and chosen > 0
+
+
+def test_spot_pairs_of_odd_rows(odd, none):
+    pairs = [tuple(r)[:2] for r in spots.near_pairs(odd, 0.6).collect()]
+    sets = {i: spots.signatures(t) for i, t in ODD if i is not None}
+    assert all(a < b and spots.likeness(sets[a], sets[b]) >= 0.6 for a, b in pairs)
+    assert spots.near_pairs(none).count() == 0

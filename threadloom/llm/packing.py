@@ -167,7 +167,10 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], length: int = LENGTH, key: st
 
     Documents follow one another along the curve (ties by key); the stream of their
     ids is cut every ``length`` ids, so only the very last sequence needs padding. A
-    null text counts as empty; ``added`` tokens in a text have the ids given; every row, repeated ones too, has at least its end id.
+    null text counts as empty; ``added`` tokens in a text have the ids given. Every row, repeated
+    ones and those with a null key too, has at least its end id; an empty table has no piece. A
+    very long text is read in a slice of its own and cut like others. Further columns are
+    ignored, whatever their names.
 
     Returns per piece: the key, ``start`` (ids of its document before it), ``length``,
     ``ids`` (little-endian 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset``.

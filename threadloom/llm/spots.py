@@ -87,7 +87,8 @@ def near_pairs(docs: DataFrame, least: float = 0.75, key: str = "doc_id",
     neighbouring partitions, since their sizes differ by at most the factor ``least``.
     In a partition, sets meet under one of the signatures that a set can't lack of every
     partner. How alike two sets are is then found from whole sets. Texts without
-    signatures and null keys have no pairs.
+    signatures and null keys have no pairs; equal rows, rows of equal texts and an empty table
+    add none. Further columns are ignored, whatever their names.
     """
     step = -np.log(max(least, 1e-3))
 
@@ -136,7 +137,9 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """Fingerprints of every text and its edited form, and how alike they and the next one are.
 
     The next document is the one with the next smaller key, after the smallest the one
-    with the largest (ties by the texts' hashes; null keys are smallest). Texts are shuffled
+    with the largest (ties by the texts' hashes; null keys are smallest). A null text counts as
+    empty; a lone row is its own next one, an empty table gives no row, a very long text is held
+    as a whole. Further columns are ignored, whatever their names. Texts are shuffled
     once; a part's neighbour comes along as a guest. Columns: key, ``n_chars``,
     ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
     """

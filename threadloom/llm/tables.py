@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from threadloom.sources.sinks import work_dir
 
 
+#: A key is hot if it has more than CROWD rows and more than one HOT-th of all.
+CROWD, HOT = 1000, 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,16 +34,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def matched(rows: DataFrame, side: DataFrame, on: list[str], often: str, crowd: int) -> DataFrame:
+def matched(rows: DataFrame, side: DataFrame, on: list[str], often: str, total: int) -> DataFrame:
     """``rows`` joined with ``side``, which has one row per ``on``, also if many rows share one.
 
-    ``often`` says how many rows a row of ``side`` meets. Those that meet more than ``crowd``
-    are broadcast; there are at most as many of them as ``crowd`` goes into all rows. So no
-    task of the other join gets more than ``crowd`` rows of one key.
+    ``often`` says how many rows a row of ``side`` meets, of ``total`` in all. Those that meet
+    more than a HOT-th of all rows are broadcast, at most HOT of them, and their rows aren't
+    dealt out by key; so no task gets more rows of one key than that, however common it is.
     """
+    crowd = max(CROWD, total // HOT)
     many = F.broadcast(side.where(F.col(often) > crowd))
     few = side.where(F.col(often) <= crowd)
-    return rows.join(many, on).unionByName(rows.join(few, on))
+    rest = rows.join(many.select(*on), on, "left_anti")
+    return rows.join(many, on).unionByName(rest.join(few, on))
 
 
 def held_back(column: str, modulus: int, remainder: int) -> Column:
@@ -157,13 +163,15 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = (both.where("b > a").join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"),
+                                      F.count("*").alias("often"))
+        large = (matched(both.where("b > a"), least, ["a"], "often", 2 * links.count())
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         large = staged(large, "large")
         # every row of ``large`` points from a node to a smaller one
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("often"))
+        small = (matched(large, least, ["a"], "often", large.count())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct())
         links = staged(small, "links")
         mark = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
