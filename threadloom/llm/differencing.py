@@ -406,7 +406,9 @@ def extract(pages: DataFrame) -> DataFrame:
     to the run's (the one before on a tie); so its pages have the same partner, also if it
     fills several parts. There is none for pages without a host. A null html counts as
     empty. Hashes of lines are written to the shared folder first. Rows are shuffled once,
-    a host's pages over as many tasks as they fill.
+    a host's pages over as many tasks as they fill. Repeated rows and a null page_id or url
+    give rows like others, a very long page is held as a whole, an empty table gives no row;
+    further columns are ignored, whatever their names.
     """
     source = _keyed(pages)
     hashes = staged(_hashed(source), "page_lines")
