@@ -7,10 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import START, at, messages
+from conftest import SF, START, at, messages
 from threadloom.operators import merge
 from threadloom.operators.state import conversation_state
+from threadloom.plans.catalog import QUERIES
 from threadloom.schema import KINDS, PAYLOADS
+from threadloom.session import ROCKSDB, STATE_STORE
 from threadloom.streaming import keyed, sinks
 
 KEY = ("t", "c")
@@ -227,3 +229,17 @@ def test_retained_and_late_rows(spark, tmp_path):
     assert sorted(r.seq for r in late.collect()) == [0, 3, 5]
     kept = sinks.read_retained(spark, path[0], path[2], 50)
     assert sorted(r.seq for r in kept.collect()) == [1, 4, 6, 7]
+
+
+@pytest.mark.parametrize("name", ["stream_entities", "stream_expiring_state",
+                                  "stream_unanswered", "stream_updates"])
+def test_streams_of_several_variables_bring_their_store(spark, name):
+    """Whatever store the session has set; and it has the same one set afterwards."""
+    other = ("org.apache.spark.sql.execution.streaming.state."
+             "HDFSBackedStateStoreProvider")
+    spark.conf.set(STATE_STORE, other)
+    try:
+        assert QUERIES[name](spark, SF).count() > 0
+        assert spark.conf.get(STATE_STORE) == other
+    finally:
+        spark.conf.set(STATE_STORE, ROCKSDB)

@@ -858,7 +858,7 @@ def stream_merge_intelligence(spark, d):
 
 
 def _in_slices(spark, d, name: str, sql: str | None, build, sink, slices: int = 3, mode: str = "append",
-               after=None) -> str:
+               after=None, store: str | None = None) -> str:
     """Run a stream over slices of ``events`` that arrive one after the other, each run going
     on from the checkpoint of the one before; the folder of its output.
 
@@ -874,7 +874,7 @@ def _in_slices(spark, d, name: str, sql: str | None, build, sink, slices: int =
         source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         stream = build(A.select_from(spark, source, sql, "events") if sql else source)
         stream_sinks.run(stream, sink(f"{base}/out"), f"{base}/state", mode,
-                         once=True).awaitTermination()
+                         once=True, store=store).awaitTermination()
         if after:
             after(f"{base}/out")
     return f"{base}/out"
@@ -927,7 +927,8 @@ def stream_expiring_state(spark, d):
         rows = msg.valid_rows(msg.validate_message(messages))
         return keyed.stream_expiring_state(rows, dt.timedelta(hours=12))
 
-    out = _in_slices(spark, d, "expiring", A.MESSAGES, build, stream_sinks.write_batches)
+    out = _in_slices(spark, d, "expiring", A.MESSAGES, build, stream_sinks.write_batches,
+                     store=keyed.STORE)
     return flat_state(stream_sinks.read_batches(spark, out))
 
 
@@ -949,7 +950,8 @@ def stream_state_with_summary(spark, d):
 @query
 def stream_entities(spark, d):
     out = _in_slices(spark, d, "entities", A.RESULTS,
-                     lambda raw: keyed.stream_entities(_typed(raw)), stream_sinks.write_batches)
+                     lambda raw: keyed.stream_entities(_typed(raw)), stream_sinks.write_batches,
+                     store=keyed.STORE)
     return stream_sinks.read_batches(spark, out).select(
         *KEYS, F.col("seq").alias("since_seq"), "place", "type", "value", "start_index")
 
@@ -973,7 +975,7 @@ def stream_updates(spark, d):
         records = stream_sinks.read_batches(spark, log)
         source = spark.readStream.schema(records.schema).parquet(log)
         stream_sinks.run(keyed.stream_updates(source), stream_sinks.write_batches(f"{base}/out"),
-                         f"{base}/state", once=True).awaitTermination()
+                         f"{base}/state", once=True, store=keyed.STORE).awaitTermination()
 
     _in_slices(spark, d, "log", A.RESULTS,
                lambda raw: stateful.stream_merge_intelligence(_typed(raw)),
@@ -1006,5 +1008,6 @@ def stream_unanswered(spark, d):
         rows = msg.valid_rows(msg.validate_message(messages))
         return keyed.stream_unanswered(rows, dt.timedelta(hours=12))
 
-    out = _in_slices(spark, d, "unanswered", A.MESSAGES, build, stream_sinks.write_batches)
+    out = _in_slices(spark, d, "unanswered", A.MESSAGES, build, stream_sinks.write_batches,
+                     store=keyed.STORE)
     return stream_sinks.read_batches(spark, out).select(*KEYS, "ts", "seq", "due")

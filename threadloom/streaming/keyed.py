@@ -3,7 +3,8 @@
 All of them are ``StatefulProcessor`` classes over ``transformWithStateInPandas``. Rows of a key
 are applied in (ts, seq) order within a micro-batch, later micro-batches after earlier ones; a
 row that is older than the watermark is dropped by Spark. State is typed per variable and only
-what a row changes is written.
+what a row changes is written. Several variables need a store with column families: start these
+streams with ``sinks.run(..., store=STORE)``, whatever the session's is.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from threadloom.operators.merge import completeness
 from threadloom.operators.state import window_message
 from threadloom.schema import KEYS, KINDS, LONG, TEXT, TIME, WINDOW_MESSAGE, WINDOW_MESSAGES, record
+from threadloom.session import ROCKSDB as STORE
 from threadloom.sources.sinks import JSON_OPTIONS
 from threadloom.streaming.stateful import JSON_TIMES, STATE_OUT
 

@@ -17,6 +17,7 @@ from threadloom.operators.messages import dead_letters, valid_rows
 from threadloom.operators.timeline import latest
 from threadloom.operators.views import latest_summary, latest_summary_by_tenant
 from threadloom.schema import KEYS
+from threadloom.session import STATE_STORE
 from threadloom.sources.sinks import JSON_OPTIONS
 
 BATCH = "batch_id"
@@ -47,12 +48,25 @@ def write_split(good: str, dead: str) -> Callable[[DataFrame, int], None]:
 
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
         mode: str = "append", once: bool = False, every: str = "2 seconds",
-        name: str | None = None) -> StreamingQuery:
-    """Start a stream into a sink; ``once`` takes what is there and ends."""
+        name: str | None = None, store: str | None = None) -> StreamingQuery:
+    """Start a stream into a sink; ``once`` takes what is there and ends.
+
+    ``store`` is the class of the state store if it is not to be the session's. A stream keeps
+    the settings it starts with, and its checkpoint the store; the session's stays as it is.
+    """
     writer = (stream.writeStream.foreachBatch(sink).outputMode(mode)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
-    return (writer.queryName(name) if name else writer).start()
+    writer = writer.queryName(name) if name else writer
+    if store is None:
+        return writer.start()
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, store)
+    try:
+        return writer.start()
+    finally:
+        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
