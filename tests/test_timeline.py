@@ -125,3 +125,25 @@ def test_asof_rules(spark):
         out = {r.message: r.summary and r.summary.tldr
                for r in attach_summary_asof(m, s, t).collect()}
         assert out == {"a": None, "b": "x", "c": "y", "d": None}
+
+
+@pytest.mark.parametrize("rows_per_task, sorted_rows", [(5, 5), (5, 40), (40, 1)])
+def test_cut_at_quantiles_equals_whole(spark, skewed, rows_per_task, sorted_rows):
+    """By quantiles alone, and by quantiles first and then by rank."""
+    cut = Timeline().measured(skewed, rows_per_task, sorted_rows)
+    assert cut.cuts and (cut.part_rows is None) == (rows_per_task >= sorted_rows)
+    assert rows_of(cut.running(skewed, scans())) == rows_of(Timeline().running(skewed, scans()))
+
+
+def test_small_segments_need_no_table_of_places(spark, skewed):
+    """What is read once per row does not grow with the number of segments."""
+    cut = Timeline().measured(skewed, 1)
+    assert not cut.whole and not cut.cuts
+    assert cut.tagged(skewed).groupBy("tenant_id", "conversation_id", tl.SEGMENT).count().agg(
+        F.max("count")).first()[0] == 1
+
+
+def test_rows_without_a_key_are_not_cut(spark, skewed):
+    keyless = skewed.withColumn("tenant_id", F.when(F.col("seq") % 4 > 0, F.col("tenant_id")))
+    cut = Timeline().measured(keyless, 5)
+    assert rows_of(cut.running(keyless, scans())) == rows_of(Timeline().running(keyless, scans()))

@@ -5,12 +5,15 @@ while keys are small, and it is what runs when no key is large. A key above
 ``rows_per_task`` rows is cut along its order into segments:
 
 1. rows are shuffled and sorted by (key, segment) and scanned there, so the work
-   of one key spreads over many tasks and rows are still shuffled once;
-2. the segments of large keys are reduced to one row each (partial aggregation
-   before the shuffle), and a scan over those rows gives what each segment
-   carries in from the ones before it;
-3. the carried value is joined on (key, segment), which is how the rows are
-   already partitioned and sorted, and combined with the value from step 1.
+   of one key spreads over many tasks; the result is written once;
+2. the last row of a segment has the value of all of it, and a scan over those
+   rows gives what each segment carries in from the ones before it;
+3. the carried value is joined on (key, segment), by size, and combined with the
+   value from step 1.
+
+Keys are cut at quantiles into segments that a task can sort, which are few. Where
+smaller ones are asked for, the task that has such a segment sorted cuts it by rank:
+no table of places, and no turn of cutting, grows with their number.
 
 The cut depends on the order alone and never reverses it, so results are the same
 for any cut. The statistics only decide speed.
@@ -28,9 +31,11 @@ from pyspark.sql import types as T
 from threadloom.sources.sinks import staged
 
 ROWS_PER_TASK = 1_000_000
+# Up to so many rows a segment is sorted by one task, and cut there if it is to be smaller.
+SORTED_ROWS = 100_000
 # Into so many parts a large segment is cut in one turn, and the rank error of the cuts.
 FANOUT, ACCURACY = 64, 2_000
-SEGMENT = "_segment"
+SEGMENT, PART = "_segment", "_part"
 UNBOUNDED, HERE = Window.unboundedPreceding, Window.currentRow
 
 
@@ -48,14 +53,13 @@ def micros(df: DataFrame, name: str) -> Column:
 class Scan:
     """A running value that can be computed per segment and then combined.
 
-    ``local``   value inside a segment, over a frame that ends at the current row
-    ``reduce``  aggregate of a whole segment
+    ``local``   value inside a segment, over a frame that ends at the current row;
+                that of the last row stands for the whole segment
     ``carry``   value from all earlier segments, over the segment rows
     ``merge``   carried and local value together
     """
 
     local: Callable[[WindowSpec, Column], Column]
-    reduce: Callable[[Column], Column]
     carry: Callable[[Column, WindowSpec], Column]
     merge: Callable[[Column, Column], Column]
 
@@ -64,7 +68,6 @@ def count(when: Column | None = None) -> Scan:
     """Rows so far (of those where ``when`` holds)."""
     one = F.lit(1) if when is None else F.when(when, 1)
     return Scan(local=lambda w, _: F.count(one).over(w),
-                reduce=lambda _: F.count(one),
                 carry=lambda c, w: F.sum(c).over(w),
                 merge=lambda before, here: F.coalesce(before, F.lit(0)) + here)
 
@@ -72,7 +75,6 @@ def count(when: Column | None = None) -> Scan:
 def total(value: Column) -> Scan:
     """Sum so far."""
     return Scan(local=lambda w, _: F.sum(value).over(w),
-                reduce=lambda _: F.sum(value),
                 carry=lambda c, w: F.sum(c).over(w),
                 merge=lambda before, here: F.coalesce(before, F.lit(0)) + here)
 
@@ -80,7 +82,6 @@ def total(value: Column) -> Scan:
 def last(value: Column) -> Scan:
     """Newest non-null value."""
     return Scan(local=lambda w, _: F.last(value, ignorenulls=True).over(w),
-                reduce=lambda order: F.max_by(value, F.when(value.isNotNull(), order)),
                 carry=lambda c, w: F.last(c, ignorenulls=True).over(w),
                 merge=lambda before, here: F.coalesce(here, before))
 
@@ -88,7 +89,6 @@ def last(value: Column) -> Scan:
 def first(value: Column) -> Scan:
     """Oldest non-null value."""
     return Scan(local=lambda w, _: F.first(value, ignorenulls=True).over(w),
-                reduce=lambda order: F.min_by(value, F.when(value.isNotNull(), order)),
                 carry=lambda c, w: F.first(c, ignorenulls=True).over(w),
                 merge=lambda before, here: F.coalesce(before, here))
 
@@ -96,7 +96,6 @@ def first(value: Column) -> Scan:
 def first_position(when: Column) -> Scan:
     """Position (time, sequence) of the first row where ``when`` holds."""
     return Scan(local=lambda w, order: F.min(F.when(when, order)).over(w),
-                reduce=lambda order: F.min(F.when(when, order)),
                 carry=lambda c, w: F.min(c).over(w),
                 merge=lambda before, here: F.coalesce(before, here))
 
@@ -104,7 +103,6 @@ def first_position(when: Column) -> Scan:
 def any_so_far(condition: Column) -> Scan:
     """Whether ``condition`` held on any row so far; null before the first non-null."""
     return Scan(local=lambda w, _: F.max(condition).over(w),
-                reduce=lambda _: F.max(condition),
                 carry=lambda c, w: F.max(c).over(w),
                 merge=lambda before, here: F.greatest(before, here))
 
@@ -128,6 +126,8 @@ class Timeline:
     seq: tuple[str, ...] = ("seq",)
     # one frame per turn: which segments are cut by what, and where; empty: nothing is cut
     cuts: tuple[DataFrame, ...] = field(default=(), compare=False)
+    # rows of a part into which a segment is cut where it is sorted; none: it stays whole
+    part_rows: int | None = field(default=None, compare=False)
 
     @property
     def order_by(self) -> list[str]:
@@ -139,7 +139,7 @@ class Timeline:
 
     @property
     def whole(self) -> bool:
-        return not self.cuts
+        return not self.cuts and not self.part_rows
 
     def _positions(self, df: DataFrame) -> list[Column]:
         """The order as whole numbers: time, then the sequence columns that are integers."""
@@ -150,12 +150,15 @@ class Timeline:
             whole.append(F.col(name).cast("bigint"))
         return whole
 
-    def measured(self, df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> "Timeline":
+    def measured(self, df: DataFrame, rows_per_task: int = ROWS_PER_TASK,
+                 sorted_rows: int = SORTED_ROWS) -> "Timeline":
         """Find the keys above ``rows_per_task`` rows and where to cut them.
 
         One narrow counting job over the key columns; each further turn only if a
-        segment is still too large. It is cut at quantiles of the time, or of the
-        sequence once all its rows have one time, so a burst refines only itself.
+        segment is still too large, over the positions of its rows, which are written
+        for that. It is cut at quantiles of the time, or of the sequence once all its
+        rows have one time, so a burst refines only itself. Segments of at most
+        ``sorted_rows`` rows are no further measured: smaller ones are parts by rank.
         Rows without a time or sequence come first, as in the order. Rows equal in
         all of these can't be told apart and stay together. The cuts are tables; the
         driver only learns whether there are any. If ``df`` is costly to compute,
@@ -166,37 +169,57 @@ class Timeline:
         rows = df.select(*self.keys, *[p.alias(n) for p, n in zip(places, names)])
         for key in self.keys:
             rows = rows.filter(F.col(key).isNotNull())
-        found, segment = replace(self, cuts=()), [*self.keys, SEGMENT]
-        while True:
-            tagged = found._tagged(rows, [F.col(n) for n in names])
-            differs = [(F.min(n) < F.max(n)) | F.count(n).between(1, F.count("*") - 1)
-                       for n in names]
-            by = F.coalesce(*[F.when(d, i) for i, d in enumerate(differs)])
-            low = F.coalesce(*[F.when(d, F.min(n)) for d, n in zip(differs, names)])
-            large = staged(
-                tagged.groupBy(*segment)
-                .agg(F.count("*").alias("_n"), by.alias("_by"), low.alias("_low"))
-                .filter((F.col("_n") > rows_per_task) & F.col("_by").isNotNull())
-                .select(*segment, "_by", "_low"), "large-segments")
+        segment, coarse = [*self.keys, SEGMENT], max(rows_per_task, sorted_rows)
+        at = [F.col(n) for n in names]
+        differs = [(F.min(n) < F.max(n)) | F.count(n).between(1, F.count("*") - 1) for n in names]
+        by = F.coalesce(*[F.when(d, i) for i, d in enumerate(differs)])
+        low = F.coalesce(*[F.when(d, F.min(n)) for d, n in zip(differs, names)])
+
+        def above(tagged: DataFrame, limit: int) -> DataFrame:
+            return staged(tagged.groupBy(*segment)
+                          .agg(F.count("*").alias("_n"), by.alias("_by"), low.alias("_low"))
+                          .filter((F.col("_n") > limit) & F.col("_by").isNotNull()),
+                          "large-segments")
+
+        found = replace(self, cuts=(), part_rows=None)
+        rows = rows.withColumn(SEGMENT, _uncut())
+        large = above(rows, rows_per_task)
+        if large.isEmpty():
+            return found
+        if rows_per_task < coarse:
+            found = replace(found, part_rows=rows_per_task)
+            large = large.filter(F.col("_n") > coarse)
             if large.isEmpty():
                 return found
-            place = _place([F.col(n) for n in names])
-            quantiles = F.percentile_approx(place, [i / FANOUT for i in range(1, FANOUT)],
+        rows = staged(rows.join(large.select(*segment), segment, "left_semi"), "positions")
+        while True:
+            quantiles = F.percentile_approx(_place(at), [i / FANOUT for i in range(1, FANOUT)],
                                             ACCURACY)
-            cuts = (tagged.join(large, segment)
-                    .groupBy(*segment, "_by", "_low").agg(quantiles.alias("_bounds"))
-                    .withColumn("_bounds", F.array_distinct("_bounds")))
-            found = replace(found, cuts=(*found.cuts, staged(cuts, "cuts")))
+            cuts = staged(rows.join(large.drop("_n"), segment)
+                          .groupBy(*segment, "_by", "_low").agg(quantiles.alias("_bounds"))
+                          .withColumn("_bounds", F.array_distinct("_bounds")), "cuts")
+            found = replace(found, cuts=(*found.cuts, cuts))
+            # only the rows of cut segments go on to the next turn
+            parts = rows.join(cuts, segment).withColumn("_place", _place(at)).select(
+                *self.keys, *names, F.array_append(SEGMENT, _part()).alias(SEGMENT))
+            rows = staged(parts, "positions")
+            large = above(rows, coarse)
+            if large.isEmpty():
+                return found
 
     def tagged(self, df: DataFrame) -> DataFrame:
         """Add the segment; empty for the rows of keys that are not cut."""
-        return self._tagged(df, self._positions(df) if self.cuts else [])
+        out = self._tagged(df, self._positions(df) if self.cuts else [])
+        if self.part_rows:
+            out = self._ranked(out)
+            out = out.withColumn(SEGMENT, _joined_part())
+        return out.select(*df.columns, SEGMENT)
 
     def _tagged(self, df: DataFrame, places: list[Column]) -> DataFrame:
         out = df.withColumn(SEGMENT, _uncut())
         for cuts in self.cuts:
-            # A cut stands for more than rows_per_task rows, so this side is small; by its
-            # size Spark broadcasts it, or splits the large keys of the join.
+            # A cut stands for more rows than a task is to have, so this side is small; by
+            # its size Spark broadcasts it, or splits the large keys of the join.
             out = (out.join(cuts, [*self.keys, SEGMENT], "left")
                    .withColumn("_place", _place(places))
                    .withColumn(SEGMENT, F.when(F.col("_bounds").isNull(), F.col(SEGMENT))
@@ -204,6 +227,18 @@ class Timeline:
                    .drop("_by", "_low", "_bounds", "_place"))
         return out.select(*df.columns, SEGMENT)
 
+    def _ranked(self, tagged: DataFrame) -> DataFrame:
+        """Add the part of a segment with more than ``part_rows`` rows; rows that can't be
+        told apart have one rank and so one part."""
+        places = self._positions(tagged)
+        w = Window.partitionBy(*self.keys, SEGMENT)
+        cut = F.count("*").over(w) > self.part_rows
+        for key in self.keys:
+            cut = cut & F.col(key).isNotNull()
+        part = F.floor((F.rank().over(w.orderBy(*places)) - 1) / self.part_rows).cast("int")
+        return (tagged.withColumn(PART, part)
+                .withColumn(PART, F.when(cut, F.col(PART))))
+
     def window(self, *extra: str) -> WindowSpec:
         return Window.partitionBy(*self.keys, *extra).orderBy(*self.order_by)
 
@@ -219,16 +254,23 @@ class Timeline:
             out = df.select("*", *[self._local(s, w).alias(name) for name, s in scans.items()])
             return out if per_key is None else out.join(per_key, list(self.keys), "left")
         keys = [*self.keys, SEGMENT]
-        tagged = self.tagged(df)
-        carry = self._carried(tagged.filter(F.size(SEGMENT) > 0), scans)
+        tagged = self._tagged(df, self._positions(df) if self.cuts else [])
+        w = self.window(SEGMENT)
+        if self.part_rows:
+            # Parts lie in their segment's partition: windows over them shuffle nothing.
+            tagged, w = self._ranked(tagged), self.window(SEGMENT, PART)
+        local = tagged.select("*", *[self._local(s, w).alias(name) for name, s in scans.items()],
+                              F.lead(F.lit(False), 1, True).over(w).alias("_end"))
+        if self.part_rows:
+            local = local.withColumn(SEGMENT, _joined_part()).drop(PART)
+        local = staged(local, "segments")
+        carry = self._carried(local.filter(F.col("_end") & (F.size(SEGMENT) > 0)), scans)
         more = []
         if per_key is not None:
-            # Repeated for the segments of cut keys; there are few of those.
+            # Repeated for the segments of cut keys.
             more = [c for c in per_key.columns if c not in self.keys]
             carry = carry.join(per_key, list(self.keys), "left").unionByName(
                 per_key.withColumn(SEGMENT, _uncut()), allowMissingColumns=True)
-        w = self.window(SEGMENT)
-        local = tagged.select("*", *[self._local(s, w).alias(name) for name, s in scans.items()])
         joined = local.join(carry, keys, "left")
         return joined.select(
             *[F.col(c) for c in df.columns],
@@ -246,32 +288,18 @@ class Timeline:
             return F.when(F.size(here) >= scan.n, here).otherwise(_tail(both, scan.n))
         return scan.merge(before, here)
 
-    def _carried(self, rows: DataFrame, scans: Mapping[str, Scan | LastN]) -> DataFrame:
-        """Per segment of the large keys: what the earlier segments hand over."""
-        keys = [*self.keys, SEGMENT]
-        simple = {n: s for n, s in scans.items() if isinstance(s, Scan)}
-        tails = {n: s for n, s in scans.items() if isinstance(s, LastN)}
-        per_segment = rows.groupBy(*keys).agg(
-            F.lit(True).alias("_seen"),
-            *[s.reduce(self.order).alias(n) for n, s in simple.items()])
+    def _carried(self, ends: DataFrame, scans: Mapping[str, Scan | LastN]) -> DataFrame:
+        """Per segment of the large keys: what the earlier segments hand over.
+
+        ``ends`` are the last rows of the segments.
+        """
         w = Window.partitionBy(*self.keys).orderBy(SEGMENT)
-        for name, scan in tails.items():
-            # The rank filter limits rows per segment before the shuffle too.
-            newest = Window.partitionBy(*keys).orderBy(
-                *[F.col(c).desc() for c in self.order_by])
-            ends = (rows.withColumn("_rank", F.row_number().over(newest))
-                    .filter(F.col("_rank") < scan.n)
-                    .groupBy(*keys)
-                    .agg(F.collect_list(F.struct(self.order.alias("o"),
-                                                 scan.value.alias("v"))).alias(name)))
-            ordered = F.transform(F.array_sort(F.col(name), _by_order), lambda e: e["v"])
-            per_segment = per_segment.join(ends.select(*keys, ordered.alias(name)), keys)
         before = w.rowsBetween(UNBOUNDED, -1)
-        out = [s.carry(F.col(n), before).alias(f"_before_{n}") for n, s in simple.items()]
         # Every segment has a row, so n - 1 segments back hold n - 1 rows.
-        out += [_tail(F.flatten(F.collect_list(F.col(n)).over(w.rowsBetween(1 - s.n, -1))),
-                      s.n - 1).alias(f"_before_{n}") for n, s in tails.items()]
-        return per_segment.select(*keys, *out)
+        out = [(_tail(F.flatten(F.collect_list(F.col(n)).over(w.rowsBetween(1 - s.n, -1))),
+                      s.n - 1) if isinstance(s, LastN) else s.carry(F.col(n), before))
+               .alias(f"_before_{n}") for n, s in scans.items()]
+        return ends.select(*self.keys, SEGMENT, *out)
 
 
 def measured_once(df: DataFrame, timeline: Timeline | None) -> tuple[Timeline, DataFrame]:
@@ -307,6 +335,11 @@ def _part() -> Column:
     return F.when(F.col("_place").isNull(), -1).otherwise(below + up_to)
 
 
+def _joined_part() -> Column:
+    """The name of a segment with the part its rows are cut into, if they are."""
+    return F.when(F.col(PART).isNull(), F.col(SEGMENT)).otherwise(F.array_append(SEGMENT, F.col(PART)))
+
+
 def _by_order(a: Column, b: Column) -> Column:
     return F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
 

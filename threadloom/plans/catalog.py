@@ -365,21 +365,23 @@ def completeness(spark, d):
 
 # -- joins ---------------------------------------------------------------------
 
-def _asof(spark, d, timeline=None):
-    out = state.attach_summary_asof(chat_messages(spark, d), summaries(spark, d), timeline)
-    return out.select(*KEYS, "seq", "ts", *flat_summary())
-
-
 @query
 def attach_summary_asof(spark, d):
-    return _asof(spark, d)
+    out = state.attach_summary_asof(chat_messages(spark, d), summaries(spark, d))
+    return out.select(*KEYS, "seq", "ts", *flat_summary())
 
 
 @query
 def attach_summary_asof_large_keys(spark, d):
-    places = chat_messages(spark, d).select(*KEYS, "ts", "seq").unionByName(
-        summaries(spark, d).select(*KEYS, "ts", "seq"))
-    return _asof(spark, d, Timeline().measured(places, rows_per_task=SMALL_SEGMENT))
+    return _cut_asof(chat_messages(spark, d), summaries(spark, d))
+
+
+def _cut_asof(chat: DataFrame, found: DataFrame) -> DataFrame:
+    """Messages and summaries measured together; summaries are parsed once."""
+    found = sinks.staged(found, "summaries")
+    places = chat.select(*KEYS, "ts", "seq").unionByName(found.select(*KEYS, "ts", "seq"))
+    t = Timeline().measured(places, rows_per_task=SMALL_SEGMENT)
+    return state.attach_summary_asof(chat, found, t).select(*KEYS, "seq", "ts", *flat_summary())
 
 
 def flat_changes(df: DataFrame) -> DataFrame:
@@ -393,9 +395,13 @@ def merge_intelligence(spark, d):
 
 @query
 def merge_intelligence_large_keys(spark, d):
-    rows = A.results(spark, d)
-    t = Timeline().measured(rows, rows_per_task=SMALL_SEGMENT)
-    return flat_changes(merge.merge_intelligence(rows, t))
+    return flat_changes(merge.merge_intelligence(*_cut_results(A.results(spark, d))))
+
+
+def _cut_results(rows: DataFrame) -> tuple[DataFrame, Timeline]:
+    """Results, parsed once, and the cuts of their larger keys."""
+    rows = sinks.staged(rows, "rows")
+    return rows, Timeline().measured(rows, rows_per_task=SMALL_SEGMENT)
 
 
 @query
@@ -480,8 +486,7 @@ def transcript_ties(spark, d):
 
 def tied_results(spark, d) -> tuple[DataFrame, Timeline]:
     """Results out of order, with many equal times, and the cuts of their larger keys."""
-    rows = A.mixed_results(spark, d)
-    return rows, Timeline().measured(rows, rows_per_task=SMALL_SEGMENT)
+    return _cut_results(A.mixed_results(spark, d))
 
 
 @query
@@ -524,11 +529,7 @@ def tied_chat(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query
 def attach_summary_asof_ties(spark, d):
-    """Messages and summaries measured together."""
-    chat, found = tied_chat(spark, d)
-    places = chat.select(*KEYS, "ts", "seq").unionByName(found.select(*KEYS, "ts", "seq"))
-    t = Timeline().measured(places, rows_per_task=SMALL_SEGMENT)
-    return state.attach_summary_asof(chat, found, t).select(*KEYS, "seq", "ts", *flat_summary())
+    return _cut_asof(*tied_chat(spark, d))
 
 
 @query
