@@ -181,3 +181,13 @@ def test_large_offsets_pass_through_the_fold(spark, count_fold):
     big = 2 ** 60 + 1
     out = scoring.summary_fold(messages(spark, [("t", "c", 1, big, "agent", "m")]), count_fold)
     assert out.collect()[0].seq == big
+
+
+def test_tasks_of_a_source_hold_a_bounded_number_of_rows(spark, tmp_path):
+    """One small file, many rows: a split by bytes would be few tasks."""
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = events.spread(spark.read.parquet(f"{tmp_path}/t"), rows_per_task=50)
+    assert rows.rdd.getNumPartitions() == 20 and rows.distinct().count() == 1000
+    assert max(rows.rdd.glom().map(len).collect()) <= 60
+    again = events.spread(rows, rows_per_task=100)
+    assert again is rows

@@ -46,16 +46,22 @@ def from_files(spark: SparkSession, path: str, fmt: str = "parquet", streaming:
     return reader.load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Hand the rows of a source with fewer splits than cores to all cores.
+# Rows of a source that one task gets at most, on average.
+SPREAD_ROWS = 100_000
 
-    A small file is one task otherwise, however costly the work per row. A source
-    with enough splits stays as it is: no shuffle.
+
+def spread(df: DataFrame, rows_per_task: int = SPREAD_ROWS) -> DataFrame:
+    """Hand the rows of a source to all cores, and to a task no more than ``rows_per_task``.
+
+    A file is read in splits of so many bytes, and packed rows are small: a split may hold
+    millions, however costly the work per row. The rows are counted, which reads no more
+    than the footers of Parquet files. A source with enough splits stays as it is: no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism,
+                -(-df.count() // rows_per_task))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def decode(rows: DataFrame) -> DataFrame:
