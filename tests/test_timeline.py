@@ -9,7 +9,7 @@ from conftest import START, messages
 from threadloom.operators import timeline as tl
 from threadloom.operators.state import attach_summary_asof, conversation_state
 from threadloom.operators.timeline import LastN, Timeline
-from threadloom.operators.transcript import transcript
+from threadloom.operators.transcript import reply_context, transcript
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +147,15 @@ def test_rows_without_a_key_are_not_cut(spark, skewed):
     keyless = skewed.withColumn("tenant_id", F.when(F.col("seq") % 4 > 0, F.col("tenant_id")))
     cut = Timeline().measured(keyless, 5)
     assert rows_of(cut.running(keyless, scans())) == rows_of(Timeline().running(keyless, scans()))
+
+
+def test_last_part_without_gathering_texts(spark, skewed):
+    """Only the lines are numbered in a window; parts with their texts meet in none."""
+    df = reply_context(skewed, 6, Timeline())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+    rows = {(r.tenant_id, r.conversation_id): [] for r in skewed.collect()}
+    for r in df.collect():
+        rows[r.tenant_id, r.conversation_id].append((r.part, r.is_last))
+    for parts in rows.values():
+        assert sorted(parts) == [(i, i == len(parts) - 1) for i in range(len(parts))]

@@ -7,7 +7,7 @@ in order are the whole text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.state import message_ordinal
@@ -65,10 +65,15 @@ def reply_context(messages: DataFrame, part_lines: int = PART_LINES,
     message. The history up to an earlier message is a filter on ``transcript_lines``.
     """
     parts = _parts(messages, part_lines, timeline)
-    # one row per part_lines lines: a window over parts, not over messages
-    last = F.max("part").over(Window.partitionBy(*KEYS)) == F.col("part")
+    # The number of messages names the last part: the texts of a conversation's parts stay
+    # where they are, none is gathered with the others to compare.
+    last = F.floor((F.count(F.lit(1)) - 1) / part_lines)
+    ends = messages.groupBy(*KEYS).agg(last.alias("part"), F.lit(True).alias("is_last"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"e.{k}")) for k in (*KEYS, "part")]
+    parts = parts.alias("p").join(ends.alias("e"), same, "left").select(
+        "p.*", F.coalesce("e.is_last", F.lit(False)).alias("is_last"))
     head = F.when(F.col("part") == 0, F.lit(REPLY_HEAD)).otherwise("")
     tail = F.when(F.col("is_last"), F.concat(F.lit(REPLY_MIDDLE), F.col("newest"), F.lit(REPLY_TAIL)))
-    return parts.withColumn("is_last", last).select(
+    return parts.select(
         *KEYS, "part", "lines", "is_last",
         F.concat(head, F.col("text"), F.coalesce(tail, F.lit(""))).alias("context"))
