@@ -6,9 +6,10 @@ from conftest import SF, at
 from threadloom.operators import merge, timeline, views
 from threadloom.operators.results import typed_results, validate_agent_result
 from threadloom.operators.timeline import Timeline
-from threadloom.plans import adapters
+from threadloom.plans import adapters, catalog, jobs
 from threadloom.plans import adapters as A
 from threadloom.schema import PAYLOADS
+from threadloom.sources import events
 
 IDS = {"conversation_id": "c", "tenant_id": "t"}
 SENTIMENT = {**IDS, "sentiment": "neutral", "confidence": 0.5, "emotion": "neutral",
@@ -185,3 +186,13 @@ def test_entities_of_one_result_and_later_ones(spark):
                  for r in merge.pii_entity_merge(df).collect())
     assert got == [("c", 1, 0, "a"), ("c", 1, 1, "b"), ("c", 1, 2, "a"), ("c", 2, 1, "d"),
                    ("e", 2, 0, "a")]
+
+
+def test_results_of_the_job_are_merged_in_bounded_tasks(spark, monkeypatch):
+    """The merge sorts what a task reads, so a task must not read a whole split of packed rows."""
+    seen = []
+    monkeypatch.setattr(events, "SPREAD_ROWS", 20)
+    monkeypatch.setattr(jobs, "merge_intelligence_final", lambda df: seen.append(df) or df)
+    catalog.intelligence_job(spark, SF)
+    rows, tasks = seen[0].count(), seen[0].rdd.getNumPartitions()
+    assert tasks >= rows / 20 > 8

@@ -17,6 +17,7 @@ from threadloom.operators.state import (attach_summary_asof, conversation_final,
                                         sentiment_trigger, state_rows)
 from threadloom.operators.timeline import Timeline
 from threadloom.schema import KEYS, KINDS, PAYLOADS
+from threadloom.sources.events import spread
 from threadloom.sources.sinks import staged
 
 
@@ -76,4 +77,5 @@ def intelligence(messages: DataFrame, scorers: Scorers,
         results = results.unionByName(part, allowMissingColumns=True)
     typed = results.select(*KEYS, "kind", "ts", "seq",
                            *[F.col(k).cast(PAYLOADS[k]).alias(k) for k in KINDS])
-    return merge_intelligence_final(staged(typed, "results"))
+    # Packed files: a split of them has millions of rows, and a task sorts what it has read.
+    return merge_intelligence_final(spread(staged(typed, "results")))

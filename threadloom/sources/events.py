@@ -50,8 +50,9 @@ def from_files(spark: SparkSession, path: str, fmt: str = "parquet", streaming:
 SPREAD_ROWS = 100_000
 
 
-def spread(df: DataFrame, rows_per_task: int = SPREAD_ROWS) -> DataFrame:
-    """Hand the rows of a source to all cores, and to a task no more than ``rows_per_task``.
+def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """Hand the rows of a source to all cores, and to a task no more than ``rows_per_task``
+    on average, ``SPREAD_ROWS`` if not given.
 
     A file is read in splits of so many bytes, and packed rows are small: a split may hold
     millions, however costly the work per row. The rows are counted, which reads no more
@@ -60,7 +61,7 @@ def spread(df: DataFrame, rows_per_task: int = SPREAD_ROWS) -> DataFrame:
     if df.isStreaming:
         return df
     tasks = max(df.sparkSession.sparkContext.defaultParallelism,
-                -(-df.count() // rows_per_task))
+                -(-df.count() // (rows_per_task or SPREAD_ROWS)))
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
