@@ -13,7 +13,7 @@ from threadloom.operators.state import conversation_state
 from threadloom.plans.catalog import QUERIES
 from threadloom.schema import KINDS, PAYLOADS
 from threadloom.session import ROCKSDB, STATE_STORE
-from threadloom.streaming import keyed, sinks
+from threadloom.streaming import keyed, sinks, stateful
 
 KEY = ("t", "c")
 
@@ -243,3 +243,22 @@ def test_streams_of_several_variables_bring_their_store(spark, name):
         assert spark.conf.get(STATE_STORE) == other
     finally:
         spark.conf.set(STATE_STORE, ROCKSDB)
+
+
+def test_rows_of_a_key_leave_in_frames():
+    """A conversation's output is never held as one frame, however long it is."""
+    n = 2 * stateful.FRAME_ROWS + 5
+    rows = pd.DataFrame({"ts": [at(i) for i in range(n)], "seq": range(n), "sender": "agent",
+                         "message": "m", "summary": None, "late": False})
+    state = Group()
+    frames = list(stateful._advance_state(KEY, iter([rows[:7], rows[7:]]), state))
+    assert [len(f) for f in frames] == [stateful.FRAME_ROWS, stateful.FRAME_ROWS, 5]
+    assert pd.concat(frames)["message_count"].tolist() == list(range(1, n + 1))
+    assert state.value[0] == n
+
+
+class Group:
+    exists, value = False, None
+
+    def update(self, value):
+        self.value = value

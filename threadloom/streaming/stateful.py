@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,18 @@ def _json(value: Column) -> Column:
     return F.to_json(value, JSON_TIMES)
 
 
+# Rows of one output frame: a key's rows leave in frames, not all at once.
+FRAME_ROWS = 1_000
+
+
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of at most ``FRAME_ROWS``; at least one, if empty."""
+    frame = list(islice(rows, FRAME_ROWS))
+    yield pd.DataFrame(frame, columns=columns)
+    while frame := list(islice(rows, FRAME_ROWS)):
+        yield pd.DataFrame(frame, columns=columns)
+
+
 def _ordered(batches: Iterator[pd.DataFrame], *then: str) -> pd.DataFrame:
     rows = pd.concat(list(batches), ignore_index=True)
     return rows.sort_values(["ts", "seq", *then], kind="stable")
@@ -44,9 +57,13 @@ STATE_OUT = record(tenant_id=TEXT, conversation_id=TEXT, ts=TIME, seq=LONG, mess
 
 
 def _advance_state(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+    yield from _frames(_state_rows(key, batches, state), STATE_OUT.fieldNames())
+
+
+def _state_rows(key, batches, state: GroupState) -> Iterator[tuple]:
     count, created, active, who, recent, summary = (
         state.get if state.exists else (0, None, None, [], [], None))
-    who, recent, out = list(who or []), list(recent or []), []
+    who, recent = list(who or []), list(recent or [])
     for row in _ordered(batches, "late").itertuples(index=False):
         if row.late:
             # A summary changes the state only once there is one, and emits nothing.
@@ -56,9 +73,8 @@ def _advance_state(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
         recent = [*recent, row.message][-WINDOW_MESSAGES:]
         if row.sender not in who:
             who.append(row.sender)
-        out.append((*key, row.ts, row.seq, count, created, active, list(who), recent, summary))
+        yield (*key, row.ts, row.seq, count, created, active, list(who), recent, summary)
     state.update((count, created, active, who, recent, summary))
-    yield pd.DataFrame(out, columns=STATE_OUT.fieldNames())
 
 
 def stream_conversation_state(messages: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
@@ -93,10 +109,13 @@ MERGED_OUT = record(tenant_id=TEXT, conversation_id=TEXT, ts=TIME, seq=LONG, kin
 
 
 def _advance_merge(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+    yield from _frames(_merged_rows(key, batches, state), MERGED_OUT.fieldNames())
+
+
+def _merged_rows(key, batches, state: GroupState) -> Iterator[tuple]:
     now = dict(zip(MERGED.fieldNames(), state.get)) if state.exists else dict.fromkeys(
         MERGED.fieldNames())
     entities, seen = list(now["entities"] or []), set(now["seen"] or [])
-    out = []
     for row in _ordered(batches).itertuples(index=False):
         if row.kind in ("sentiment", "insights", "summary"):
             now[row.kind] = row.payload
@@ -107,11 +126,10 @@ def _advance_merge(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
                 if opening or mark not in seen:
                     entities.append(text)
                 seen.add(mark)
-        out.append((*key, row.ts, row.seq, row.kind, now["sentiment"], now["insights"],
-                    now["summary"], now["pii"], now["has_pii"], list(entities)))
+        yield (*key, row.ts, row.seq, row.kind, now["sentiment"], now["insights"],
+               now["summary"], now["pii"], now["has_pii"], list(entities))
     state.update((now["sentiment"], now["insights"], now["summary"], now["pii"], now["has_pii"],
                   entities, sorted(seen)))
-    yield pd.DataFrame(out, columns=MERGED_OUT.fieldNames())
 
 
 def stream_merge_intelligence(results: DataFrame) -> DataFrame:
@@ -151,14 +169,15 @@ FOLD_STATE = record(summary=TEXT)
 def stream_summary_fold(messages: DataFrame, fold) -> DataFrame:
     """Streaming twin of ``summary_fold``: the state is the current summary."""
 
-    def advance(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+    def folded(key, batches, state: GroupState) -> Iterator[tuple]:
         summary = json.loads(state.get[0]) if state.exists else None
-        out = []
         for row in _ordered(batches).itertuples(index=False):
             summary = fold(summary, row.sender, row.message)
-            out.append((*key, row.ts, row.seq, json.dumps(summary)))
+            yield (*key, row.ts, row.seq, json.dumps(summary))
         state.update((json.dumps(summary),))
-        yield pd.DataFrame(out, columns=FOLD_OUT.fieldNames())
+
+    def advance(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _frames(folded(key, batches, state), FOLD_OUT.fieldNames())
 
     rows = messages.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FOLD_IN.fields])
     out = rows.groupBy(*KEYS).applyInPandasWithState(
