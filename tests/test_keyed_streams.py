@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SF, START, at, messages
 from threadloom.operators import merge
 from threadloom.operators.state import conversation_state
+from threadloom.plans import catalog
 from threadloom.plans.catalog import QUERIES
 from threadloom.schema import KINDS, PAYLOADS
 from threadloom.session import ROCKSDB, STATE_STORE
@@ -262,3 +263,13 @@ class Group:
 
     def update(self, value):
         self.value = value
+
+
+def test_slices_of_a_stream_are_files_for_all_cores(spark):
+    """A stream's task reads whole splits: a slice that is one file keeps one core busy."""
+    out = catalog._in_slices(spark, SF, "files", None, lambda rows: rows.select("event_id"),
+                             sinks.write_batches)
+    rows = spark.read.parquet(f"{out.removesuffix('/out')}/in")
+    assert len(rows.inputFiles()) == 3 * spark.sparkContext.defaultParallelism
+    written = sinks.read_batches(spark, out)
+    assert written.count() == written.distinct().count() == rows.count()

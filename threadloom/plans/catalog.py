@@ -871,7 +871,8 @@ def _in_slices(spark, d, name: str, sql: str | None, build, sink, slices: int =
     last = (rows.agg(F.max("event_id")).first()[0] or 0) + 1
     number = F.coalesce(F.expr(f"event_id * {slices} div {last}"), F.lit(0))
     for i in range(slices):
-        rows.where(number == i).write.mode("append").parquet(f"{base}/in")
+        # as files for all cores: a stream reads a file or a split of one per task
+        events.spread(rows.where(number == i)).write.mode("append").parquet(f"{base}/in")
         source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         stream = build(A.select_from(spark, source, sql, "events") if sql else source)
         stream_sinks.run(stream, sink(f"{base}/out"), f"{base}/state", mode,
