@@ -6,16 +6,21 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import datetime
 from fractions import Fraction
+from itertools import accumulate
+from operator import xor
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from threadloom.llm import prefixes, repeats, whitening
 from threadloom.llm.catalog import QUERIES
 from threadloom.llm.tables import table
+from threadloom.operators.timeline import Timeline
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,6 +211,18 @@ def test_trie_of_odd_conversations(spark, least, rows_per_task):
     assert sorted(got, key=lambda r: r[:2]) == _trie(rows)
 
 
+def test_names_of_prefixes_over_cut_conversations(spark):
+    """The exclusive or so far is the same for any cut, and is what the rows give."""
+    rows = [(c, datetime(2025, 1, 1, 0, i // 3), i, hash((c, i))) for c in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, ts timestamp, seq long, g long")
+    whole = Timeline(keys=("conv_id",))
+    for timeline in (whole, whole.measured(df, 7), whole.measured(df, 7, 7)):
+        got = timeline.running(df, {"s": prefixes._xor(F.col("g"))}).orderBy("conv_id", "seq").collect()
+        for c in range(3):
+            mine = [r for r in got if r.conv_id == c]
+            assert [r.s for r in mine] == list(accumulate((r.g for r in mine), xor))
+
+
 def test_trie_of_nothing_and_of_equal_turns(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert prefixes.trie(spark.createDataFrame([], schema)).count() == 0

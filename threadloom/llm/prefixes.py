@@ -52,7 +52,6 @@ def _mark(position: Column, number: int) -> Column:
 def _xor(value: Column) -> tl.Scan:
     """Exclusive or of all values so far."""
     return tl.Scan(local=lambda w, _: F.bit_xor(value).over(w),
-                   reduce=lambda _: F.bit_xor(value),
                    carry=lambda c, w: F.bit_xor(c).over(w),
                    merge=lambda before, here: F.coalesce(before, F.lit(0)).bitwiseXOR(here))
 
