@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -57,6 +58,23 @@ def test_pretokens_are_those_of_the_pattern(texts):
         assert ids == CODER.encode_ordinary(text)
 
 
+def test_pretokens_are_found_piece_by_piece():
+    """The same for any piece, and without arrays over all characters at once."""
+    kinds, texts = pretokens.classes(), [t for _, t in ODD]
+    whole, counts = pretokens.pretokenize(texts, kinds, 1 << 30)
+    for piece in (1, 30):
+        coded, n = pretokens.pretokenize(texts, kinds, piece)
+        assert coded.indices.equals(whole.indices) and coded.dictionary.equals(whole.dictionary)
+        assert n.tolist() == counts.tolist()
+    texts = [f"word{i % 977} it's {i} " * 10 for i in range(10_000)]
+    tracemalloc.start()
+    try:
+        pretokens.pretokenize(texts, kinds)
+        assert tracemalloc.get_traced_memory()[1] < 8 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+
+
 def test_bpe_round_trip(odd, none):
     for chunk in (10, 1 << 20):
         rows = bpe.decode(bpe.encode(odd, RANKS, chunk=chunk), RANKS).collect()

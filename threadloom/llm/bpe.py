@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -31,16 +32,18 @@ CHANGED = "the input changed between two readings of it: stage it before encodin
 
 
 def _chunks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[int, list, list]]:
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    ids, column = batch.column(0).to_pylist(), batch.column(1)
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
     start, size = 0, 0
     for i in range(len(ids) + 1):
-        length = len(texts[i] or "") if i < len(ids) else limit + 1
+        length = sizes[i] if i < len(ids) else limit + 1
         if i > start and size + length > limit:
+            texts = column.slice(start, i - start).to_pylist()
             name = xxhash.xxh64()
-            for one, text in zip(ids[start:i], texts[start:i]):
+            for one, text in zip(ids[start:i], texts):
                 name.update(f"{one},{text is None},{len(text or '')};")
                 name.update((text or "").encode("utf-8", "surrogatepass"))
-            yield name.intdigest() - (1 << 63), ids[start:i], texts[start:i]
+            yield name.intdigest() - (1 << 63), ids[start:i], texts
             start, size = i, 0
         size += length
 
@@ -132,6 +135,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text:
             flats.append(_unpacked(answers[b]["ids"], answers[b]["total"]))
         run = np.concatenate([np.zeros(0, np.uint32), *flats])
         bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))))
+        runs = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(run.view(np.int32)))
         out = []
         for place in places:
             counts = np.array(place["counts"], np.int64)
@@ -141,11 +145,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text:
                 raise RuntimeError(CHANGED)
             at = np.empty(len(owner), np.int64)
             at[np.argsort(owner, kind="stable")] = np.arange(len(owner))
-            flat, lengths = pretokens.gather(run, bounds, at[codes])
-            ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
+            found = runs.take(pa.array(at[codes]))
+            ends = found.offsets.take(pa.array(np.concatenate(([0], np.cumsum(counts)))))
             out.append(pa.table({"key": pa.array(place["keys"], pa.int64()),
-                                 "ids": pa.ListArray.from_arrays(
-                                     pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))}))
+                                 "ids": pa.ListArray.from_arrays(ends, found.values)}))
         if not out and answers:
             raise RuntimeError(CHANGED)
         return pa.concat_tables(out) if out else pa.table(

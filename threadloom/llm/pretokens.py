@@ -19,6 +19,8 @@ import tiktoken
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: What may follow an apostrophe to form a token of its own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Characters whose classes and cuts are held at a time; a longer text is held whole.
+PIECE = 1 << 18
 
 
 @lru_cache(1)
@@ -65,8 +67,30 @@ def cuts(codes: np.ndarray, kinds: np.ndarray, text_starts: np.ndarray) -> np.nd
     return np.flatnonzero(start[:n])
 
 
-def pretokenize(texts: list[str | None], table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The pre-tokens of all texts as one dictionary-coded array, and how many each text has."""
+def pretokenize(texts: list[str | None], table: np.ndarray,
+                piece: int = PIECE) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of all texts as one dictionary-coded array, and how many each text has.
+
+    Texts are cut up piece by piece, as the arrays over all characters are many times their size.
+    """
+    found, counts = [], []
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= piece or i == len(texts) - 1:
+            tokens, per_text = _pretokenize(texts[start:i + 1], table)
+            found.append(tokens)
+            counts.append(per_text)
+            start, size = i + 1, 0
+    if not found:
+        return pa.array([], pa.large_binary()).dictionary_encode(), np.zeros(0, np.int64)
+    # one dictionary, in order of first appearance
+    whole = pa.chunked_array(found).unify_dictionaries()
+    coded = pa.concat_arrays(whole.chunks)
+    return coded, np.concatenate(counts)
+
+
+def _pretokenize(texts: list[str | None], table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     parts = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
     lengths = np.array([len(p) // 4 for p in parts], np.int64)
     codes = np.frombuffer(b"".join(parts), np.uint32)
