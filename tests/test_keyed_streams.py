@@ -3,15 +3,18 @@
 import datetime as dt
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, START, at, messages
+from test_catalog import plain
 from threadloom.operators import merge
 from threadloom.operators.state import conversation_state
 from threadloom.plans import catalog
 from threadloom.plans.catalog import QUERIES
+from threadloom.plans.oracles import ORACLES
 from threadloom.schema import KINDS, PAYLOADS
 from threadloom.session import ROCKSDB, STATE_STORE
 from threadloom.streaming import keyed, sinks, stateful
@@ -246,6 +249,22 @@ def test_streams_of_several_variables_bring_their_store(spark, name):
         spark.conf.set(STATE_STORE, ROCKSDB)
 
 
+@pytest.mark.parametrize("name", ["stream_expiring_state"])
+def test_rows_over_the_default_store_are_those_of_the_sql(spark, name):
+    """In a session that names no store, as a user's own."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    spark.conf.unset(STATE_STORE)
+    try:
+        df = QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        got = plain(df.select(*columns).collect())
+    finally:
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    assert got and got == plain(con.sql(f"SELECT {quoted} FROM ({ORACLES[name]})").fetchall())
+
+
 def test_rows_of_a_key_leave_in_frames():
     """A conversation's output is never held as one frame, however long it is."""
     n = 2 * stateful.FRAME_ROWS + 5
