@@ -249,7 +249,8 @@ def test_streams_of_several_variables_bring_their_store(spark, name):
         spark.conf.set(STATE_STORE, ROCKSDB)
 
 
-@pytest.mark.parametrize("name", ["stream_expiring_state", "stream_unanswered"])
+@pytest.mark.parametrize("name", ["stream_expiring_state", "stream_unanswered",
+                                  "stream_updates"])
 def test_rows_over_the_default_store_are_those_of_the_sql(spark, name):
     """In a session that names no store, as a user's own."""
     con = duckdb.connect()
