@@ -250,7 +250,7 @@ def test_streams_of_several_variables_bring_their_store(spark, name):
 
 
 @pytest.mark.parametrize("name", ["stream_expiring_state", "stream_unanswered",
-                                  "stream_updates"])
+                                  "stream_updates", "stream_entities"])
 def test_rows_over_the_default_store_are_those_of_the_sql(spark, name):
     """In a session that names no store, as a user's own."""
     con = duckdb.connect()
