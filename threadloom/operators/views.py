@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.schema import KEYS, RETENTION_SECONDS
+from threadloom.functions.text import blank_to
+from threadloom.schema import DEFAULT_TENANT, KEYS, RETENTION_SECONDS
 
 SUMMARY_FIELDS = ("tldr", "customer_issue", "agent_response", "key_points", "next_steps")
 POSITION = ("ts", "partition", "offset")
@@ -39,6 +40,25 @@ def latest_summary_by_tenant(stream: DataFrame,
     return latest_values(stream, list(KEYS), SUMMARY_FIELDS, position)
 
 
+def lookup(merged: DataFrame, conversation_id: str, tenant_id: str | None = None,
+           default_tenant: str = DEFAULT_TENANT) -> DataFrame:
+    """The merged record of one conversation of any frame; no rows if there is none.
+
+    Many lookups on one table are for ``sources.serving``, which stores it for them.
+    """
+    tenant = tenant_id or default_tenant
+    return merged.filter((F.col("tenant_id") == tenant)
+                         & (F.col("conversation_id") == conversation_id))
+
+
+def intelligence_lookup(merged: DataFrame, requested: DataFrame,
+                        default_tenant: str = DEFAULT_TENANT) -> DataFrame:
+    """The merged records of many requested conversations."""
+    wanted = (requested.withColumn("tenant_id", blank_to(F.col("tenant_id"), default_tenant))
+              .select(*KEYS).distinct())
+    return merged.join(wanted, list(KEYS), "left_semi")
+
+
 def high_urgency(merged: DataFrame) -> DataFrame:
     return merged.filter(F.col("insights.urgency").isin("High", "Critical"))
 
