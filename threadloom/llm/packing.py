@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", tex
     """
     context = docs.sparkSession.sparkContext
     known, kinds = context.broadcast(ranks), context.broadcast(pretokens.classes())
-    kind = np.dtype(f"u{id_bytes(ranks, added)}").type
+    code = "H" if id_bytes(ranks, added) == 2 else "I"
     added = added or {}
     # of tokens that start together the longest counts
     split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
@@ -118,6 +119,10 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", tex
                     start, size = i, 0
                 size += length
 
+    def coded_ids(numbers: list[int]) -> bytes:
+        # bytes, not lists: a task remembers many, which Python's collector would walk through
+        return array(code, numbers).tobytes()
+
     def one(keys, texts, merge, done) -> pa.RecordBatch:
         cut = [split(t) if t and added else [t] for t in texts]
         marks = [mark for parts in cut for mark in parts[1::2]]
@@ -125,11 +130,10 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", tex
         words, index = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
         if len(done) > REMEMBERED:
             done.clear()
-        ids = []
-        for word in words:
-            if (found := done.get(word)) is None:
-                found = done[word] = merge(word)
-            ids.append(found)
+        ids = list(map(done.get, words))
+        for i, word in enumerate(words):
+            if ids[i] is None:
+                ids[i] = done[word] = coded_ids(merge(word))
         per_text = per_part
         if marks:
             # added tokens go in behind the part before them
@@ -140,12 +144,14 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", tex
             names = {mark: len(words) + k for k, mark in enumerate(dict.fromkeys(marks))}
             index = np.insert(index, before, [names[mark] for mark in marks])
             words += [mark.encode() for mark in names]
-            ids += [[added[mark]] for mark in names]
+            ids += [coded_ids([added[mark]]) for mark in names]
             per_text = np.bincount(owner, per_part, len(cut)).astype(np.int64) + sizes
-        flat, bounds = pretokens.flatten(ids, kind)
-        flat, lengths = pretokens.gather(flat, bounds, index)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(per_text)))]
-        out = [np.append(flat[a:b], kind(END)).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        # the bytes of all ids in order of position
+        run = pa.array(ids, pa.large_binary()).take(pa.array(index))
+        places = np.frombuffer(run.buffers()[1], np.int64, len(run) + 1) if len(run) else np.zeros(1, np.int64)
+        ends = places[np.concatenate(([0], np.cumsum(per_text)))]
+        data, end = memoryview(run.buffers()[2] or b""), coded_ids([END])
+        out = [bytes(data[a:b]) + end for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         owner = np.repeat(np.arange(len(texts)), per_text)
         aim = directions(words).reshape(-1, DIMENSIONS)
         spread = np.stack([np.bincount(owner, aim[index, d], len(texts))
@@ -153,7 +159,7 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", tex
         spread = spread / np.maximum(per_text, 1)[:, None]
         cell = np.floor((np.tanh(4 * spread) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
         return pa.RecordBatch.from_pydict(
-            {"key": keys, "place": hilbert(cell), "n": np.diff(ends) + 1, "ids": out},
+            {"key": keys, "place": hilbert(cell), "n": np.diff(ends) // len(end) + 1, "ids": out},
             schema=pa.schema([("key", pa.int64()), ("place", pa.int64()), ("n", pa.int64()),
                               ("ids", pa.binary())]))
 
