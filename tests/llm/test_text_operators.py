@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
@@ -233,16 +234,20 @@ def test_packing_remembers_ids_as_bytes(spark, monkeypatch):
     def lists(*_):
         raise AssertionError("ids went through lists of numbers")
 
+    # what a task runs, in this process: a worker has modules of its own
     monkeypatch.setattr(pretokens, "flatten", lists)
     shift = 1 << 16
     wide = {token: rank + shift for token, rank in RANKS.items()}
     assert packing.id_bytes(wide, None) == 4 and packing.id_bytes(RANKS, None) == 2
     texts = [None, "", "two words", "é" * 9, "x1 " * 50]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, schema: task)
     for ranks, kind, more in ((RANKS, "<u2", 0), (wide, "<u4", shift)):
-        for r in packing.tokenized(docs, ranks).collect():
-            want = [i + more for i in CODER.encode_ordinary(texts[r.key] or "")] + [1]
-            assert np.frombuffer(r.ids, kind).tolist() == want and r.n == len(want)
+        for out in packing.tokenized(docs, ranks)(iter([batch])):
+            for r in out.to_pylist():
+                want = [i + more for i in CODER.encode_ordinary(texts[r["key"]] or "")] + [1]
+                assert np.frombuffer(r["ids"], kind).tolist() == want and r["n"] == len(want)
 
 
 def test_hilbert_curve_takes_single_steps():
