@@ -230,7 +230,7 @@ def test_packing_has_the_ids_of_the_tokenizer(spark, tmp_path):
 
 
 def test_packing_remembers_ids_as_bytes(spark, monkeypatch):
-    """Lists of ids, one per pre-token, made a third of the CPU time; and ids beyond 16 bits stay whole."""
+    """Ids are remembered as bytes, not as lists of numbers to flatten; and ids beyond 16 bits stay whole."""
     def lists(*_):
         raise AssertionError("ids went through lists of numbers")
 
