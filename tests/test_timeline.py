@@ -10,6 +10,7 @@ from threadloom.operators import timeline as tl
 from threadloom.operators.state import attach_summary_asof, conversation_state
 from threadloom.operators.timeline import LastN, Timeline
 from threadloom.operators.transcript import reply_context, transcript
+from threadloom.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -143,6 +144,34 @@ def test_small_segments_need_no_table_of_places(spark, skewed):
         F.max("count")).first()[0] == 1
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 16, 63])
+def test_part_is_between_two_cuts_or_on_one(spark, n):
+    bounds = [3 * i for i in range(n)]
+    places = [None, *range(-2, 3 * n + 2)]
+    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    rows = (spark.createDataFrame([(p,) for p in places], "_place bigint")
+            .withColumn("_bounds", cuts).withColumn("_marks", F.filter("_bounds", tl._is_mark)))
+    for r in rows.withColumn("part", tl._part()).collect():
+        below, up_to = (sum(map(test, bounds)) if r._place is not None else None for test in (
+            lambda b: b < r._place, lambda b: b <= r._place))
+        assert r.part == (-1 if r._place is None else below + up_to)
+
+
+def test_places_are_written_for_a_turn_only(spark, skewed):
+    """The last turn counts the rows of its segments, it does not write them."""
+    work = sinks._MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(work)
+    cut = Timeline().measured(skewed, 5, 100)
+    assert len(cut.cuts) == 1
+    assert sum("/positions-" in path for path in work[before:]) == 1
+
+
+def test_a_place_is_compared_with_few_cuts(spark, skewed):
+    """Of the 63 cuts of a segment the marks are read first."""
+    cut = Timeline().measured(skewed, 5, 100).cuts[0].collect()
+    assert cut and all(r._marks == r._bounds[tl.STEP - 1::tl.STEP] for r in cut)
+
+
 def test_rows_without_a_key_are_not_cut(spark, skewed):
     keyless = skewed.withColumn("tenant_id", F.when(F.col("seq") % 4 > 0, F.col("tenant_id")))
     cut = Timeline().measured(keyless, 5)

@@ -35,6 +35,8 @@ ROWS_PER_TASK = 1_000_000
 SORTED_ROWS = 100_000
 # Into so many parts a large segment is cut in one turn, and the rank error of the cuts.
 FANOUT, ACCURACY = 64, 2_000
+# Of the cuts of a segment every so many-th is looked at first.
+STEP = 8
 SEGMENT, PART = "_segment", "_part"
 UNBOUNDED, HERE = Window.unboundedPreceding, Window.currentRow
 
@@ -191,18 +193,18 @@ class Timeline:
             large = large.filter(F.col("_n") > coarse)
             if large.isEmpty():
                 return found
-        rows = staged(rows.join(large.select(*segment), segment, "left_semi"), "positions")
         while True:
+            # only the rows of segments to be cut are written; whoever ends needs no more than counts
+            rows = staged(rows.join(large.select(*segment), segment, "left_semi"), "positions")
             quantiles = F.percentile_approx(_place(at), [i / FANOUT for i in range(1, FANOUT)],
                                             ACCURACY)
             cuts = staged(rows.join(large.drop("_n"), segment)
                           .groupBy(*segment, "_by", "_low").agg(quantiles.alias("_bounds"))
-                          .withColumn("_bounds", F.array_distinct("_bounds")), "cuts")
+                          .withColumn("_bounds", F.array_distinct("_bounds"))
+                          .withColumn("_marks", F.filter("_bounds", _is_mark)), "cuts")
             found = replace(found, cuts=(*found.cuts, cuts))
-            # only the rows of cut segments go on to the next turn
-            parts = rows.join(cuts, segment).withColumn("_place", _place(at)).select(
+            rows = rows.join(cuts, segment).withColumn("_place", _place(at)).select(
                 *self.keys, *names, F.array_append(SEGMENT, _part()).alias(SEGMENT))
-            rows = staged(parts, "positions")
             large = above(rows, coarse)
             if large.isEmpty():
                 return found
@@ -224,7 +226,7 @@ class Timeline:
                    .withColumn("_place", _place(places))
                    .withColumn(SEGMENT, F.when(F.col("_bounds").isNull(), F.col(SEGMENT))
                                .otherwise(F.array_append(SEGMENT, _part())))
-                   .drop("_by", "_low", "_bounds", "_place"))
+                   .drop("_by", "_low", "_bounds", "_marks", "_place"))
         return out.select(*df.columns, SEGMENT)
 
     def _ranked(self, tagged: DataFrame) -> DataFrame:
@@ -328,11 +330,21 @@ def _place(places: list[Column]) -> Column:
     return F.when(chosen.isNotNull(), F.coalesce(F.try_subtract(chosen, F.col("_low")), far))
 
 
+def _is_mark(_: Column, i: Column) -> Column:
+    return i % STEP == STEP - 1
+
+
 def _part() -> Column:
-    """Part of a segment: between two cuts, or on one, which keeps a burst by itself."""
-    below = F.size(F.filter("_bounds", lambda b: b < F.col("_place")))
-    up_to = F.size(F.filter("_bounds", lambda b: b <= F.col("_place")))
-    return F.when(F.col("_place").isNull(), -1).otherwise(below + up_to)
+    """Part of a segment: between two cuts, or on one, which keeps a burst by itself.
+
+    Twice the number of cuts below a place, and one more on a cut. Cuts are in order: the marks,
+    every ``STEP``-th of them, say between which few of them the place is.
+    """
+    place = F.col("_place")
+    block = F.size(F.filter("_marks", lambda b: b < place))
+    near = F.aggregate(F.slice("_bounds", block * STEP + 1, STEP), F.lit(0),
+                       lambda n, b: n + F.when(b < place, 2).when(b == place, 1).otherwise(0))
+    return F.when(place.isNull(), -1).otherwise(block * (2 * STEP) + near)
 
 
 def _joined_part() -> Column:
