@@ -397,6 +397,32 @@ def test_templated_texts_dont_multiply(spark, monkeypatch, share):
     assert max(held) < 2 * sum(n for n, _ in expected.values())
 
 
+def test_chance_shingles_make_no_regions(spark, monkeypatch):
+    """Documents that have runs of common words in common are no members of regions."""
+    draw, rows, held, real = random.Random(5), [], [], jaccard.staged
+    common = ["the", "of", "and", "to", "in"]
+    for i in range(240):
+        words = [draw.choice(common) if draw.random() < 0.75 else f"w{draw.randrange(10 ** 9)}"
+                 for _ in range(150)]
+        rows.append((2 * i, " ".join(words)))
+        if i < 40:
+            words[draw.randrange(150)] = "other"
+            rows.append((2 * i + 1, " ".join(words)))
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "members":
+            held.append(out.agg(F.sum("n"), F.countDistinct("key")).first())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    expected = by_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert grouped(jaccard.jaccard_groups(docs)) == expected
+    assert sum(i != c for i, (_, c) in expected.items()) == 40
+    assert held[0][1] <= 100 and held[0][0] < sum(n for n, _ in expected.values())
+
+
 def test_a_poor_split_ends_in_blocks(spark):
     """Far fewer kinds of shingles than documents: no shingle is rare, pairs are compared."""
     draw = random.Random(4)
