@@ -397,6 +397,46 @@ def test_templated_texts_dont_multiply(spark, monkeypatch, share):
     assert max(held) < 2 * sum(n for n, _ in expected.values())
 
 
+def test_keys_of_many_slices_are_packed_together():
+    """A task sends a row per bucket, not one per bucket and slice."""
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(200)) for _ in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"key": list(range(k, k + 4)), "text": texts[k:k + 4]})
+               for k in range(0, 40, 4)]
+    none = np.zeros(0, np.uint64)
+    hints = {"hash": none, "level": none, "word": none, "weight": none, "pivot_of": {}}
+    rows = [r for b in jaccard.dealt(iter(batches), hints, 8, 5, 75) for r in b.to_pylist()]
+    assert sorted(r["bucket"] for r in rows) == list(range(8))
+    sets = [jaccard.shingle_sets([t])[0] for t in texts]
+    assert sum(r["m"] for r in rows) == sum(len(s) - -(-75 * len(s) // 100) + 1 + int(0.05 * len(s))
+                                            for s in sets)
+
+
+def test_key_order_is_that_of_the_ranks(spark):
+    """Rarest words first, then by hash, the same however texts are put together."""
+    draw = random.Random(7)
+    texts = [" ".join(draw.choice("a b c d e f g".split()) for _ in range(draw.randrange(60)))
+             for _ in range(50)] + [None, "", "a"]
+    words = sorted(jaccard.coded_words([w])[0][0] for w in "abc")
+    hints = {"hash": np.zeros(0, np.uint64), "level": np.zeros(0, np.int64),
+             "word": np.array(words, np.uint64), "weight": np.array([5, 3, 9])}
+
+    def keys(some):
+        distinct, at, counts = jaccard.coded_words(some)
+        values, counts, weights = jaccard.weighed_sets(
+            distinct, at, counts, jaccard._found(hints["word"], hints["weight"], distinct))
+        owner, key = jaccard.keys_of(values, weights, counts, hints, 75)
+        by_force = []
+        for i, (c, e) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist())):
+            ranks = sorted(zip(weights[e - c:e].tolist(), jaccard.mix(values[e - c:e]).tolist(),
+                               values[e - c:e].tolist()))
+            by_force += [(i, v) for _, _, v in ranks[:c - -(-75 * c // 100) + 1 + int(0.05 * c)] if c]
+        assert list(zip(owner.tolist(), key.tolist())) == by_force
+        return [set(key[owner == i].tolist()) for i in range(len(some))]
+
+    assert keys(texts) == [keys([t])[0] for t in texts]
+
+
 def test_chance_shingles_make_no_regions(spark, monkeypatch):
     """Documents that have runs of common words in common are no members of regions."""
     draw, rows, held, real = random.Random(5), [], [], jaccard.staged
